@@ -32,60 +32,60 @@ def value_bucket(value: Column, per_octave: int = COARSE) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
 
 
 def rank_targets(buckets: DataFrame, keys: Sequence[str], bucket: str, ranks: dict[str, Column]) -> DataFrame:
     """For each wanted rank: the bucket that holds it and the rank left inside it.
 
-    ``buckets`` has one row per (keys, bucket) with count ``c``. A rank expression
-    may use ``n``, the group's row count; a null rank selects nothing.
+    ``buckets`` has one row per (keys, bucket) with count ``_c``. A rank expression
+    may use ``_n``, the group's row count; a null rank selects nothing.
     """
     upto = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    wanted = F.array(*[F.struct(F.lit(name).alias("rid"), k.cast("bigint").alias("k")) for name, k in ranks.items()])
+    wanted = F.array(*[F.struct(F.lit(name).alias("_rid"), k.cast("bigint").alias("_k")) for name, k in ranks.items()])
     return (
-        buckets.withColumn("upto", F.sum("c").over(upto))
-        .withColumn("n", F.sum("c").over(whole))
-        .withColumn("want", F.explode(wanted))
-        .where(_holds(F.col("want.k")))
-        .select(*keys, bucket, "n", F.col("want.rid").alias("rid"), _left(F.col("want.k")).alias("k"))
+        buckets.withColumn("_upto", F.sum("_c").over(upto))
+        .withColumn("_n", F.sum("_c").over(whole))
+        .withColumn("_want", F.explode(wanted))
+        .where(_holds(F.col("_want._k")))
+        .select(*keys, bucket, "_n", F.col("_want._rid").alias("_rid"), _left(F.col("_want._k")).alias("_k"))
     )
 
 
 def pick_ranked(candidates: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The value at rank ``k`` among ``candidates`` (keys, rid, k, n, value, c)."""
-    upto = Window.partitionBy(*keys, "rid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    """The value at rank ``_k`` among ``candidates`` (keys, _rid, _k, _n, value, _c)."""
+    upto = Window.partitionBy(*keys, "_rid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        candidates.withColumn("upto", F.sum("c").over(upto)).where(_holds(F.col("k"))).select(*keys, "rid", "n", value)
+        candidates.withColumn("_upto", F.sum("_c").over(upto)).where(_holds(F.col("_k"))).select(*keys, "_rid", "_n", value)
     )
 
 
 def _holds(k: Column) -> Column:
-    return (k > F.col("upto") - F.col("c")) & (k <= F.col("upto"))
+    return (k > F.col("_upto") - F.col("_c")) & (k <= F.col("_upto"))
 
 
 def _left(k: Column) -> Column:
-    return k - F.col("upto") + F.col("c")
+    return k - F.col("_upto") + F.col("_c")
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """One row per key: the values at the given 1-based ranks and ``n``, nulls left out."""
+    """One row per key: the values at the given 1-based ranks and ``_n``, nulls left out."""
     hist = value_counts(df.where(F.col(value).isNotNull()), keys, value)
-    hist = hist.withColumn("b0", value_bucket(F.col(value))).withColumn("b1", value_bucket(F.col(value), FINE))
-    coarse = rank_targets(hist.groupBy(*keys, "b0").agg(F.sum("c").alias("c")), keys, "b0", ranks)
-    near = hist.join(coarse, [*keys, "b0"])
-    upto = Window.partitionBy(*keys, "rid").orderBy("b1").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_b0", value_bucket(F.col(value))).withColumn("_b1", value_bucket(F.col(value), FINE))
+    coarse = rank_targets(hist.groupBy(*keys, "_b0").agg(F.sum("_c").alias("_c")), keys, "_b0", ranks)
+    near = hist.join(coarse, [*keys, "_b0"])
+    upto = Window.partitionBy(*keys, "_rid").orderBy("_b1").rowsBetween(Window.unboundedPreceding, 0)
     fine = (
-        near.groupBy(*keys, "rid", "k", "b1")
-        .agg(F.sum("c").alias("c"))
-        .withColumn("upto", F.sum("c").over(upto))
-        .where(_holds(F.col("k")))
-        .select(*keys, "rid", "b1", _left(F.col("k")).alias("k"))
+        near.groupBy(*keys, "_rid", "_k", "_b1")
+        .agg(F.sum("_c").alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(upto))
+        .where(_holds(F.col("_k")))
+        .select(*keys, "_rid", "_b1", _left(F.col("_k")).alias("_k"))
     )
-    picked = pick_ranked(near.drop("k").join(fine, [*keys, "rid", "b1"]), keys, value)
+    picked = pick_ranked(near.drop("_k").join(fine, [*keys, "_rid", "_b1"]), keys, value)
     return picked.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("rid") == name, F.col(value))).alias(name) for name in ranks]
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_rid") == name, F.col(value))).alias(name) for name in ranks]
     )
 
 
@@ -95,18 +95,18 @@ def low_rank(n: Column, q: float) -> Column:
 
 
 def rank_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    return ranked_values(df, keys, value, {name: low_rank(F.col("n"), q)}).drop("n")
+    return ranked_values(df, keys, value, {name: low_rank(F.col("_n"), q)}).drop("_n")
 
 
 def interpolated_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """Linear-interpolation quantile over the non-null values, exact at any size."""
-    at = (F.col("n") - 1) * F.lit(float(q))
-    ends = ranked_values(df, keys, value, {"lo": F.floor(at) + 1, "hi": F.least(F.floor(at) + 2, F.col("n"))})
+    at = (F.col("_n") - 1) * F.lit(float(q))
+    ends = ranked_values(df, keys, value, {"_lo": F.floor(at) + 1, "_hi": F.least(F.floor(at) + 2, F.col("_n"))})
     t = at - F.floor(at)
-    gap = F.col("hi") - F.col("lo")
-    nearer_low = F.col("lo") + gap * t
-    nearer_high = F.col("hi") - gap * (F.lit(1.0) - t)
-    return ends.select(*keys, F.when(t < 0.5, nearer_low).otherwise(nearer_high).alias(name), "n")
+    gap = F.col("_hi") - F.col("_lo")
+    nearer_low = F.col("_lo") + gap * t
+    nearer_high = F.col("_hi") - gap * (F.lit(1.0) - t)
+    return ends.select(*keys, F.when(t < 0.5, nearer_low).otherwise(nearer_high).alias(name))
 
 
 def running_before(hist: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
@@ -119,15 +119,15 @@ def running_before(hist: DataFrame, keys: Sequence[str], value: str, sums: Seque
         w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(s).over(w), F.lit(0))
 
-    rows = hist.withColumn("b0", value_bucket(F.col(value))).withColumn("b1", value_bucket(F.col(value), FINE))
-    fine = rows.groupBy(*keys, "b0", "b1").agg(*[F.sum(s).alias(s) for s in sums])
-    coarse = fine.groupBy(*keys, "b0").agg(*[F.sum(s).alias(s) for s in sums])
-    coarse = coarse.select(*keys, "b0", *[before(s, keys, "b0").alias(f"{s}_c") for s in sums])
-    fine = fine.select(*keys, "b0", "b1", *[before(s, [*keys, "b0"], "b1").alias(f"{s}_f") for s in sums])
-    starts = fine.join(coarse, [*keys, "b0"]).select(
-        *keys, "b0", "b1", *[(F.col(f"{s}_c") + F.col(f"{s}_f")).alias(f"{s}_start") for s in sums]
+    rows = hist.withColumn("_b0", value_bucket(F.col(value))).withColumn("_b1", value_bucket(F.col(value), FINE))
+    fine = rows.groupBy(*keys, "_b0", "_b1").agg(*[F.sum(s).alias(s) for s in sums])
+    coarse = fine.groupBy(*keys, "_b0").agg(*[F.sum(s).alias(s) for s in sums])
+    coarse = coarse.select(*keys, "_b0", *[before(s, keys, "_b0").alias(f"{s}_c") for s in sums])
+    fine = fine.select(*keys, "_b0", "_b1", *[before(s, [*keys, "_b0"], "_b1").alias(f"{s}_f") for s in sums])
+    starts = fine.join(coarse, [*keys, "_b0"]).select(
+        *keys, "_b0", "_b1", *[(F.col(f"{s}_c") + F.col(f"{s}_f")).alias(f"{s}_start") for s in sums]
     )
-    local = rows.select("*", *[before(s, [*keys, "b0", "b1"], value).alias(f"{s}_local") for s in sums])
-    return local.join(starts, [*keys, "b0", "b1"]).select(
+    local = rows.select("*", *[before(s, [*keys, "_b0", "_b1"], value).alias(f"{s}_local") for s in sums])
+    return local.join(starts, [*keys, "_b0", "_b1"]).select(
         *hist.columns, *[(F.col(f"{s}_start") + F.col(f"{s}_local")).alias(f"{s}_before") for s in sums]
     )

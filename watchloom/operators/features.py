@@ -116,9 +116,9 @@ def features_from_counts(counts: DataFrame, seconds: int, quantile: float = 0.99
     )
     keys = [*FEATURE_KEYS, "facet"]
     # only the numeric facets get a rank; leaving the others in keeps one shared plan
-    rank = F.when(F.col("facet").isin(LATENCY, BYTES), low_rank(F.col("n"), quantile))
-    targets = rank_targets(buckets.select(*keys, "bucket", "c"), keys, "bucket", {"p": rank})
-    near = counts.join(targets, [*keys, "bucket"])
+    rank = F.when(F.col("facet").isin(LATENCY, BYTES), low_rank(F.col("_n"), quantile))
+    targets = rank_targets(buckets.select(*keys, "bucket", F.col("c").alias("_c")), keys, "bucket", {"p": rank})
+    near = counts.withColumnRenamed("c", "_c").join(targets, [*keys, "bucket"])
     top = pick_ranked(near, keys, "num").groupBy(*FEATURE_KEYS).agg(
         F.max(F.when(F.col("facet") == LATENCY, F.col("num"))).alias("lat"),
         F.max(F.when(F.col("facet") == BYTES, F.col("num"))).alias("byt"),

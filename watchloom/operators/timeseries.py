@@ -37,7 +37,7 @@ def align(points: DataFrame, series: Sequence[str], seconds: int, how: str, valu
 def reduce_series(aligned: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Combine series per window: sum, max, mean, or a percentile such as p95."""
     if how.startswith("p"):
-        return interpolated_quantile(aligned, [*by, "at"], "aligned", float(how[1:]) / 100, "reduced").drop("n")
+        return interpolated_quantile(aligned, [*by, "at"], "aligned", float(how[1:]) / 100, "reduced")
     ways = {"sum": F.sum, "max": F.max, "mean": F.avg}
     return aligned.groupBy(*by, "at").agg(ways[how]("aligned").alias("reduced"))
 
