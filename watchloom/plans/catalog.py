@@ -75,6 +75,7 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """Drop the last digits of sums whose order of addition is not fixed."""
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
@@ -161,14 +162,14 @@ def zscore_by_user(spark, sf):
 def rule_rate_of_change(spark, sf):
     f = six_hour_features(spark, sf).select(*FEATURE_KEYS, F.col("auth_failure_rate").alias("value"))
     c = with_change(f, SERIES, ["window_end"])
-    return rounded(c.withColumn("fired", F.coalesce(F.col("change_pct") > 200, F.lit(False))), 3, "change_pct")
+    return c.withColumn("fired", F.coalesce(F.col("change_pct") > 200, F.lit(False)))
 
 
 @query
 def rule_ewma(spark, sf):
     f = six_hour_features(spark, sf).select(*FEATURE_KEYS, F.col("p99_latency").alias("value"))
     e = with_ewma(f, SERIES, ["window_end"], 0.05)
-    return rounded(e.withColumn("fired", F.abs("ewma_z") > 2.5), 5, "ewma_mean", "ewma_var", "ewma_z")
+    return e.withColumn("fired", F.abs("ewma_z") > 2.5)
 
 
 @query
@@ -429,7 +430,7 @@ def alert_get(spark, sf):
 @query
 def alert_explain_topk(spark, sf):
     f = six_hour_features(spark, sf)
-    return rounded(A.explain_top_features(f, A.baselines(f)), 5, "observed", "baseline", "deviation")
+    return rounded(rounded(A.explain_top_features(f, A.baselines(f)), 7, "observed", "baseline"), 6, "deviation")
 
 
 @query
@@ -480,7 +481,7 @@ def score_counters(spark, sf):
 def score_points(spark, sf):
     p = A.score_points(decided_events(spark, sf))
     out = p.groupBy(F.col("labels")["detector"].alias("detector"), F.col("labels")["is_anomaly"].alias("is_anomaly")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_score"))
-    return rounded(out, 6, "mean_score")
+    return rounded(out, 9, "mean_score")
 
 
 @query
@@ -577,7 +578,7 @@ def ts_rate_total(spark, sf):
 @query
 def ts_mean_max(spark, sf):
     a = ts_ops.align(inputs.events(spark, sf), ["event_type", "source"], 3600, "mean")
-    return rounded(ts_ops.reduce_series(a, ["event_type"], "max"), 6, "reduced")
+    return rounded(ts_ops.reduce_series(a, ["event_type"], "max"), 9, "reduced")
 
 
 @query
@@ -594,12 +595,12 @@ def _seconds(spark, sf):
 def ts_hist_p95(spark, sf):
     points = _seconds(spark, sf).withColumn("at", F.window("ts", "6 hours")["start"])
     h = ts_ops.histogram(points, ["event_type", "at"], ts_ops.REQUEST_BOUNDS)
-    return rounded(h.select("event_type", "at", ts_ops.histogram_quantile(ts_ops.REQUEST_BOUNDS, 0.95).alias("p95")), 6, "p95")
+    return h.select("event_type", "at", ts_ops.histogram_quantile(ts_ops.REQUEST_BOUNDS, 0.95).alias("p95"))
 
 
 @query
 def ts_sustained(spark, sf):
-    return rounded(ts_ops.sustained_below(inputs.events(spark, sf), ["source"], 50.0, SIX_HOURS, 3 * SIX_HOURS), 6, "highest")
+    return rounded(ts_ops.sustained_below(inputs.events(spark, sf), ["source"], 50.0, SIX_HOURS, 3 * SIX_HOURS), 9, "highest")
 
 
 @query
@@ -628,7 +629,7 @@ def traffic_summary(spark, sf):
 
 @query
 def lake_daily(spark, sf):
-    return rounded(lookups.daily_latency(inputs.events(spark, sf), at("2024-01-15")), 6, "avg_latency")
+    return rounded(lookups.daily_latency(inputs.events(spark, sf), at("2024-01-15")), 9, "avg_latency")
 
 
 @query

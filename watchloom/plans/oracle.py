@@ -107,9 +107,9 @@ r as (select *, count(value) over w as n, (value - avg(value) over w) / case whe
  from h window w as (partition by user_id order by hour rows between 359 preceding and current row))
 select user_id, hour, round(value, 6) as value, n, round(z, 6) as z from r where n >= 30 and abs(z) > 4.0"""
 ORACLE["rule_rate_of_change"] = f"""with {SIX_F}, r as (select source, host, window_end, auth_failure_rate as value, {change('auth_failure_rate')} as c from f)
-select source, host, window_end, value, round(c, 3) as change_pct, coalesce(c > 200, false) as fired from r"""
+select source, host, window_end, value, c as change_pct, coalesce(c > 200, false) as fired from r"""
 ORACLE["rule_ewma"] = f"""with recursive {SIX_F}, {ewma('p99_latency', 0.05)}
-select source, host, window_end, value, round(m, 5) as ewma_mean, round(v, 5) as ewma_var, round(z, 5) as ewma_z, abs(z) > 2.5 as fired from ez"""
+select source, host, window_end, value, m as ewma_mean, v as ewma_var, z as ewma_z, abs(z) > 2.5 as fired from ez"""
 
 
 def fired_rules(rules: list[tuple], source: str = "f") -> str:
@@ -235,7 +235,7 @@ ORACLE["alert_explain_topk"] = f"""with {SIX_F}, u as ({" union all ".join(f"sel
 b as (select source, name, avg(observed) as baseline, stddev_pop(observed) as sd from u group by all),
 d as (select u.*, baseline, case when sd > 0 then abs(observed - baseline) / sd else 0e0 end as deviation from u join b using (source, name)),
 r as (select *, row_number() over (partition by source, host, window_end order by round(0 - deviation, 6), name) as rank from d)
-select source, host, window_end, rank, name, round(observed, 5) as observed, round(baseline, 5) as baseline, round(deviation, 5) as deviation from r where rank <= 3"""
+select source, host, window_end, rank, name, round(observed, 7) as observed, round(baseline, 7) as baseline, round(deviation, 6) as deviation from r where rank <= 3"""
 ORACLE["similar_alerts"] = f"with {SCORED}, r as (select *, row_number() over (partition by source order by ts desc, id) as recency from al) select source, recency, id, ts, severity from r where recency <= 5"
 FEEDBACK = f"""{SCORED}, fb as (select id as alert_id, case event_id % 4 when 0 then 'true_positive' when 1 then 'false_positive' when 2 then 'ignored' else 'maybe' end as label, ts from al
  union all select id, 'false_positive', ts + interval 1 hour from al where event_id % 10 = 0)"""
@@ -251,7 +251,7 @@ cast(epoch(timestamp '2024-01-31') as bigint) - cast(floor(epoch(last_seen)) as
 ORACLE["console_tiles"] = f"""with {SCORED} select count(*) as total, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium,
 count(distinct detector) as detectors from al where ts > timestamp '2024-01-30 11:00:00'"""
 ORACLE["score_counters"] = f"with {SCORED} select source, case when is_anomaly then 'true' else 'false' end as is_anomaly, count(*) as n from dc group by all"
-ORACLE["score_points"] = f"with {SCORED} select detector, case when is_anomaly then 'true' else 'false' end as is_anomaly, count(*) as n, round(avg(score), 6) as mean_score from dc group by 1, 2"
+ORACLE["score_points"] = f"with {SCORED} select detector, case when is_anomaly then 'true' else 'false' end as is_anomaly, count(*) as n, round(avg(score), 9) as mean_score from dc group by 1, 2"
 ORACLE["alerts_upsert_latest"] = f"""with {EVENTS}, r as (select user_id as id, ts, source, value, event_id as ingest_seq, row_number() over (partition by user_id order by event_id desc) as rn from ev)
 select id, ts, source, value, ingest_seq from r where rn = 1"""
 ORACLE["anomalies_table"] = f"""with {SCORED} select case when score < 9 then cast(ts as date) end as date, score < 9 as ok, count(*) as n from al group by all"""
@@ -296,7 +296,7 @@ def aligned(series: str, seconds: int, agg: str) -> str:
 
 ORACLE["ts_rate_sum"] = f"""with {aligned('event_type, source', 60, 'count(*) / 60e0')} select event_type, "at", round(sum(a), 9) as reduced from al group by 1, 2"""
 ORACLE["ts_rate_total"] = f"""with {aligned('event_type, source', 3600, 'count(*) / 3600e0')} select "at", round(sum(a), 9) as reduced from al group by 1"""
-ORACLE["ts_mean_max"] = f"""with {aligned('event_type, source', 3600, 'avg(value)')} select event_type, "at", round(max(a), 6) as reduced from al group by 1, 2"""
+ORACLE["ts_mean_max"] = f"""with {aligned('event_type, source', 3600, 'avg(value)')} select event_type, "at", round(max(a), 9) as reduced from al group by 1, 2"""
 ORACLE["ts_percentile_reduce"] = f"""with {aligned('event_type, source, host', 3600, 'count(*) / 3600e0')} select "at", round(quantile_cont(a, 0.95), 9) as reduced from al group by 1"""
 REQUEST_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
 QUERY_BOUNDS = [0.001, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0]
@@ -305,9 +305,9 @@ v as (select event_type, {floor_ts(SIX)} as "at", value / 100 as x from events),
 cb as (select v.event_type, v."at", lo, hi, count(*) filter (x <= hi) as up, count(*) filter (x <= hi and x > lo) as inside from v, bd group by all),
 w as (select cb.*, n * 0.95::double as want from cb join t using (event_type, "at")),
 p as (select event_type, "at", min(hi) as hi from w where up >= want group by all)
-select event_type, "at", round(cast(w.lo as double) + (cast(w.hi as double) - cast(w.lo as double)) * (want - (up - inside)) / inside, 6) as p95 from w join p using (event_type, "at", hi)"""
+select event_type, "at", cast(w.lo as double) + (cast(w.hi as double) - cast(w.lo as double)) * (want - (up - inside)) / inside as p95 from w join p using (event_type, "at", hi)"""
 ORACLE["ts_sustained"] = f"""with {aligned('source', SIX, 'avg(value)')}, lo as (select *, epoch_us("at") // {SIX * 1_000_000} - row_number() over (partition by source order by "at") as isl from al where a < 50)
-select source, min("at") as "from", max("at") + interval {SIX} second as until, count(*) as windows, round(max(a), 6) as highest from lo group by source, isl having count(*) >= 3"""
+select source, min("at") as "from", max("at") + interval {SIX} second as until, count(*) as windows, round(max(a), 9) as highest from lo group by source, isl having count(*) >= 3"""
 ORACLE["counters_by_label"] = f"with {EVENTS} select event_type, status, count(*) as n from ev group by all"
 ORACLE["hist_buckets"] = f"""with bd as (select unnest({[repr(b) for b in QUERY_BOUNDS] + ['+Inf']}) as le, unnest({QUERY_BOUNDS + [1e300]}) as hi)
 select event_type, le, count(*) filter (value / 100 <= hi) as cumulative from events, bd group by event_type, le"""
@@ -317,7 +317,7 @@ ORACLE["traffic_summary"] = f"""with {EVENTS} select event_type, count(*) as n,
 
 # ---- lookups
 
-ORACLE["lake_daily"] = f"with {EVENTS} select source, count(*) as n, round(avg(latency_ms), 6) as avg_latency from ev where cast(ts as date) = date '2024-01-15' group by source"
+ORACLE["lake_daily"] = f"with {EVENTS} select source, count(*) as n, round(avg(latency_ms), 9) as avg_latency from ev where cast(ts as date) = date '2024-01-15' group by source"
 ORACLE["lake_count"] = f"with {EVENTS} select source, count(*) as n from ev group by source"
 ORACLE["app_stats"] = "select (select count(*) from orders) as orders, (select round(coalesce(sum(o_totalprice), 0), 2) from orders) as revenue, (select count(*) from customer) as users"
 ORACLE["products_ordered"] = "select p_partkey as id, p_name as name, p_retailprice as price, p_size as stock from part order by 1"
