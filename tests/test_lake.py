@@ -69,15 +69,25 @@ def test_anomalies_table(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in recent._jdf.queryExecution().executedPlan().toString()
 
 
-def test_merge_alerts_is_repeatable(spark, tmp_path):
+def test_alert_store_keeps_the_newest_row(spark, tmp_path):
     store = str(tmp_path / "alerts")
-    assert lake.latest_snapshot(spark, store) is None
-    a = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "id string, ingest_seq long, v string")
-    b = spark.createDataFrame([("a", 2, "y")], "id string, ingest_seq long, v string")
-    for batch in (a, b, b):
-        path = lake.merge_alerts(spark, batch, store)
-    assert path == lake.latest_snapshot(spark, store) or lake.latest_snapshot(spark, store).endswith("snapshot=2")
-    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("a", "y"), ("b", "x")]
+    a = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, v string")
+    b = spark.createDataFrame([("a", "y")], "id string, v string")
+
+    def stored():
+        return sorted((r.id, r.v) for r in lake.read_alerts(spark, store).collect())
+
+    lake.write_alert_batch(a, store, 0)
+    assert lake.latest_snapshot(spark, store) is None and stored() == [("a", "x"), ("b", "x")]
+    for _ in range(2):
+        lake.write_alert_batch(b, store, 1)
+    assert stored() == [("a", "y"), ("b", "x")]
+    first = lake.compact_alerts(spark, store)
+    assert first.endswith("snapshot=0") and lake.latest_snapshot(spark, store).endswith("snapshot=0")
+    assert stored() == [("a", "y"), ("b", "x")]
+    lake.write_alert_batch(spark.createDataFrame([("b", "z"), ("c", "z")], "id string, v string"), store, 2)
+    assert lake.compact_alerts(spark, store).endswith("snapshot=1")
+    assert stored() == [("a", "y"), ("b", "z"), ("c", "z")]
 
 
 def test_retention(spark):

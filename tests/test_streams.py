@@ -86,10 +86,10 @@ def test_alert_sink_upserts(spark, tmp_path):
     write_feature_files(spark, str(tmp_path / "f"), 1)
     features = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "f"))
     hits = evaluate_rules(features, renamed_rules()).persist()
-    sink = jobs.alerts_sink(spark, str(tmp_path / "store"))
+    sink = jobs.alerts_sink(str(tmp_path / "store"))
     for batch in (0, 1):
         sink(hits, batch)
-    stored = spark.read.parquet(lake.latest_snapshot(spark, str(tmp_path / "store")))
+    stored = lake.read_alerts(spark, str(tmp_path / "store"))
     assert stored.count() == hits.count() == stored.select("id").distinct().count()
 
 

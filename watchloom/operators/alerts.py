@@ -41,9 +41,11 @@ def route_and_decide(
     flag: str = "model_flag",
     threshold: float = ANOMALY_THRESHOLD,
 ) -> DataFrame:
-    """Add detector, score and is_anomaly. A source without a detector scores 0.0."""
-    # the routing table has one row per allowed source, so its size is fixed
-    routed = events.join(F.broadcast(routing), "source", "left")
+    """Add detector, score and is_anomaly. A source without a detector scores 0.0.
+
+    The routing table is small; whether it is broadcast is left to Spark's size check.
+    """
+    routed = events.join(routing, "source", "left")
     served = F.coalesce(F.col("endpoint") != "", F.lit(False))
     value = F.when(served, F.coalesce(F.col(score).cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
     flagged = served & F.coalesce(F.col(flag), F.lit(False))

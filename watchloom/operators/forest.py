@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions.ordered import interpolated_quantile
 from watchloom.schema import FEATURE_COLUMNS
+from watchloom.session import held
 
 TREES, PSI, CONTAMINATION, SEED = 100, 256, 0.01, 42
 SPARE = 4  # sampled rows per needed row, so that every tree fills its sample
@@ -116,9 +117,7 @@ def fit_forest(
 ) -> Forest:
     """Train on ``df``; ``keys`` identify a row, so retries draw the same sample."""
     columns = list(columns)
-    # training passes over its rows a few times; lost blocks are recomputed from the input
-    rows = df.select(*keys, *columns).persist()
-    try:
+    with held(df.select(*keys, *columns)) as rows:
         n = rows.count()
         if n == 0:
             raise ValueError("no features")
@@ -135,14 +134,9 @@ def fit_forest(
 
         nodes = tree_samples(rows, keys, columns, n, trees, psi, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
         forest = Forest(nodes.sort_values(["tree", "node"], ignore_index=True), columns, psi, trees)
-        scores = score_forest(rows, forest, flag=False).select(F.col("anomaly_score").alias("v")).persist()
-        try:
+        with held(score_forest(rows, forest, flag=False).select(F.col("anomaly_score").alias("v"))) as scores:
             stats = scores.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
             cut = interpolated_quantile(scores, [], "v", 1.0 - contamination, "cut").first()
-        finally:
-            scores.unpersist()
-    finally:
-        rows.unpersist()
     forest.mean, forest.std, forest.threshold = float(stats["m"]), float(stats["s"]) or 1.0, float(cut["cut"])
     return forest
 

@@ -32,10 +32,18 @@ def shop_stats(orders: DataFrame, users: DataFrame, total: str = "total", order_
     return o.unionByName(u).agg(F.max("orders").alias("orders"), F.max("revenue").alias("revenue"), F.max("users").alias("users"))
 
 
-def order_detail(orders: DataFrame, items: DataFrame, key: str = "order_id", fields: Sequence[str] = ("product_id", "quantity", "unit_price")) -> DataFrame:
-    """Each order with its items as a sorted list (an order's items are few)."""
-    lists = items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
-    return orders.join(lists, key)
+def order_detail(orders: DataFrame, items: DataFrame, key: str = "order_id") -> DataFrame:
+    """Each order beside each of its items, one row per item.
+
+    An order with very many items stays spread over rows, which the skew join can split.
+    """
+    return orders.join(items, key)
+
+
+def order_document(orders: DataFrame, items: DataFrame, order_id: int, key: str = "order_id", fields: Sequence[str] = ("product_id", "quantity", "unit_price")) -> DataFrame:
+    """One order as a single nested row, the form an order page shows."""
+    lines = items.where(F.col(key) == order_id).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+    return orders.where(F.col(key) == order_id).join(lines, key)
 
 
 def order_totals(items: DataFrame, products: DataFrame) -> DataFrame:

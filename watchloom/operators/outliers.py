@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.operators.forest import Forest, fit_forest, score_forest
+from watchloom.session import held
 
 
 def text_vectors(df: DataFrame, text: str, dims: int = 256, components: int = 8) -> DataFrame:
@@ -22,9 +23,11 @@ def text_vectors(df: DataFrame, text: str, dims: int = 256, components: int = 8)
     rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+").transform(rows)
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(words).select(*keep, "_tf")
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
-    dense = PCA(k=components, inputCol="_tfidf", outputCol="_pc").fit(weighted).transform(weighted)
-    arr = dense.withColumn("_a", vector_to_array("_pc"))
+    # both fits pass over the term counts; keep those and not the text
+    with held(counts.select("_tf")) as fitting:
+        idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(fitting)
+        pca = PCA(k=components, inputCol="_tfidf", outputCol="_pc").fit(idf.transform(fitting))
+    arr = pca.transform(idf.transform(counts)).withColumn("_a", vector_to_array("_pc"))
     return arr.select(*keep, *[F.col("_a")[i].alias(f"c{i}") for i in range(components)])
 
 
@@ -45,9 +48,10 @@ def reconstruction_error(df: DataFrame, series: Sequence[str], order: Sequence[s
     w = Window.partitionBy(*series).orderBy(*order)
     names = [f"_v{i}" for i in range(width)]
     rows = df.select("*", *[F.lag(value, i).over(w).alias(n) for i, n in enumerate(names)]).where(F.col(names[-1]).isNotNull())
-    vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(rows)
-    pc = PCA(k=components, inputCol="_vec", outputCol="_pc").fit(vec).pc.toArray()
-    means = rows.agg(*[F.avg(n).alias(n) for n in names]).first()
+    with held(rows.select(*names)) as fitting:
+        vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(fitting)
+        pc = PCA(k=components, inputCol="_vec", outputCol="_pc").fit(vec).pc.toArray()
+        means = fitting.agg(*[F.avg(n).alias(n) for n in names]).first()
     centred = [F.col(n) - F.lit(float(means[n])) for n in names]
 
     def weighted(cols, weights):

@@ -133,6 +133,9 @@ def with_ewma(series: DataFrame, part: Sequence[str], order: Sequence[str], alph
 def evaluate_rules(features: DataFrame, rules: Sequence[Rule], order: str = "window_end", noise_floor: float = 0.0) -> DataFrame:
     """Fired rules as anomaly rows: ts, rule, metric, value, source, host, severity, detector.
 
+    Each kind of rule reads ``features`` on its own, so pass a stored table rather
+    than a plan that aggregates the events again.
+
     ``noise_floor`` is the least absolute deviation an EWMA rule reports; the
     default 0 keeps the compatible behaviour, which can fire on rounding noise.
     """
@@ -184,7 +187,7 @@ def evaluate_rules(features: DataFrame, rules: Sequence[Rule], order: str = "win
 
 
 def fired_per_record(features: DataFrame, anomalies: DataFrame, order: str = "window_end") -> DataFrame:
-    """Every record with the names of the rules it fired and their number."""
+    """Every record with the names of the rules it fired and their number (at most all rules)."""
     keys = [*SERIES, order]
     records = features.select(*keys, F.lit(None).cast("string").alias("rule"))
     hits = anomalies.select(*SERIES, F.col("ts").alias(order), "rule")

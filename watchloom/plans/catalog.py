@@ -133,6 +133,15 @@ def six_hour_features(spark, sf):
     return security_features(inputs.events(spark, sf), SIX_HOURS, "tumbling")
 
 
+def feature_table(spark, sf):
+    """The same features as a stored table: the events are aggregated once, then read by several consumers."""
+    return lake.materialised(six_hour_features(spark, sf), new_run_dir(spark, "features"))
+
+
+def anomalies(spark, sf):
+    return evaluate_rules(feature_table(spark, sf), DEMO_RULES)
+
+
 SERIES = ["source", "host"]
 
 
@@ -174,30 +183,30 @@ def rule_ewma(spark, sf):
 
 @query
 def rules_all_fired(spark, sf):
-    return evaluate_rules(six_hour_features(spark, sf), DEMO_RULES)
+    return anomalies(spark, sf)
 
 
 @query
 def rules_shipped(spark, sf):
-    return evaluate_rules(six_hour_features(spark, sf), load_rules())
+    return evaluate_rules(feature_table(spark, sf), load_rules())
 
 
 @query
 def rules_per_record(spark, sf):
-    f = six_hour_features(spark, sf)
+    f = feature_table(spark, sf)
     per = fired_per_record(f, evaluate_rules(f, DEMO_RULES))
     return per.withColumn("fired", F.array_join("fired", ","))
 
 
 @query
 def anomaly_metric_points(spark, sf):
-    points = emit(evaluate_rules(six_hour_features(spark, sf), DEMO_RULES))["metric"]
+    points = emit(anomalies(spark, sf))["metric"]
     return points.groupBy("metric_type", F.col("labels")["rule"].alias("rule"), F.col("labels")["source"].alias("source"), "end_time").agg(F.sum("value").alias("value"))
 
 
 @query
 def anomaly_log_rows(spark, sf):
-    rows = emit(evaluate_rules(six_hour_features(spark, sf), DEMO_RULES))["log"]
+    rows = emit(anomalies(spark, sf))["log"]
     return rows.select("ts", "severity", F.get_json_object("payload", "$.rule").alias("rule"), F.get_json_object("payload", "$.source").alias("source"), F.get_json_object("payload", "$.host").alias("host"))
 
 
@@ -667,9 +676,7 @@ def products(spark, sf):
 @query
 def order_detail(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"))
-    d = lookups.order_detail(o, order_items(spark, sf), fields=("product_id", "quantity"))
-    text = F.array_join(F.transform("items", lambda i: F.concat(i["product_id"], F.lit("x"), i["quantity"])), ",")
-    return d.withColumn("items", text)
+    return lookups.order_detail(o, order_items(spark, sf))
 
 
 @query
@@ -773,7 +780,7 @@ def seasonal_z(spark, sf):
 
 @query
 def forest_scores(spark, sf):
-    f = six_hour_features(spark, sf)
+    f = feature_table(spark, sf)
     return score_forest(f, fit_forest(f, FEATURE_KEYS)).select(*FEATURE_KEYS, "anomaly_score", "is_anomaly", "score_z")
 
 
@@ -785,7 +792,7 @@ def tfidf_outliers(spark, sf):
 
 @query
 def recon_error(spark, sf):
-    f = six_hour_features(spark, sf).select(*FEATURE_KEYS, "p99_latency")
+    f = feature_table(spark, sf).select(*FEATURE_KEYS, "p99_latency")
     return reconstruction_error(f, SERIES, ["window_end"], "p99_latency")
 
 
@@ -831,4 +838,4 @@ def stream_archive(spark, sf):
 def flagship(spark, sf):
     """Daily features, threshold and z-score rules, anomalies by time."""
     rules = [Rule("error_rate_spike", "rate_5xx", "threshold", "HIGH", value=0.05), Rule("latency_z_spike", "p99_latency", "zscore", "MEDIUM", threshold=2.5)]
-    return evaluate_rules(six_hour_features(spark, sf), rules).orderBy("ts", "source", "host", "rule")
+    return evaluate_rules(feature_table(spark, sf), rules).orderBy("ts", "source", "host", "rule")

@@ -322,8 +322,8 @@ ORACLE["lake_count"] = f"with {EVENTS} select source, count(*) as n from ev grou
 ORACLE["app_stats"] = "select (select count(*) from orders) as orders, (select round(coalesce(sum(o_totalprice), 0), 2) from orders) as revenue, (select count(*) from customer) as users"
 ORACLE["products_ordered"] = "select p_partkey as id, p_name as name, p_retailprice as price, p_size as stock from part order by 1"
 ORACLE["product_by_id"] = "select p_partkey as id, p_name as name, p_retailprice as price from part where p_partkey = 42"
-ORACLE["order_detail"] = """select o_orderkey as order_id, o_custkey as user_id, o_totalprice as total, o_orderstatus as status,
-string_agg(l_partkey || 'x' || cast(l_quantity as int), ',' order by l_partkey, l_quantity) as items from orders join lineitem on l_orderkey = o_orderkey group by 1, 2, 3, 4"""
+ORACLE["order_detail"] = """select o_orderkey as order_id, o_custkey as user_id, o_totalprice as total, o_orderstatus as status, l_partkey as product_id,
+cast(l_quantity as int) as quantity, l_extendedprice / l_quantity as unit_price, l_linenumber as line from orders join lineitem on l_orderkey = o_orderkey"""
 ORACLE["order_total"] = """select l_orderkey as order_id, round(sum(p_retailprice * l_quantity), 3) as total, count(*) as lines from lineitem left join part on p_partkey = l_partkey
 group by 1 having count(*) filter (p_partkey is null or p_size < l_quantity) = 0"""
 ORACLE["failed_login_streak"] = """with a as (select event_id, user_id, ts, event_type <> 'error' as success from events),

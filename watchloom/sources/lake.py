@@ -72,23 +72,44 @@ def read_anomalies(spark: SparkSession, path: str, since: str | None = None) ->
     return df.where((F.col("date") >= F.to_date(F.lit(since))) & (F.col("ts") >= F.lit(since).cast("timestamp"))) if since else df
 
 
-def merge_alerts(spark: SparkSession, incoming: DataFrame, store: str, version: str = "ingest_seq") -> str:
-    """Upsert by id into a versioned store; returns the new snapshot's path.
+def write_alert_batch(alerts: DataFrame, store: str, batch: int, version: str = "ingest_seq") -> None:
+    """Add one batch of alerts to the store; writing a batch again replaces it.
 
-    Each merge writes a new snapshot folder, so a failed job leaves the last one whole.
+    The cost is that of the batch: ids are settled when the store is read.
     """
-    current = latest_snapshot(spark, store)
-    before = spark.read.parquet(current) if current else None
-    number = int(current.rsplit("=", 1)[1]) + 1 if current else 0
-    target = f"{store.rstrip('/')}/snapshot={number}"
-    upsert(before, incoming, version=version).write.mode("overwrite").parquet(target)
+    rows = alerts.withColumn(version, F.lit(batch).cast("bigint"))
+    rows.write.mode("overwrite").parquet(f"{store.rstrip('/')}/deltas/batch={batch}")
+
+
+def read_alerts(spark: SparkSession, store: str, version: str = "ingest_seq") -> DataFrame:
+    """The newest row per alert id over the last snapshot and all batches."""
+    newest = upsert(_snapshot(spark, store), spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/deltas"), version=version)
+    return newest.drop(version)
+
+
+def compact_alerts(spark: SparkSession, store: str, version: str = "ingest_seq") -> str:
+    """Fold all batches into a new snapshot and return its path.
+
+    A failed run leaves the last snapshot whole. Batches that are also in a snapshot
+    do not change what is read, so they may be deleted at any later time.
+    """
+    last = latest_snapshot(spark, store)
+    number = int(last.rsplit("=", 1)[1]) + 1 if last else 0
+    target = f"{store.rstrip('/')}/snapshots/snapshot={number}"
+    deltas = spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/deltas")
+    upsert(_snapshot(spark, store), deltas, version=version).write.mode("overwrite").parquet(target)
     return target
 
 
+def _snapshot(spark: SparkSession, store: str) -> DataFrame | None:
+    path = latest_snapshot(spark, store)
+    return spark.read.parquet(path) if path else None
+
+
 def latest_snapshot(spark: SparkSession, store: str) -> str | None:
     """Path of the newest complete snapshot, from a listing of the store."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(store)
+    path = hadoop.Path(f"{store}/snapshots")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
@@ -121,3 +142,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+
+
+def materialised(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once and return the written table, for plans that read it several times."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,8 @@ from watchloom.operators.alerts import alerts_from_anomalies
 from watchloom.operators.features import facet_rows, features_from_counts
 from watchloom.operators.rules import Rule, emit
 from watchloom.schema import EVENT_SCHEMA, FEATURE_KEYS, FEATURE_SCHEMA
-from watchloom.sources.lake import merge_alerts
+from watchloom.session import held
+from watchloom.sources.lake import write_alert_batch
 from watchloom.streaming.rule_state import ANOMALY_SCHEMA, RuleProcessor
 
 ARCHIVE_TRIGGER = "5 minutes"
@@ -72,11 +73,8 @@ def features_job(
     """
 
     def finish(counts: DataFrame, batch: int) -> None:
-        counts = counts.persist()  # the plan below reads them twice; state must be read once
-        try:
-            features_from_counts(counts, seconds).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        finally:
-            counts.unpersist()
+        with held(counts) as rows:  # the plan below reads them twice; state must be read once
+            features_from_counts(rows, seconds).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     writer = streaming_counts(events, seconds, delay, mode).writeStream.outputMode("append").foreachBatch(finish)
     return trigger(writer.option("checkpointLocation", checkpoint), every).start()
@@ -99,22 +97,19 @@ def anomalies_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Write the three emitted forms of a batch of anomalies, computed once."""
 
     def write(anomalies: DataFrame, batch: int) -> None:
-        anomalies = anomalies.persist()
-        try:
-            for form, rows in emit(anomalies).items():
+        with held(anomalies) as found:
+            for form, rows in emit(found).items():
                 rows.write.mode("overwrite").json(f"{path}/{form}/batch={batch}")
-            anomalies.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        finally:
-            anomalies.unpersist()
+            found.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
     return write
 
 
-def alerts_sink(spark: SparkSession, store: str) -> Callable[[DataFrame, int], None]:
-    """Upsert alerts by id; a batch run twice gives the same rows."""
+def alerts_sink(store: str) -> Callable[[DataFrame, int], None]:
+    """Add alerts to the store, where the newest row of an id counts; a batch run twice counts once."""
 
     def write(anomalies: DataFrame, batch: int) -> None:
-        merge_alerts(spark, alerts_from_anomalies(anomalies).withColumn("ingest_seq", F.lit(batch).cast("bigint")), store)
+        write_alert_batch(alerts_from_anomalies(anomalies), store, batch)
 
     return write
 
