@@ -52,6 +52,8 @@ def test_access_line_extras(spark):
     row = parse.parse_nginx(lines(spark, LINE + " rt=0.125"), read_latency=True, redact_message=True).first()
     assert row.latency_ms == 125.0
     assert "1.2.3.4" not in row.message and row.src_ip in row.message
+    stamped = parse.parse_nginx(lines(spark, LINE), ingest=F.lit("2030-01-01").cast("timestamp"), line_time=False).first()
+    assert str(stamped.ts) == "2030-01-01 00:00:00" == str(stamped.ingest_ts)
 
 
 def test_load_balancer_record(spark):

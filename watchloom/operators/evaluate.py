@@ -78,17 +78,16 @@ def _scored(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.select(F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y"), F.col(score).cast("double").alias("s"))
 
 
-def _with_cut(rows: DataFrame, q: float) -> DataFrame:
-    """Every row beside the quantile of all scores (a one-row side)."""
-    cut = interpolated_quantile(rows, [], "s", q, "cut").select("cut", F.lit(1).alias("_one"))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one", "left").drop("_one")
+def _cut(rows: DataFrame, q: float) -> Column:
+    """The quantile of all scores as one value (a scalar subquery; null without scores)."""
+    return interpolated_quantile(rows, [], "s", q, "cut").scalar()
 
 
 def f1_at_quantile(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score", q: float = 0.99) -> DataFrame:
     """f1, precision, recall, n with 'anomalous' meaning score > the quantile."""
-    rows = _with_cut(_scored(df, label, score), q)
+    rows = _scored(df, label, score)
     flagged = F.coalesce(F.col("s") > F.col("cut"), F.lit(False))
-    counts = rows.agg(
+    counts = rows.withColumn("cut", _cut(rows, q)).agg(
         F.count_if(flagged & (F.col("y") == 1)).alias("tp"),
         F.count_if(flagged & (F.col("y") != 1)).alias("fp"),
         F.count_if(~flagged & (F.col("y") == 1)).alias("fn"),
@@ -106,9 +105,9 @@ def f1_at_quantile(df: DataFrame, label: str = "is_anomaly", score: str = "anoma
 
 def precision_at_top(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score", q: float = 0.99) -> DataFrame:
     """precision_top1pct, n: share of true anomalies with score >= the quantile."""
-    rows = _with_cut(_scored(df, label, score), q)
+    rows = _scored(df, label, score)
     top = F.coalesce(F.col("s") >= F.col("cut"), F.lit(False))
-    counts = rows.agg(F.count_if(top & (F.col("y") == 1)).alias("hit"), F.count_if(top).alias("top"), F.count(F.lit(1)).alias("n"))
+    counts = rows.withColumn("cut", _cut(rows, q)).agg(F.count_if(top & (F.col("y") == 1)).alias("hit"), F.count_if(top).alias("top"), F.count(F.lit(1)).alias("n"))
     return counts.select(share(F.col("hit"), F.col("top")).alias("precision_top1pct"), "n")
 
 

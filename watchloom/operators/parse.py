@@ -52,18 +52,21 @@ def parse_nginx(
     key: bytes = DEFAULT_KEY,
     redact_message: bool = False,
     read_latency: bool = False,
+    line_time: bool = True,
 ) -> DataFrame:
-    """Access lines; the time comes from the line. Lines without a match are dropped.
+    """Access lines; lines without a match are dropped.
 
     ``redact_message`` replaces the client address inside the kept raw line;
-    ``read_latency`` also reads the optional ``rt=`` tail.
+    ``read_latency`` also reads the optional ``rt=`` tail; ``line_time=False`` stamps
+    the time of ingest instead of the time in the line.
     """
+    ingest = F.current_timestamp() if ingest is None else ingest
     rows = lines.where(F.col(text).rlike(ACCESS_PATTERN))
     ip = captured(text, ACCESS_PATTERN, CLIENT)
     hashed = pseudonym(ip, key)
     fields = dict(
-        ts=F.try_to_timestamp(captured(text, ACCESS_PATTERN, TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
-        ingest_ts=F.current_timestamp() if ingest is None else ingest,
+        ts=F.try_to_timestamp(captured(text, ACCESS_PATTERN, TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z")) if line_time else ingest,
+        ingest_ts=ingest,
         host=F.lit(host),
         message=F.replace(F.col(text), ip, hashed) if redact_message else F.col(text),
         status=captured(text, ACCESS_PATTERN, STATUS).try_cast("int"),
