@@ -19,7 +19,11 @@ from watchloom.schema import ALLOWED_SOURCES, EVENT_SCHEMA, SOURCE_ALIASES
 # Fixed value: the combined access-log pattern
 # (client, time, method, path, status, size, user agent).
 ACCESS_PATTERN = r'(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+\S+"\s+(\d+)\s+(\d+|-)\s+"[^"]*"\s+"([^"]*)"'
-CLIENT, TIME, METHOD, PATH, STATUS, SIZE, AGENT = range(1, 8)
+
+# One pass takes a whole line apart: the five groups without white space (client, method, path,
+# status, size) on a line each, then the time, which holds no ']', and the user agent.
+_WHOLE_LINE = f"(?s)^.*?{ACCESS_PATTERN}.*$"
+_TAKEN_APART = "$1\n$3\n$4\n$5\n$6\n$2]$7"
 
 _HTTP = "struct<requestUrl:string,status:string,latency:string,remoteIp:string,userAgent:string,responseSize:string>"
 LB_JSON = f"timestamp timestamp, httpRequest {_HTTP}, resource struct<labels:struct<backend_service_name:string>>"
@@ -61,19 +65,21 @@ def parse_nginx(
     the time of ingest instead of the time in the line.
     """
     ingest = F.current_timestamp() if ingest is None else ingest
-    rows = lines.where(F.col(text).rlike(ACCESS_PATTERN))
-    ip = captured(text, ACCESS_PATTERN, CLIENT)
-    hashed = pseudonym(ip, key)
+    parts = F.split(F.regexp_replace(text, _WHOLE_LINE, _TAKEN_APART), "\n", 6)
+    rows = lines.where(F.col(text).rlike(ACCESS_PATTERN)).withColumn("_p", parts)
+    ip, path, status, size, rest = (F.col("_p")[i] for i in (0, 2, 3, 4, 5))
+    logged = F.substring_index(rest, "]", 1)
+    rows = rows.withColumn("_ip", pseudonym(ip, key))
     fields = dict(
-        ts=F.try_to_timestamp(captured(text, ACCESS_PATTERN, TIME), F.lit("dd/MMM/yyyy:HH:mm:ss Z")) if line_time else ingest,
+        ts=F.try_to_timestamp(logged, F.lit("dd/MMM/yyyy:HH:mm:ss Z")) if line_time else ingest,
         ingest_ts=ingest,
         host=F.lit(host),
-        message=F.replace(F.col(text), ip, hashed) if redact_message else F.col(text),
-        status=captured(text, ACCESS_PATTERN, STATUS).try_cast("int"),
-        bytes=captured(text, ACCESS_PATTERN, SIZE).try_cast("bigint"),
-        src_ip=hashed,
-        path=captured(text, ACCESS_PATTERN, PATH),
-        user_agent=F.regexp_extract(text, ACCESS_PATTERN, AGENT),
+        message=F.replace(F.col(text), ip, F.col("_ip")) if redact_message else F.col(text),
+        status=status.try_cast("int"),
+        bytes=size.try_cast("bigint"),
+        src_ip=F.col("_ip"),
+        path=path,
+        user_agent=F.substr(rest, F.length(logged) + 2),
     )
     if read_latency:
         fields["latency_ms"] = request_seconds(text) * 1000
