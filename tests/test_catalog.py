@@ -12,7 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as spark_entry  # noqa: E402
 
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+from watchloom.plans.catalog import CATALOG as QUERIES  # noqa: E402
+from watchloom.plans.oracle import ORACLE as SQL  # noqa: E402
+
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 ROWS_ONLY = {"distinct_ips_sketch", "generated_events", "forest_scores", "tfidf_outliers", "recon_error"}
 
