@@ -22,6 +22,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *keys: str, most: int = 10_000) -> DataFrame:
+    """Deal a short table of work items out to tasks of their own (adaptive execution would join them into one)."""
+    return rows.repartition(max(1, min(rows.count(), most)), *keys)
+
+
 def utf8_bytes(text: Column) -> Column:
     """Length of the UTF-8 form, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

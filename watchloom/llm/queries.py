@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import mixing, sharding, tokens, toxicity, warc
+from watchloom.llm import decontaminate, mixing, sharding, tokens, toxicity, warc
 from watchloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +38,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_table(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op4_feistel_shards, op6_mix_sources, op8_token_files, op9_warc)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op4_feistel_shards, op6_mix_sources, op8_token_files, op9_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}

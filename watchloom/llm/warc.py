@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm import files
-from watchloom.llm.common import stored
+from watchloom.llm.common import spread, stored
 from watchloom.session import new_run_dir
 
 CHUNK = 1 << 20
@@ -167,7 +167,7 @@ def normalise_archives(names: DataFrame, level: int = LEVEL) -> DataFrame:
                         at, count = at + len(data), count + 1
                 yield files.rows(schema, file=[to], n_records=[count])
 
-    return stored(names.repartition(F.col("file")).mapInArrow(rewrite, NAME_SCHEMA), "warc-members")
+    return stored(spread(names, "file").mapInArrow(rewrite, NAME_SCHEMA), "warc-members")
 
 
 def read_archives(names: DataFrame, per_task: int = 2000, payloads: bool = True) -> DataFrame:
@@ -194,7 +194,7 @@ def read_archives(names: DataFrame, per_task: int = 2000, payloads: bool = True)
                         yield files.rows(schema, **dict(zip(schema.names, zip(*got, strict=True), strict=True)))
 
     runs = names.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1, F.lit(per_task).cast("long"))).alias("first"))
-    return runs.repartition(F.col("file"), F.col("first")).mapInArrow(read, READ_SCHEMA)
+    return spread(runs, "file", "first").mapInArrow(read, READ_SCHEMA)
 
 
 def parse_record(record: bytes, payloads: bool) -> tuple:
