@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontaminate, mixing, sharding, tokens, toxicity, warc
+from watchloom.llm import decontaminate, embeddings, mixing, sharding, tokens, toxicity, warc
 from watchloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op4_feistel_shards, op6_mix_sources, op8_token_files, op9_warc, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op3_toxicity, op4_feistel_shards, op6_mix_sources, op8_token_files, op9_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
