@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontaminate, embeddings, mixing, sharding, tokens, toxicity, warc
+from watchloom.llm import decontaminate, embeddings, mixing, nearjoin, sharding, tokens, toxicity, warc
 from watchloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op3_toxicity, op4_feistel_shards, op6_mix_sources, op8_token_files, op9_warc, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op8_token_files, op9_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
