@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontaminate, embeddings, mixing, nearjoin, sharding, tokens, toxicity, warc
+from watchloom.llm import decontaminate, embeddings, mixing, nearjoin, secrets, sharding, tokens, toxicity, warc
 from watchloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_table(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,5 +54,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op8_token_files, op9_warc, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op7_secret_scan, op8_token_files, op9_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
