@@ -259,7 +259,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataF
     return each.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(work, "node binary, shingles array<long>")
 
 
-def near_texts(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+    """One row per different text with words: node, n (rows that have it), least_id, links, component (null alone) and class_id."""
     rows = nodes_of(docs, text)
     known = stored(sketched(docs, text).dropDuplicates(["node"]), "sketches")
     counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_id"))
@@ -284,9 +285,23 @@ def near_texts(docs: DataFrame, least: float = LEAST, text: str = "text") -> Dat
     links = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(edges, "node", "other")
     smallest = joined.join(nodes, "node").groupBy("component").agg(F.min("least_id").alias("class_id"))
-    named = joined.join(smallest, "component").select("node", "class_id")
-    all_nodes = nodes.join(links, "node", "left").join(named, "node", "left")
-    all_nodes = all_nodes.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "least_id").alias("class_id"))
-    out = rows.join(all_nodes, "node", "left")
+    named = joined.join(smallest, "component").select("node", "component", "class_id")
+    return nodes.join(links, "node", "left").join(named, "node", "left")
+
+
+def near_texts(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+    known = classes(docs, least, text)
+    known = known.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "least_id").alias("class_id"))
+    out = nodes_of(docs, text).join(known, "node", "left")
     own_class = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", own_class.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == own_class, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, the one of its smallest doc_id (the smallest checksum of those); rows without words stay."""
+    known = stored(classes(docs, least, text).select("node", "least_id", F.coalesce("component", "node").alias("component")), "text-classes")
+    chosen = known.groupBy("component").agg(F.min_by("node", F.struct(F.coalesce("least_id", F.lit((1 << 63) - 1)), "node")).alias("_first"))
+    marked = known.join(chosen, "component").select(F.col("node").alias("_node"), F.col("least_id").alias("_least"), (F.col("node") == F.col("_first")).alias("_chosen"))
+    each = docs.withColumn("_own", F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))).join(marked, F.col("_own") == F.col("_node"), "left")
+    one = each.where(F.col("_chosen") & F.col("doc_id").eqNullSafe(F.col("_least"))).dropDuplicates(["_own"])
+    return one.unionAll(each.where(F.col("_node").isNull())).select(*docs.columns)

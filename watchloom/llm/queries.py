@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontaminate, embeddings, mixing, nearjoin, secrets, sharding, tokens, toxicity, warc
+from watchloom.llm import decontaminate, embeddings, mixing, nearjoin, secrets, sharding, substrings, tokens, toxicity, warc
 from watchloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,5 +58,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op7_secret_scan, op8_token_files, op9_warc, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op2_substring_dedup, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op7_secret_scan, op8_token_files, op9_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
