@@ -125,3 +125,20 @@ def test_required_columns(spark):
     al = make_alerts(spark, 4).withColumn("score", F.when(F.col("id") != "a01", F.col("score")))
     good, bad = A.anomaly_rows(al)
     assert good.count() == 3 and bad.first().id == "a01" and "date" in good.columns
+
+
+def test_ids_tell_nulls_and_separators_apart(spark):
+    from watchloom.functions.columns import stable_id
+
+    rows = [(None, "x", "r"), ("x", None, "r"), ("x", "r", None), ("a|b", "c", ""), ("a", "b|c", ""), ("a\\", "|b|c", ""), ("\\N", "x", "r")]
+    ids = [r.i for r in spark.createDataFrame(rows, "a string, b string, c string").select(stable_id("a", "b", "c").alias("i")).collect()]
+    assert len(set(ids)) == len(rows)
+
+
+def test_named_routes_move_no_row(spark):
+    df = spark.range(10).select(F.lit("lb").alias("source"), F.lit("h").alias("host"), F.lit(4.0).alias("anomaly_score"), F.lit(True).alias("model_flag"), F.lit(T0).alias("ts"), F.col("id").alias("event_id"))
+    routed = A.route_and_decide(df)
+    assert "Exchange" not in routed._jdf.queryExecution().executedPlan().toString()
+    by_table = A.route_and_decide(df, A.routing_table(spark))
+    assert sorted(map(tuple, routed.collect())) == sorted(map(tuple, by_table.select(routed.columns).collect()))
+    assert A.alerts_from_scores(routed).select("id").distinct().count() == 10

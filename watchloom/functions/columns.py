@@ -37,8 +37,16 @@ def one_of(col: Column | str, allowed: Sequence[str]) -> Column:
 
 
 def stable_id(*cols: Column | str) -> Column:
-    """Repeatable row id: a retry of a lost task gives the same value again."""
-    return F.sha2(F.concat_ws("|", *[_col(c).cast("string") for c in cols]), 256).substr(1, 32)
+    """Repeatable row id: a retry of a lost task gives the same value again.
+
+    Values are escaped and null has a mark of its own, so different rows give different texts.
+    """
+
+    def text(c: Column | str) -> Column:
+        plain = F.replace(F.replace(_col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(plain, F.lit("\\N"))
+
+    return F.sha2(F.concat_ws("|", *[text(c) for c in cols]), 256).substr(1, 32)
 
 
 def epoch(col: Column | str) -> Column:

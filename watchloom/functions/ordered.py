@@ -8,6 +8,7 @@ only the bucket that holds a wanted rank is looked at value by value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,8 +91,10 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[st
 
 
 def low_rank(n: Column, q: float) -> Column:
-    """1-based rank of sorted[int(n*q) - 1], clamped to the first value."""
-    return F.when(n > 0, F.greatest(F.floor(n * F.lit(round(q * 1000)) / F.lit(1000)), F.lit(1)))
+    """1-based rank of sorted[int(n*q) - 1], clamped to the first value; q counts as the decimal that it is written as."""
+    exact = Fraction(str(q))
+    times = n.cast("decimal(38,0)") * F.lit(exact.numerator)
+    return F.when(n > 0, F.greatest(F.floor(times / F.lit(exact.denominator)).cast("bigint"), F.lit(1)))
 
 
 def rank_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:

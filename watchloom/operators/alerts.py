@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchloom.functions.columns import epoch, one_of, share, stable_id
 from watchloom.schema import ALERT_SCHEMA, FEATURE_COLUMNS, FEEDBACK_LABELS
@@ -34,18 +35,31 @@ def routing_table(spark: SparkSession, routes: dict[str, str] | None = None) ->
     return spark.createDataFrame(list((routes or ROUTES).items()), "source string, endpoint string")
 
 
+ROUTES_LIMIT = 10_000
+
+
+def _endpoint_of(events: DataFrame, routing: DataFrame | dict[str, str] | None) -> DataFrame:
+    """``events`` with ``endpoint``. Named routes are a literal map and move no row. A table is
+    broadcast where it has ROUTES_LIMIT rows at most; a larger one is joined as Spark sees fit."""
+    if isinstance(routing, DataFrame):
+        small = len(routing.select("source").limit(ROUTES_LIMIT + 1).collect()) <= ROUTES_LIMIT
+        return events.join(F.broadcast(routing) if small else routing, "source", "left")
+    pairs = [F.lit(x) for pair in (ROUTES if routing is None else routing).items() for x in pair]
+    return events.withColumn("endpoint", F.try_element_at(F.create_map(*pairs), F.col("source")) if pairs else F.lit(None).cast("string"))
+
+
 def route_and_decide(
     events: DataFrame,
-    routing: DataFrame,
+    routing: DataFrame | dict[str, str] | None = None,
     score: str = "anomaly_score",
     flag: str = "model_flag",
     threshold: float = ANOMALY_THRESHOLD,
 ) -> DataFrame:
     """Add detector, score and is_anomaly. A source without a detector scores 0.0.
 
-    The routing table is small; whether it is broadcast is left to Spark's size check.
+    ``routing`` is a mapping (ROUTES if left out) or a table of (source, endpoint).
     """
-    routed = events.join(routing, "source", "left")
+    routed = _endpoint_of(events, routing)
     served = F.coalesce(F.col("endpoint") != "", F.lit(False))
     value = F.when(served, F.coalesce(F.col(score).cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
     flagged = served & F.coalesce(F.col(flag), F.lit(False))
@@ -69,7 +83,13 @@ def payload_severity(severity: Column, score: Column) -> Column:
     return F.coalesce(F.nullif(severity, F.lit("")), from_score)
 
 
-def alerts_from_scores(decided: DataFrame, id_columns: Sequence[str] = ("source", "host", "detector", "ts")) -> DataFrame:
+def alerts_from_scores(decided: DataFrame, id_columns: Sequence[str] | None = None) -> DataFrame:
+    """Alerts of the rows that are anomalies.
+
+    Without ``id_columns`` the id hashes the whole row, so two events of one host in one instant keep an alert each.
+    """
+    if id_columns is None:
+        id_columns = sorted(f.name for f in decided.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)))
     explanation = F.col("explanation") if "explanation" in decided.columns else F.lit("{}")
     return decided.where("is_anomaly").select(
         stable_id(*id_columns).alias("id"),

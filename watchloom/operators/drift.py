@@ -73,16 +73,25 @@ def ks_statistic(df: DataFrame, columns: Sequence[str], is_reference: Column) ->
 
 
 def seasonal_z(points: DataFrame, series: Sequence[str], value: str = "value", how: str = "sum", threshold: float = 3.0) -> DataFrame:
-    """Hourly totals against the mean and deviation of the same hour of the week."""
+    """Hourly totals against the mean and deviation of the other totals of the same hour of the week.
+
+    Leaving the total itself out lets a single outlier stand out however few weeks there are; a slot needs three.
+    The sums are of distances from the slot's mean, so no digits are lost to large totals.
+    """
     hour = F.date_trunc("hour", "ts")
     agg = {"sum": F.sum(value), "mean": F.avg(value), "count": F.count(F.lit(1)).cast("double")}[how]
     hourly = points.groupBy(*series, hour.alias("hour")).agg(agg.alias("value"))
     slot = F.dayofweek("hour") * 24 + F.hour("hour")
     w = Window.partitionBy(*series, "slot")
+    others = F.col("_n") - 1
     return (
         hourly.withColumn("slot", slot)
-        .withColumn("expected", F.avg("value").over(w))
-        .withColumn("spread", F.stddev_pop("value").over(w))
+        .withColumns({"_n": F.count("value").over(w), "_mean": F.avg("value").over(w), "_all": F.var_pop("value").over(w)})
+        .withColumn("_away", F.col("value") - F.col("_mean"))
+        .withColumn("expected", F.when(others > 0, F.col("_mean") - F.col("_away") / others))
+        .withColumn("_left", (F.col("_n") * F.col("_all") - F.col("_away") * F.col("_away")) / others - F.pow(F.col("_away") / others, 2))
+        .withColumn("spread", F.when(others > 1, F.sqrt(F.greatest(F.col("_left"), F.lit(0.0)))))
+        .drop("_n", "_mean", "_all", "_away", "_left")
         .withColumn("z", F.when(F.col("spread") > 1e-9, (F.col("value") - F.col("expected")) / F.col("spread")).otherwise(F.lit(0.0)))
         .withColumn("anomalous", F.abs("z") > threshold)
     )

@@ -67,13 +67,10 @@ def tree_samples(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n:
     def unit(*salt) -> Column:
         return F.pmod(F.xxhash64(*ids, *[F.lit(s) if not isinstance(s, Column) else s for s in salt]), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
-    if n > 2 * want:
-        # large table: one hash keeps ~want rows, another deals them out to the trees
-        rows = df.where(unit(seed) < want / n).select(*values, *keys, F.pmod(F.xxhash64(*ids, F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"))
-    else:
-        # small table: every tree draws from all rows, at most 2 * SPARE * psi * trees of them
-        rows = df.select(*values, *keys, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        rows = rows.where(unit(seed, F.col("tree")) < min(1.0, SPARE * psi / max(n, 1)))
+    # one rule at every size: a hash keeps a pool of about ``want`` rows (all, if there are fewer), and every tree draws from that
+    share = min(1.0, want / max(n, 1))
+    pool = df.where(unit(seed) < share).select(*values, *keys, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = pool.where(unit(seed + 1, F.col("tree")) < min(1.0, SPARE * psi / max(n * share, 1)))
     rows = rows.withColumn("draw", F.xxhash64(*ids, F.col("tree"), F.lit(seed + 2)))
     w = Window.partitionBy("tree").orderBy("draw", *keys)
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).select("tree", "rn", *columns)

@@ -41,14 +41,14 @@ def reconstruction_error(df: DataFrame, series: Sequence[str], order: Sequence[s
     """Add ``recon_error``: distance of each sliding vector of values from a linear subspace.
 
     A linear stand-in for a sequence autoencoder (it is not one). The first
-    width - 1 rows of a series have no full vector and are left out.
+    width - 1 rows of a series have no full vector; their error is null.
     """
     from pyspark.ml.feature import PCA, VectorAssembler
 
     w = Window.partitionBy(*series).orderBy(*order)
     names = [f"_v{i}" for i in range(width)]
-    rows = df.select("*", *[F.lag(value, i).over(w).alias(n) for i, n in enumerate(names)]).where(F.col(names[-1]).isNotNull())
-    with held(rows.select(*names)) as fitting:
+    rows = df.select("*", *[F.lag(value, i).over(w).alias(n) for i, n in enumerate(names)])
+    with held(rows.select(*names).dropna()) as fitting:
         vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(fitting)
         pc = PCA(k=components, inputCol="_vec", outputCol="_pc").fit(vec).pc.toArray()
         means = fitting.agg(*[F.avg(n).alias(n) for n in names]).first()

@@ -1,18 +1,20 @@
 """Bulk log parsing into the common event shape, as column expressions.
 
-Each parser takes a DataFrame with the raw text in one column and keeps its other
-columns, so row ids travel along. Records that do not parse go to a dead-letter
-DataFrame rather than failing the job.
+Every format is one ``Format``: how a record is taken apart, the event's fields, and a
+reason for which it is rejected (null for a good one). Parsers take a DataFrame with the raw text in
+one column and keep its other columns, so row ids travel along. Each record becomes either an
+event or a reject with its raw text, source and reason; nothing vanishes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.functions.columns import captured, filled_or, first_filled, one_of
+from watchloom.functions.columns import filled_or, first_filled, one_of
 from watchloom.functions.pii import DEFAULT_KEY, pseudonym
 from watchloom.schema import ALLOWED_SOURCES, EVENT_SCHEMA, SOURCE_ALIASES
 
@@ -26,165 +28,328 @@ _WHOLE_LINE = f"(?s)^.*?{ACCESS_PATTERN}.*$"
 _TAKEN_APART = "$1\n$3\n$4\n$5\n$6\n$2]$7"
 
 _HTTP = "struct<requestUrl:string,status:string,latency:string,remoteIp:string,userAgent:string,responseSize:string>"
-LB_JSON = f"timestamp timestamp, httpRequest {_HTTP}, resource struct<labels:struct<backend_service_name:string>>"
-WAF_JSON = f"timestamp timestamp, jsonPayload struct<enforcedSecurityPolicy:struct<name:string,outcome:string>,statusDetails:string>, httpRequest {_HTTP}"
+LB_JSON = f"timestamp string, httpRequest {_HTTP}, resource struct<labels:struct<backend_service_name:string>>"
+WAF_JSON = f"timestamp string, jsonPayload struct<enforcedSecurityPolicy:struct<name:string,outcome:string>,statusDetails:string>, httpRequest {_HTTP}"
 APP_JSON = (
     "ts string, timestamp string, host string, pod string, message string, msg string, severity string, level string, "
-    "latency_ms double, status int, user string, path string, attrs map<string,string>"
+    "latency_ms string, status string, user string, path string, attrs map<string,string>"
 )
-SLOW_JSON = "timestamp timestamp, textPayload string, message string, resource struct<labels:struct<database_id:string>>"
+SLOW_JSON = "timestamp string, textPayload string, message string, resource struct<labels:struct<database_id:string>>"
 
+NO_TEXT, BROKEN_JSON, NO_MATCH, BAD_TIME = "no text", "malformed JSON", "line does not match", "unreadable time"
 
-def _event(df: DataFrame, keep: Sequence[str], source: str, **fields: Column) -> DataFrame:
-    """Order and cast the given fields to the event schema; missing ones become null."""
+
+@dataclass(frozen=True)
+class Format:
+    """A log format: ``read`` takes the text apart, ``fields`` and ``reason`` build on the result."""
+
+    source: str
+    read: Callable[[Column], Column]
+    fields: Callable[..., dict[str, Column]]
+    reason: Callable[..., Column]
+
+
+@dataclass(frozen=True)
+class Options:
+    """What all formats share. ``ingest`` stands in where a record names no time."""
+
+    ingest: Column
+    key: bytes = DEFAULT_KEY
+    host: str = "unknown"
+    redact_message: bool = False
+    read_latency: bool = False
+    line_time: bool = True
+
+
+def _event_columns(source: str, fields: dict[str, Column]) -> list[Column]:
+    """The given fields in the order and types of the event schema; missing ones are null."""
     empty_map = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    defaults = {"source": F.lit(source), "attrs": empty_map}
-    out = {**defaults, **fields}
-    cols = [out.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields]
-    return df.select(*keep, *cols)
+    out = {"source": F.lit(source), "attrs": empty_map} | fields
+    return [out.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields]
 
 
-def _others(df: DataFrame, used: str) -> list[str]:
-    return [c for c in df.columns if c != used]
+def _others(df: DataFrame, *used: str) -> list[str]:
+    return [c for c in df.columns if c not in used]
 
 
-def parse_nginx(
-    lines: DataFrame,
-    text: str = "line",
-    host: str = "unknown",
-    ingest: Column | None = None,
-    key: bytes = DEFAULT_KEY,
-    redact_message: bool = False,
-    read_latency: bool = False,
-    line_time: bool = True,
-) -> DataFrame:
-    """Access lines; lines without a match are dropped.
+def _options(ingest: Column | None, key: bytes, **more) -> Options:
+    return Options(F.current_timestamp() if ingest is None else ingest, key, **more)
 
-    ``redact_message`` replaces the client address inside the kept raw line;
-    ``read_latency`` also reads the optional ``rt=`` tail; ``line_time=False`` stamps
-    the time of ingest instead of the time in the line.
-    """
-    ingest = F.current_timestamp() if ingest is None else ingest
-    parts = F.split(F.regexp_replace(text, _WHOLE_LINE, _TAKEN_APART), "\n", 6)
-    rows = lines.where(F.col(text).rlike(ACCESS_PATTERN)).withColumn("_p", parts)
-    ip, path, status, size, rest = (F.col("_p")[i] for i in (0, 2, 3, 4, 5))
-    logged = F.substring_index(rest, "]", 1)
-    rows = rows.withColumn("_ip", pseudonym(ip, key))
+
+def _given(col: Column) -> Column:
+    return F.nullif(col, F.lit(""))
+
+
+def _unread(col: Column, kind: str, what: str) -> tuple[Column, str]:
+    """A value that is there but can't be read as ``kind``, and the reason it gives."""
+    return _given(col).isNotNull() & _given(col).try_cast(kind).isNull(), what
+
+
+def _first_reason(*tests: tuple[Column, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for test, reason in reversed(tests):
+        out = F.when(F.coalesce(test, F.lit(False)), F.lit(reason)).otherwise(out)
+    return out
+
+
+def _json(schema: str) -> Callable[[Column], Column]:
+    """The record and, for a broken one, its text; null text stays null."""
+    return lambda text: F.from_json(text, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+
+
+def _json_reasons(r: Column, text: Column) -> tuple[tuple[Column, str], ...]:
+    return (text.isNull(), NO_TEXT), (r.isNull() | r["_broken"].isNotNull() | ~text.rlike(r"^\s*\{"), BROKEN_JSON)
+
+
+def _int_or_zero(col: Column) -> Column:
+    """0 where the value is absent; one that can't be read is a reject, so it never gets here."""
+    return F.coalesce(_given(col).try_cast("bigint"), F.lit(0))
+
+
+def _time(*cols: Column) -> Column:
+    return first_filled(*cols)
+
+
+# ---- access lines
+
+
+def _line_time(parts: Column) -> tuple[Column, Column]:
+    logged = F.substring_index(parts[5], "]", 1)
+    return logged, F.try_to_timestamp(logged, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+
+
+def _line_fields(parts: Column, text: Column, o: Options) -> dict[str, Column]:
+    ip, path, status, size, rest = (parts[i] for i in (0, 2, 3, 4, 5))
+    logged, stamp = _line_time(parts)
+    hashed = pseudonym(ip, o.key)
     fields = dict(
-        ts=F.try_to_timestamp(logged, F.lit("dd/MMM/yyyy:HH:mm:ss Z")) if line_time else ingest,
-        ingest_ts=ingest,
-        host=F.lit(host),
-        message=F.replace(F.col(text), ip, F.col("_ip")) if redact_message else F.col(text),
+        ts=stamp if o.line_time else o.ingest,
+        ingest_ts=o.ingest,
+        host=F.lit(o.host),
+        message=F.replace(text, ip, hashed) if o.redact_message else text,
         status=status.try_cast("int"),
         bytes=size.try_cast("bigint"),
-        src_ip=F.col("_ip"),
+        src_ip=hashed,
         path=path,
         user_agent=F.substr(rest, F.length(logged) + 2),
     )
-    if read_latency:
-        fields["latency_ms"] = request_seconds(text) * 1000
-    return _event(rows, _others(lines, text), "nginx", **fields)
+    return fields | ({"latency_ms": _request_seconds(text) * 1000} if o.read_latency else {})
 
 
-def unparsed_lines(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Dead letters of the access-line parser."""
-    return lines.where(~F.coalesce(F.col(text).rlike(ACCESS_PATTERN), F.lit(False)))
+def _line_reason(parts: Column, text: Column, o: Options) -> Column:
+    tests = [(text.isNull(), NO_TEXT), (parts.isNull(), NO_MATCH), (parts[3].try_cast("int").isNull(), "bad status")]
+    return _first_reason(*tests, *([(_line_time(parts)[1].isNull(), BAD_TIME)] if o.line_time else []))
+
+
+def _read_line(text: Column) -> Column:
+    return F.when(text.rlike(ACCESS_PATTERN), F.split(F.regexp_replace(text, _WHOLE_LINE, _TAKEN_APART), "\n", 6))
+
+
+def _request_seconds(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"rt=([0-9.]+)", 1), F.lit("")).try_cast("double")
 
 
 def request_seconds(text: str) -> Column:
-    return captured(text, r"rt=([0-9.]+)", 1).try_cast("double")
+    return _request_seconds(F.col(text))
 
 
-def _int_or_zero(col: Column) -> Column:
-    return F.coalesce(col.try_cast("bigint"), F.lit(0))
+# ---- JSON records
 
 
-def parse_waf(records: DataFrame, text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
-    r = records.withColumn("_r", F.from_json(text, WAF_JSON))
-    http, policy = F.col("_r.httpRequest"), F.col("_r.jsonPayload.enforcedSecurityPolicy")
-    ingest = F.current_timestamp() if ingest is None else ingest
-    return _event(
-        r, _others(records, text), "cloud_armor",
-        ts=F.coalesce("_r.timestamp", ingest),
-        ingest_ts=ingest,
+def _waf_fields(r: Column, text: Column, o: Options) -> dict[str, Column]:
+    http, policy = r["httpRequest"], r["jsonPayload"]["enforcedSecurityPolicy"]
+    return dict(
+        ts=F.coalesce(_time(r["timestamp"]).try_cast("timestamp"), o.ingest),
+        ingest_ts=o.ingest,
         host=F.coalesce(policy["name"], F.lit("unknown")),
-        message=F.coalesce("_r.jsonPayload.statusDetails", F.lit("")),
+        message=F.coalesce(r["jsonPayload"]["statusDetails"], F.lit("")),
         status=_int_or_zero(http["status"]),
-        src_ip=pseudonym(http["remoteIp"], key),
+        src_ip=pseudonym(http["remoteIp"], o.key),
         path=http["requestUrl"],
         user_agent=http["userAgent"],
         attrs=F.create_map(F.lit("action"), policy["outcome"]),
     )
 
 
-def parse_lb(records: DataFrame, text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
-    r = records.withColumn("_r", F.from_json(text, LB_JSON))
-    http = F.col("_r.httpRequest")
-    ingest = F.current_timestamp() if ingest is None else ingest
-    return _event(
-        r, _others(records, text), "lb",
-        ts=F.coalesce("_r.timestamp", ingest),
-        ingest_ts=ingest,
-        host=F.coalesce("_r.resource.labels.backend_service_name", F.lit("unknown")),
+def _waf_reason(r: Column, text: Column, o: Options) -> Column:
+    return _first_reason(*_json_reasons(r, text), _unread(_time(r["timestamp"]), "timestamp", BAD_TIME), _unread(r["httpRequest"]["status"], "int", "bad status"))
+
+
+def _lb_latency(http: Column) -> Column:
+    return F.replace(_given(http["latency"]), F.lit("s"), F.lit(""))
+
+
+def _lb_fields(r: Column, text: Column, o: Options) -> dict[str, Column]:
+    http = r["httpRequest"]
+    return dict(
+        ts=F.coalesce(_time(r["timestamp"]).try_cast("timestamp"), o.ingest),
+        ingest_ts=o.ingest,
+        host=F.coalesce(r["resource"]["labels"]["backend_service_name"], F.lit("unknown")),
         message=F.coalesce(http["requestUrl"], F.lit("")),
         status=_int_or_zero(http["status"]),
-        latency_ms=F.replace(F.nullif(http["latency"], F.lit("")), F.lit("s"), F.lit("")).try_cast("double") * 1000,
+        latency_ms=_lb_latency(http).try_cast("double") * 1000,
         bytes=_int_or_zero(http["responseSize"]),
-        src_ip=pseudonym(http["remoteIp"], key),
+        src_ip=pseudonym(http["remoteIp"], o.key),
         path=http["requestUrl"],
         user_agent=http["userAgent"],
     )
 
 
-def parse_app(records: DataFrame, text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
-    r = records.withColumn("_r", F.from_json(text, APP_JSON))
-    ingest = F.current_timestamp() if ingest is None else ingest
+def _lb_reason(r: Column, text: Column, o: Options) -> Column:
+    http = r["httpRequest"]
+    return _first_reason(
+        *_json_reasons(r, text),
+        _unread(_time(r["timestamp"]), "timestamp", BAD_TIME),
+        _unread(http["status"], "int", "bad status"),
+        _unread(_lb_latency(http), "double", "bad latency"),
+        _unread(http["responseSize"], "bigint", "bad size"),
+    )
+
+
+def _app_fields(r: Column, text: Column, o: Options) -> dict[str, Column]:
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return _event(
-        r, _others(records, text), "app",
-        ts=F.coalesce(first_filled("_r.ts", "_r.timestamp").try_cast("timestamp"), ingest),
-        ingest_ts=ingest,
-        host=F.coalesce(F.nullif(F.col("_r.host"), F.lit("")), F.col("_r.pod"), F.lit("unknown")),
-        message=F.coalesce(F.nullif(F.col("_r.message"), F.lit("")), F.col("_r.msg"), F.lit("")),
-        severity=F.upper(F.coalesce(first_filled("_r.severity", "_r.level"), F.lit("INFO"))),
-        latency_ms=F.col("_r.latency_ms"),
-        status=F.col("_r.status"),
-        user=pseudonym("_r.user", key),
-        path=F.col("_r.path"),
-        attrs=F.coalesce("_r.attrs", empty),
+    return dict(
+        ts=F.coalesce(_time(r["ts"], r["timestamp"]).try_cast("timestamp"), o.ingest),
+        ingest_ts=o.ingest,
+        host=F.coalesce(_given(r["host"]), r["pod"], F.lit("unknown")),
+        message=F.coalesce(_given(r["message"]), r["msg"], F.lit("")),
+        severity=F.upper(F.coalesce(first_filled(r["severity"], r["level"]), F.lit("INFO"))),
+        latency_ms=_given(r["latency_ms"]).try_cast("double"),
+        status=_given(r["status"]).try_cast("int"),
+        user=pseudonym(r["user"], o.key),
+        path=r["path"],
+        attrs=F.coalesce(r["attrs"], empty),
     )
 
 
-def parse_slow_query(records: DataFrame, text: str = "rec", ingest: Column | None = None) -> DataFrame:
-    r = records.withColumn("_r", F.from_json(text, SLOW_JSON))
-    ingest = F.current_timestamp() if ingest is None else ingest
-    return _event(
-        r, _others(records, text), "cloudsql",
-        ts=F.coalesce("_r.timestamp", ingest),
-        ingest_ts=ingest,
-        host=F.coalesce("_r.resource.labels.database_id", F.lit("unknown")),
-        message=F.coalesce(first_filled("_r.textPayload", "_r.message"), F.lit("")),
+def _app_reason(r: Column, text: Column, o: Options) -> Column:
+    return _first_reason(
+        *_json_reasons(r, text),
+        _unread(_time(r["ts"], r["timestamp"]), "timestamp", BAD_TIME),
+        _unread(r["status"], "int", "bad status"),
+        _unread(r["latency_ms"], "double", "bad latency"),
+    )
+
+
+def _slow_fields(r: Column, text: Column, o: Options) -> dict[str, Column]:
+    return dict(
+        ts=F.coalesce(_time(r["timestamp"]).try_cast("timestamp"), o.ingest),
+        ingest_ts=o.ingest,
+        host=F.coalesce(r["resource"]["labels"]["database_id"], F.lit("unknown")),
+        message=F.coalesce(first_filled(r["textPayload"], r["message"]), F.lit("")),
         severity=F.lit("WARN"),
         attrs=F.create_map(F.lit("slow_query"), F.lit("true")),
     )
 
 
-PARSERS: dict[str, Callable[..., DataFrame]] = {
-    "nginx": parse_nginx,
-    "cloud_armor": parse_waf,
-    "lb": parse_lb,
-    "app": parse_app,
-    "cloudsql": parse_slow_query,
+def _slow_reason(r: Column, text: Column, o: Options) -> Column:
+    return _first_reason(*_json_reasons(r, text), _unread(_time(r["timestamp"]), "timestamp", BAD_TIME))
+
+
+FORMATS: dict[str, Format] = {
+    f.source: f
+    for f in (
+        Format("nginx", _read_line, _line_fields, _line_reason),
+        Format("cloud_armor", _json(WAF_JSON), _waf_fields, _waf_reason),
+        Format("lb", _json(LB_JSON), _lb_fields, _lb_reason),
+        Format("app", _json(APP_JSON), _app_fields, _app_reason),
+        Format("cloudsql", _json(SLOW_JSON), _slow_fields, _slow_reason),
+    )
 }
 
 
-def parse_by_source(records: DataFrame, source: str = "source", text: str = "rec", parsers: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
-    """Send each record to its source's parser; sources without one yield nothing."""
-    out = None
-    for name, parser in (parsers or PARSERS).items():
-        part = parser(records.where(F.col(source) == name).drop(source), text)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _read(records: DataFrame, text: str, source: str, options: Options) -> DataFrame:
+    f = FORMATS[source]
+    rows = records.withColumn("_raw", f.read(F.col(text)))
+    return rows.withColumn("_reason", f.reason(F.col("_raw"), F.col(text), options))
+
+
+def _parsed(records: DataFrame, text: str, source: str, options: Options) -> DataFrame:
+    fields = FORMATS[source].fields(F.col("_raw"), F.col(text), options)
+    return _read(records, text, source, options).where("_reason is null").select(*_others(records, text), *_event_columns(source, fields))
+
+
+def parse_nginx(
+    lines: DataFrame,
+    text: str = "line",
+    host: str = "unknown",
+    ingest: Column | None = None,
+    key: bytes = DEFAULT_KEY,
+    redact_message: bool = False,
+    read_latency: bool = False,
+    line_time: bool = True,
+) -> DataFrame:
+    """Access lines; the others are in ``rejects``.
+
+    ``redact_message`` replaces the client address inside the kept raw line;
+    ``read_latency`` also reads the optional ``rt=`` tail; ``line_time=False`` stamps
+    the time of ingest instead of the time in the line.
+    """
+    return _parsed(lines, text, "nginx", _options(ingest, key, host=host, redact_message=redact_message, read_latency=read_latency, line_time=line_time))
+
+
+def parse_waf(records: DataFrame, text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
+    return _parsed(records, text, "cloud_armor", _options(ingest, key))
+
+
+def parse_lb(records: DataFrame, text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
+    return _parsed(records, text, "lb", _options(ingest, key))
+
+
+def parse_app(records: DataFrame, text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
+    return _parsed(records, text, "app", _options(ingest, key))
+
+
+def parse_slow_query(records: DataFrame, text: str = "rec", ingest: Column | None = None) -> DataFrame:
+    return _parsed(records, text, "cloudsql", _options(ingest, DEFAULT_KEY))
+
+
+def rejects(records: DataFrame, source: str, text: str = "rec", line_time: bool = True) -> DataFrame:
+    """What the source's parser leaves out: the other columns, source, raw and reason."""
+    read = _read(records, text, source, _options(None, DEFAULT_KEY, line_time=line_time))
+    return read.where("_reason is not null").select(*_others(records, text), F.lit(source).alias("source"), F.col(text).alias("raw"), F.col("_reason").alias("reason"))
+
+
+def unparsed_lines(lines: DataFrame, text: str = "line") -> DataFrame:
+    """Rejects of the access-line parser as they came."""
+    return _read(lines, text, "nginx", _options(None, DEFAULT_KEY)).where("_reason is not null").select(*lines.columns)
+
+
+def dispatched(
+    records: DataFrame,
+    source: str = "source",
+    text: str = "rec",
+    ingest: Column | None = None,
+    key: bytes = DEFAULT_KEY,
+    formats: dict[str, Format] | None = None,
+) -> DataFrame:
+    """Every record, once, with ``event`` (a struct of the event schema) or a ``reason`` against it.
+
+    One pass whatever the number of sources. Sources without a parser and unknown ones are rejects too.
+    """
+    formats, options, rows = FORMATS if formats is None else formats, _options(ingest, key), records
+    for name, f in formats.items():
+        rows = rows.withColumn(f"_raw_{name}", F.when(F.col(source) == name, f.read(F.col(text))))
+    none = F.when(valid_source(source), F.concat(F.lit("no parser: "), F.col(source))).otherwise(F.concat(F.lit("unknown source: "), F.coalesce(F.col(source), F.lit("null"))))
+    reason, event = none, F.lit(None).cast(EVENT_SCHEMA)
+    for name, f in formats.items():
+        raw = F.col(f"_raw_{name}")
+        reason = F.when(F.col(source) == name, f.reason(raw, F.col(text), options)).otherwise(reason)
+        event = F.when(F.col(source) == name, F.struct(*_event_columns(name, f.fields(raw, F.col(text), options)))).otherwise(event)
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*records.columns, F.when(F.col("reason").isNull(), event).alias("event"), "reason")
+
+
+def split_dispatched(rows: DataFrame, source: str = "source", text: str = "rec") -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of ``dispatched`` rows; together as many as the records."""
+    keep = _others(rows, source, text, "event", "reason")
+    events = rows.where("reason is null").select(*keep, "event.*")
+    return events, rows.where("reason is not null").select(*keep, F.col(source), F.col(text).alias("raw"), "reason")
+
+
+def parse_by_source(records: DataFrame, source: str = "source", text: str = "rec", ingest: Column | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """Each record through its source's parser; ``split_dispatched`` has what this leaves out."""
+    return split_dispatched(dispatched(records, source, text, ingest, key), source, text)[0]
 
 
 def valid_source(source: Column | str = "source") -> Column:
@@ -216,41 +381,32 @@ WORKER_MESSAGE = r"^job (ok|failed) job_id=(\S+) job_type=(\S+) elapsed=(\d+(?:\
 ORDER_MESSAGE = r"^order placed order_id=(\d+) user_id=(\d+) total=(\d+(?:\.\d+)?) payment=(\S+)$"
 
 
+def _message_parts(df: DataFrame, text: str, pattern: str, groups: int) -> tuple[DataFrame, list[Column]]:
+    """Matching rows with the pattern's groups, taken apart in one pass; empty groups are null."""
+    apart = F.split(F.regexp_replace(text, pattern, "\x01".join(f"${i}" for i in range(1, groups + 1))), "\x01", groups)
+    rows = df.where(F.col(text).rlike(pattern)).withColumn("_m", apart)
+    return rows, [F.nullif(F.col("_m")[i], F.lit("")) for i in range(groups)]
+
+
 def access_fields(df: DataFrame, text: str = "message") -> DataFrame:
-    return df.where(F.col(text).rlike(ACCESS_MESSAGE)).select(
-        *_others(df, text),
-        captured(text, ACCESS_MESSAGE, 1).alias("method"),
-        captured(text, ACCESS_MESSAGE, 2).alias("path"),
-        captured(text, ACCESS_MESSAGE, 3).try_cast("int").alias("status"),
-        captured(text, ACCESS_MESSAGE, 4).try_cast("double").alias("latency_ms"),
-    )
+    rows, (method, path, status, latency) = _message_parts(df, text, ACCESS_MESSAGE, 4)
+    return rows.select(*_others(df, text), method.alias("method"), path.alias("path"), status.try_cast("int").alias("status"), latency.try_cast("double").alias("latency_ms"))
 
 
 def login_fields(df: DataFrame, text: str = "message", key: bytes = DEFAULT_KEY) -> DataFrame:
-    return df.where(F.col(text).rlike(LOGIN_MESSAGE)).select(
-        *_others(df, text),
-        captured(text, LOGIN_MESSAGE, 1).alias("outcome"),
-        pseudonym(captured(text, LOGIN_MESSAGE, 2), key).alias("username"),
-        pseudonym(captured(text, LOGIN_MESSAGE, 3), key).alias("src_ip"),
-        captured(text, LOGIN_MESSAGE, 4).try_cast("int").alias("failed_logins"),
+    rows, (outcome, user, ip, failed) = _message_parts(df, text, LOGIN_MESSAGE, 4)
+    return rows.select(
+        *_others(df, text), outcome.alias("outcome"), pseudonym(user, key).alias("username"), pseudonym(ip, key).alias("src_ip"), failed.try_cast("int").alias("failed_logins")
     )
 
 
 def worker_fields(df: DataFrame, text: str = "message") -> DataFrame:
-    return df.where(F.col(text).rlike(WORKER_MESSAGE)).select(
-        *_others(df, text),
-        captured(text, WORKER_MESSAGE, 1).alias("job_status"),
-        captured(text, WORKER_MESSAGE, 2).alias("job_id"),
-        captured(text, WORKER_MESSAGE, 3).alias("job_type"),
-        captured(text, WORKER_MESSAGE, 4).try_cast("double").alias("elapsed_sec"),
-    )
+    rows, (state, job, kind, elapsed) = _message_parts(df, text, WORKER_MESSAGE, 4)
+    return rows.select(*_others(df, text), state.alias("job_status"), job.alias("job_id"), kind.alias("job_type"), elapsed.try_cast("double").alias("elapsed_sec"))
 
 
 def order_fields(df: DataFrame, text: str = "message") -> DataFrame:
-    return df.where(F.col(text).rlike(ORDER_MESSAGE)).select(
-        *_others(df, text),
-        captured(text, ORDER_MESSAGE, 1).try_cast("bigint").alias("order_id"),
-        captured(text, ORDER_MESSAGE, 2).try_cast("bigint").alias("order_user_id"),
-        captured(text, ORDER_MESSAGE, 3).try_cast("double").alias("total"),
-        captured(text, ORDER_MESSAGE, 4).alias("payment"),
+    rows, (order, user, total, payment) = _message_parts(df, text, ORDER_MESSAGE, 4)
+    return rows.select(
+        *_others(df, text), order.try_cast("bigint").alias("order_id"), user.try_cast("bigint").alias("order_user_id"), total.try_cast("double").alias("total"), payment.alias("payment")
     )

@@ -38,7 +38,7 @@ from watchloom.plans import inputs
 from watchloom.plans.inputs import table
 from watchloom.schema import ALERT_SCHEMA, FEATURE_KEYS, FEATURE_SCHEMA
 from watchloom.session import new_run_dir
-from watchloom.sources import envelope, generators, lake
+from watchloom.sources import envelope, lake
 from watchloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +273,20 @@ def parse_dispatch(spark, sf):
     )
 
 
+@query
+def dispatch_rejects(spark, sf):
+    """Records that no parser takes, each with its reason."""
+    _, bad = parse.split_dispatched(parse.dispatched(inputs.mixed_records(spark, sf)))
+    return bad.select("event_id", "source", "reason", F.col("raw").isNull().alias("no_raw"))
+
+
+@query
+def parse_rejects(spark, sf):
+    """Per source and reason (none for events) how many records there are: together, all of them."""
+    rows = parse.dispatched(inputs.mixed_records(spark, sf))
+    return rows.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("records"), F.count("event.ts").alias("events_with_time"))
+
+
 def _messages(spark, sf):
     return inputs.app_messages(spark, sf).drop("ts", "user_id")
 
@@ -300,7 +314,7 @@ def parse_order_msg(spark, sf):
 def _loose_sources(spark, sf):
     """Events whose source is sometimes an alias, sometimes unknown."""
     e = inputs.events(spark, sf).select("event_id", "source")
-    odd = F.when(F.col("event_id") % 9 == 0, "alb").when(F.col("event_id") % 9 == 1, "cloudfront").when(F.col("event_id") % 9 == 2, "not-a-source")
+    odd = F.when(F.col("event_id") % 9 == 0, "alb").when(F.col("event_id") % 9 == 1, "cloudfront").when(F.col("event_id") % 9 == 2, "pager")
     return e.select("event_id", F.coalesce(odd, F.col("source")).alias("source"))
 
 
@@ -352,16 +366,6 @@ def retention_expired(spark, sf):
     return lake.expired_days(inputs.events(spark, sf).withColumn("date", F.to_date("ts")), at("2024-02-15"), days=30)
 
 
-@query
-def generated_events(spark, sf):
-    e = table(spark, sf, "events")
-    ts = F.col("ts").cast("timestamp")
-    base = generators.events_like(e.select("event_id", "ts"), "event_id", ts)
-    # the error rows turn into attack rows
-    attack = generators.attack_like(e.where("event_type = 'error'").select("event_id", "ts"), "event_id", ts, "ddos")
-    return generators.inject_attack(base, attack)
-
-
 # ---- alerts -----------------------------------------------------------------
 
 
@@ -372,7 +376,7 @@ def scored_events(spark, sf):
 
 
 def decided_events(spark, sf):
-    return A.route_and_decide(scored_events(spark, sf), A.routing_table(spark))
+    return A.route_and_decide(scored_events(spark, sf))
 
 
 def stored_alerts(spark, sf):
@@ -774,7 +778,7 @@ def drift_ks(spark, sf):
 
 @query
 def seasonal_z(spark, sf):
-    z = drift.seasonal_z(inputs.events(spark, sf), ["source"], threshold=1.5)
+    z = drift.seasonal_z(inputs.events(spark, sf), ["source"], threshold=3.0)
     return rounded(z, 4, "value", "expected", "spread", "z")
 
 

@@ -65,10 +65,10 @@ def _seconds_text() -> Column:
     return F.concat(F.col("user_id") % 9, F.lit("."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"))
 
 
-def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web access lines; 2 % do not parse, 10 % log '-' for the size."""
+def access_line() -> Column:
+    """A web access line; 10 % log '-' for the size."""
     size = F.when(F.col("event_id") % 10 == 0, F.lit("-")).otherwise((prop_k().cast("bigint") * 100).cast("string"))
-    line = F.concat(
+    return F.concat(
         ip_of(),
         F.lit(" - - ["),
         F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
@@ -85,9 +85,12 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('" rt='),
         _seconds_text(),
     )
+
+
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("garbage "), F.col("event_type"))).otherwise(line).alias("line"),
+        F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("garbage "), F.col("event_type"))).otherwise(access_line()).alias("line"),
     )
 
 
@@ -95,37 +98,43 @@ def _iso() -> Column:
     return F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
 
 
-def lb_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lb_record() -> Column:
     """Load-balancer JSON; some rows lack the latency or the size."""
     latency = F.when(F.col("event_id") % 20 == 0, F.lit("")).otherwise(F.concat(F.lit(',"latency":"'), _seconds_text(), F.lit('s"')))
     size = F.when(F.col("event_id") % 15 == 0, F.lit("")).otherwise(F.concat(F.lit(',"responseSize":'), prop_k()))
-    rec = F.concat(
+    return F.concat(
         F.lit('{"timestamp":"'), _iso(),
         F.lit('","httpRequest":{"requestUrl":"/'), F.col("event_type"),
         F.lit('","status":'), status_of(), latency,
         F.lit(',"remoteIp":"'), ip_of(), F.lit('"'), size,
         F.lit('},"resource":{"labels":{"backend_service_name":"bs-'), F.col("user_id") % 5, F.lit('"}}}'),
     )
-    return table(spark, sf_dir, "events").select("event_id", rec.alias("rec"))
 
 
-def waf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lb_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", lb_record().alias("rec"))
+
+
+def waf_record() -> Column:
     """Firewall JSON; some rows lack the policy or the status."""
     policy = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(
         F.concat(F.lit('"enforcedSecurityPolicy":{"name":"policy-'), F.col("user_id") % 3,
                  F.lit('","outcome":"'), F.when(F.col("event_type") == "error", "DENY").otherwise("ACCEPT"), F.lit('"},'))
     )
     status = F.when(F.col("event_id") % 13 == 0, F.lit("")).otherwise(F.concat(F.lit('"status":'), status_of(), F.lit(",")))
-    rec = F.concat(
+    return F.concat(
         F.lit('{"timestamp":"'), _iso(), F.lit('","jsonPayload":{'), policy,
         F.lit('"statusDetails":"'), F.col("event_type"), F.lit('"},"httpRequest":{'), status,
         F.lit('"remoteIp":"'), ip_of(), F.lit('","requestUrl":"/'), F.col("event_type"),
         F.lit('","userAgent":"agent/'), F.col("user_id") % 3, F.lit('"}}'),
     )
-    return table(spark, sf_dir, "events").select("event_id", rec.alias("rec"))
 
 
-def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def waf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", waf_record().alias("rec"))
+
+
+def app_record() -> Column:
     """Application JSON that uses either spelling of each field."""
     odd = F.col("event_id") % 2 == 1
     severity = (
@@ -133,7 +142,7 @@ def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_id") % 3 == 1, F.lit('"severity":"","level":"debug",'))
         .otherwise(F.lit(""))
     )
-    rec = F.concat(
+    return F.concat(
         F.when(odd, F.lit('{"ts":"')).otherwise(F.lit('{"ts":"","timestamp":"')), _iso(), F.lit('",'),
         F.when(odd, F.concat(F.lit('"host":"h-'), F.col("user_id") % 5, F.lit('",'))).when(F.col("event_id") % 4 == 0, F.concat(F.lit('"pod":"pod-'), F.col("user_id") % 5, F.lit('",'))).otherwise(F.lit("")),
         F.when(odd, F.lit('"message":"did ')).otherwise(F.lit('"msg":"did ')), F.col("event_type"), F.lit('",'),
@@ -142,10 +151,13 @@ def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"user":"user-'), F.col("user_id"), F.lit('","path":"/'), F.col("event_type"),
         F.lit('","attrs":{"k":'), prop_k(), F.lit(',"kind":"'), F.col("event_type"), F.lit('"}}'),
     )
-    return table(spark, sf_dir, "events").select("event_id", rec.alias("rec"))
 
 
-def slow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", app_record().alias("rec"))
+
+
+def slow_record() -> Column:
     """Slow-query JSON: the text is in textPayload, in message, or missing."""
     text = F.concat(F.lit("SELECT "), F.col("event_type"), F.lit(" LIMIT "), prop_k())
     payload = (
@@ -153,12 +165,42 @@ def slow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_id") % 3 == 1, F.concat(F.lit('"textPayload":"","message":"'), text, F.lit('",')))
         .otherwise(F.lit(""))
     )
-    rec = F.concat(
+    return F.concat(
         F.lit('{"timestamp":"'), _iso(), F.lit('",'), payload, F.lit('"resource":{"labels":{'),
         F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"database_id":"db-'), F.col("user_id") % 4, F.lit('"'))),
         F.lit("}}}"),
     )
-    return table(spark, sf_dir, "events").select("event_id", rec.alias("rec"))
+
+
+def slow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", slow_record().alias("rec"))
+
+
+def broken(record: Column, stamp: str = "yyyy-MM-dd'T'HH:mm:ss") -> Column:
+    """The record, but of forty one without text, one cut short and one with an unreadable time."""
+    turn = F.floor(F.col("event_id") / 8) % 40
+    return (
+        F.when(turn == 1, F.lit(None).cast("string"))
+        .when(turn == 2, F.substr(record, F.lit(1), F.lit(12)))
+        .when(turn == 3, F.replace(record, F.date_format("ts", stamp), F.lit("yesterday")))
+        .otherwise(record)
+    )
+
+
+MIXED = ("nginx", "lb", "cloud_armor", "app", "cloudsql", "kafka", "pager", "lb")
+
+
+def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table of records of several sources, some broken, some of a source without a parser, some of an unknown one."""
+    turn = F.col("event_id") % 8
+    source = F.element_at(F.array(*[F.lit(x) for x in MIXED]), (turn + 1).cast("int"))
+    made = {"nginx": access_line(), "lb": lb_record(), "cloud_armor": waf_record(), "app": app_record(), "cloudsql": slow_record()}
+    rec = F.lit("anything")
+    for name, column in made.items():
+        rec = F.when(F.col("source") == name, broken(column, "dd/MMM/yyyy:HH:mm:ss" if name == "nginx" else "yyyy-MM-dd'T'HH:mm:ss")).otherwise(rec)
+    wrong = F.when((turn == 7) & (F.col("event_id") % 3 == 0), F.replace(F.col("rec"), F.lit('"status":'), F.lit('"status":"up","was":'))).otherwise(F.col("rec"))
+    rows = table(spark, sf_dir, "events").withColumn("source", source).withColumn("rec", rec)
+    return rows.select("event_id", "source", wrong.alias("rec"))
 
 
 def app_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,13 @@ union all select 'lb', count(*), count(*), count(*), count(distinct user_id % 5)
 union all select 'cloud_armor', count(*), count(*), count(*), count(distinct case when event_id % 11 = 0 then -1 else user_id % 3 end) from events
 union all select 'app', count(*), count(*), 0, count(distinct case when event_id % 2 = 1 then user_id % 5 when event_id % 4 = 0 then 10 + user_id % 5 else -1 end) from events
 union all select 'cloudsql', count(*), 0, 0, count(distinct case when event_id % 5 = 0 then -1 else user_id % 4 end) from events"""
+MIXED = f"""mx as (select event_id, case event_id % 8 when 0 then 'nginx' when 1 then 'lb' when 2 then 'cloud_armor' when 3 then 'app' when 4 then 'cloudsql' when 5 then 'kafka'
+  when 6 then 'pager' else 'lb' end as source, (event_id // 8) % 40 as turn from events),
+rj as (select event_id, source, case when source = 'kafka' then 'no parser: kafka' when source = 'pager' then 'unknown source: pager' when turn = 1 then 'no text'
+  when turn = 2 then case when source = 'nginx' then 'line does not match' else 'malformed JSON' end when turn = 3 then 'unreadable time'
+  when event_id % 8 = 7 and event_id % 3 = 0 then 'bad status' end as reason from mx)"""
+ORACLE["dispatch_rejects"] = f"with {MIXED} select event_id, source, reason, reason = 'no text' as no_raw from rj where reason is not null"
+ORACLE["parse_rejects"] = f"with {MIXED} select source, reason, count(*) as records, case when reason is null then count(*) else 0 end as events_with_time from rj group by source, reason"
 ORACLE["parse_access_msg"] = f"""select event_id, 'GET' as method, '/' || event_type || '/' || {JS} as path, {STATUS} as status,
 cast((event_id % 900) || '.' || (event_id % 10) as double) as latency_ms from events where event_type not in ('error', 'signup', 'purchase')"""
 ORACLE["parse_login_msg"] = f"""select event_id, case user_id % 3 when 0 then 'user_not_found' when 1 then 'wrong_password' else 'success' end as outcome,
@@ -197,8 +204,8 @@ ORACLE["parse_worker_msg"] = """select event_id, case when user_id % 2 = 0 then
 cast((user_id % 9) || '.' || lpad(cast(event_id % 100 as varchar), 2, '0') as double) as elapsed_sec from events where event_type = 'signup'"""
 ORACLE["parse_order_msg"] = """select event_id, event_id as order_id, user_id as order_user_id, cast((event_id % 400) || '.' || lpad(cast(event_id % 100 as varchar), 2, '0') as double) as total,
 case when event_id % 2 = 0 then 'card' else 'cash' end as payment from events where event_type = 'purchase'"""
-LOOSE = f"ls as (select event_id, case event_id % 9 when 0 then 'alb' when 1 then 'cloudfront' when 2 then 'not-a-source' else {SOURCE} end as source from events)"
-ORACLE["source_validation"] = f"with {LOOSE} select event_id, source, case when source = 'not-a-source' then 'unknown source: not-a-source' end as reason from ls"
+LOOSE = f"ls as (select event_id, case event_id % 9 when 0 then 'alb' when 1 then 'cloudfront' when 2 then 'pager' else {SOURCE} end as source from events)"
+ORACLE["source_validation"] = f"with {LOOSE} select event_id, source, case when source = 'pager' then 'unknown source: pager' end as reason from ls"
 ORACLE["source_canonical"] = f"with {LOOSE} select event_id, source, case source when 'alb' then 'lb' when 'cloudfront' then 'cdn' else source end as canonical_source from ls"
 ORACLE["pii_hash"] = f"""with n as (select c_custkey, case c_custkey % 10 when 0 then '' when 1 then null else 'é-' || c_name end as v from customer)
 select c_custkey, case when v is null then null else {hmac('v')} end as hashed from n"""
@@ -221,7 +228,7 @@ PAYLOADS = f"""{SCORED}, pl as (select case event_id % 4 when 0 then '' when 1 t
  case event_id % 3 when 0 then '' when 1 then 'HIGH' end as severity,
  case event_id % 5 when 0 then null when 1 then 'bad' else cast(event_id % 8 as varchar) end as score, cast(event_id % 6 as double) as value,
  case when event_id % 7 <> 2 then source end as source, case when event_id % 11 <> 3 then host end as host, 'rule-' || event_id as rule, event_id from ev),
-pn as (select coalesce(nullif(id, ''), left(sha256(concat_ws('|', source, host, rule, cast(ts as varchar))), 32)) as id, ts, 'streaming-statistical' as detector,
+pn as (select coalesce(nullif(id, ''), left(sha256(concat_ws('|', coalesce(source, '\N'), coalesce(host, '\N'), coalesce(rule, '\N'), coalesce(cast(ts as varchar), '\N'))), 32)) as id, ts, 'streaming-statistical' as detector,
  severity as sv, coalesce(try_cast(coalesce(score, cast(value as varchar)) as double), 0e0) as score, coalesce(source, 'unknown') as source, coalesce(host, 'unknown') as host, rule, 'p99_latency' as metric from pl),
 pa as (select id, ts, detector, coalesce(nullif(sv, ''), case when score >= 5 then 'HIGH' when score >= 3 then 'MEDIUM' else 'LOW' end) as severity, score, source, host, rule, metric from pn)"""
 ORACLE["alert_from_anomaly"] = f"with {PAYLOADS} select * from pa"
@@ -372,9 +379,10 @@ c as (select feature, sum(a) over w / cast(sum(a) over p as double) as fa, sum(b
 select feature, round(max(abs(fa - fb)), 9) as ks, cast(max(n1) as bigint) as n_ref, cast(max(n2) as bigint) as n_cur from c group by feature"""
 ORACLE["seasonal_z"] = f"""with {EVENTS}, h as (select source, date_trunc('hour', ts) as hour, sum(value) as value from ev group by all),
 s as (select *, (dayofweek(hour) + 1) * 24 + hour(hour) as slot from h),
-m as (select *, avg(value) over w as expected, stddev_pop(value) over w as spread from s window w as (partition by source, slot)),
+m as (select a.source, a.hour, a.value, a.slot, avg(b.value) as expected, case when count(b.value) > 1 then stddev_pop(b.value) end as spread
+ from s a left join s b on b.source = a.source and b.slot = a.slot and b.hour <> a.hour group by all),
 zz as (select *, case when spread > 1e-9 then (value - expected) / spread else 0e0 end as z from m)
-select source, hour, round(value, 4) as value, cast(slot as int) as slot, round(expected, 4) as expected, round(spread, 4) as spread, round(z, 4) as z, abs(z) > 1.5 as anomalous from zz"""
+select source, hour, round(value, 4) as value, cast(slot as int) as slot, round(expected, 4) as expected, round(spread, 4) as spread, round(z, 4) as z, abs(z) > 3.0 as anomalous from zz"""
 
 # ---- streams: windows that ended at or before the last event time minus the delay
 

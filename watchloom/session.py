@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="watchloom-")
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    """One temporary folder for a process that runs Spark in itself; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="watchloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
