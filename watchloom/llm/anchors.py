@@ -14,7 +14,7 @@ import numpy as np
 from watchloom.llm.shingles import ODD, mixed
 
 GRAM = 32
-PIECE = 1 << 20
+PIECE = 1 << 16  # small enough for a core's cache
 
 
 @lru_cache(maxsize=1)
@@ -53,7 +53,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     for low in range(0, len(raw) - length + 1, PIECE):
         part = raw[low : low + PIECE + length - 1]
         h = gram_hashes(part)
-        chosen = np.arange(len(part) - length + 1) + leftmost_smallest(h, length - GRAM + 1)
+        chosen = np.arange(len(part) - length + 1) + leftmost_smallest((h >> np.uint64(32)).astype(np.uint32), length - GRAM + 1)
         inside = np.ones(len(chosen), bool)
         for end in (ends[(ends > low) & (ends < low + len(part))] - low).tolist():
             inside[max(0, end - length + 1) : end] = False

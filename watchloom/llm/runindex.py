@@ -15,34 +15,41 @@ MARKS = 1 << 20
 
 
 class RunIndex:
-    def __init__(self, texts: list[np.ndarray], length: int):
-        if len(texts) > MARKS:
+    """Index of texts given as one array of bytes and their sizes."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, length: int):
+        if len(sizes) > MARKS:
             raise ValueError(f"more than {MARKS} texts")
-        self.length = length
-        symbols = np.concatenate([np.r_[t.astype(np.int64) + len(texts), k] for k, t in enumerate(texts)])
-        self.n, self.marks = len(symbols), len(texts)
+        self.length, self.marks, self.sizes = length, len(sizes), np.asarray(sizes, np.int64)
+        self.begin = np.cumsum(self.sizes + 1) - self.sizes - 1
+        closing = self.begin + self.sizes
+        self.n = int(self.sizes.sum()) + self.marks
+        symbols = np.empty(self.n, np.int64)
+        inside = np.ones(self.n, bool)
+        inside[closing] = False
+        symbols[inside] = flat.astype(np.int64) + self.marks
+        symbols[closing] = np.arange(self.marks)
+        self.symbols = symbols
         order, shorter = self._sorted(symbols, length)
         before = symbols[order - 1]  # the first suffix is preceded by the last mark
         heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         ends = np.r_[heads[1:], self.n] - 1
         self.run_start, self.run_symbol, self.run_end_at = heads, before[heads], order[ends]
-        self.run_of = np.r_[np.repeat(np.arange(len(heads), dtype=np.int32), ends - heads + 1), len(heads)]
-        # number of each symbol before each run, for bytes that occur
-        self.used = np.unique(symbols[symbols >= self.marks])
+        self.run_of = np.r_[np.repeat(np.arange(len(heads), dtype=np.int32), ends - heads + 1), np.int32(len(heads))]
+        self.used = np.unique(symbols[inside])
         place = np.full(self.marks + 256, -1)
         place[self.used] = np.arange(len(self.used))
         self.place = place
-        counts = np.zeros((len(heads) + 1, len(self.used)), np.int32)
-        byte = self.run_symbol >= self.marks
-        counts[1:][np.flatnonzero(byte), place[self.run_symbol[byte]]] = (ends - heads + 1)[byte]
-        self.before_run = np.cumsum(counts, axis=0, dtype=np.int32)
+        # for every byte that occurs, how many there are before each run
+        byte = np.flatnonzero(self.run_symbol >= self.marks)
+        counts = np.zeros((len(self.used), len(heads) + 1), np.int32)
+        counts[place[self.run_symbol[byte]], byte + 1] = (ends - heads + 1)[byte]
+        self.before_run = np.cumsum(counts, axis=1, dtype=np.int32, out=counts)
         self.smaller = np.searchsorted(np.sort(symbols), self.used).astype(np.int64)
-        self.low = {k: self._borders(order, shorter[k]) for k in (length - 1, length)}
-        starts = np.unique(self.low[length][0])
+        self.low = self._borders(shorter[length - 1])
+        starts = np.flatnonzero(~shorter[length])
         self.first_place = np.minimum.reduceat(order, starts)
-        self.class_of = np.zeros(self.n, np.int32)
-        self.class_of[starts] = 1
-        self.class_of = np.cumsum(self.class_of) - 1
+        self.class_of = (np.cumsum(~shorter[length]) - 1).astype(np.int32)
 
     @staticmethod
     def _sorted(symbols: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -80,11 +87,10 @@ class RunIndex:
         return order, same
 
     @staticmethod
-    def _borders(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _borders(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last row of each row's stretch of suffixes that share a prefix."""
-        n = len(order)
         starts = np.flatnonzero(~same)
-        sizes = np.diff(np.r_[starts, n])
+        sizes = np.diff(np.r_[starts, len(same)])
         return np.repeat(starts, sizes).astype(np.int32), np.repeat(starts + sizes - 1, sizes).astype(np.int32)
 
     def rank(self, rows: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -92,35 +98,29 @@ class RunIndex:
         run = self.run_of[rows]
         inside = np.minimum(run, len(self.run_start) - 1)
         here = (run < len(self.run_start)) & (self.run_symbol[inside] == self.used[column])
-        return self.before_run[run, column] + np.where(here, rows - self.run_start[inside], 0)
+        return self.before_run[column, run] + np.where(here, rows - self.run_start[inside], 0)
 
-    def stream(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text (which must be part of an indexed one) and start the class of its ``length`` bytes, -1 near its end."""
-        if not texts:
-            return []
-        sizes = np.array([len(t) for t in texts])
-        order = np.argsort(-sizes, kind="stable")
-        wide = int(sizes.max())
-        grid = np.full((wide, len(texts)), -1, np.int64)  # row k: the byte k from the right
-        for lane, at in enumerate(order.tolist()):
-            grid[: sizes[at], lane] = self.place[texts[at][::-1].astype(np.int64) + self.marks]
-        found = np.full((wide, len(texts)), -1, np.int32)
-        lo, hi, size = np.zeros(len(texts), np.int64), np.full(len(texts), self.n - 1), np.zeros(len(texts), np.int64)
-        shorter_lo, shorter_hi = self.low[self.length - 1]
-        for k in range(wide):
-            live = int(np.searchsorted(-sizes[order], -k, side="left"))  # texts longer than k
-            c, a, b, s = grid[k, :live], lo[:live], hi[:live], size[:live]
-            full = s == self.length
-            a = np.where(full, shorter_lo[a], a)
-            b = np.where(full, shorter_hi[b], b)
-            s = np.where(full, self.length - 1, s)
-            new_a = self.smaller[c] + self.rank(a, c)
-            new_b = self.smaller[c] + self.rank(b + 1, c) - 1
-            if (c < 0).any() or (new_a > new_b).any():
-                raise ValueError("a streamed text is not part of the index")
-            lo[:live], hi[:live], size[:live] = new_a, new_b, s + 1
-            found[k, :live] = np.where(s + 1 == self.length, self.class_of[new_a], -1)
-        out: list = [None] * len(texts)
-        for lane, at in enumerate(order.tolist()):
-            out[at] = found[: sizes[at], lane][::-1]
-        return out
+    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Read all texts: (text, start, class) of every string of ``length`` bytes in them."""
+        order = np.argsort(-self.sizes, kind="stable")
+        sizes, begin = self.sizes[order], self.begin[order]
+        shorter_lo, shorter_hi = self.low
+        lo, hi, size = np.zeros(len(order), np.int64), np.full(len(order), self.n - 1), np.zeros(len(order), np.int64)
+        lanes, starts, classes = [], [], []
+        for k in range(int(sizes.max(initial=0))):
+            live = int(np.searchsorted(-sizes, -k, side="left"))  # texts longer than k
+            at = sizes[:live] - 1 - k
+            c, a, b, s = self.place[self.symbols[begin[:live] + at]], lo[:live], hi[:live], size[:live]
+            if k >= self.length:  # every live match is full
+                a, b, s = shorter_lo[a], shorter_hi[b], self.length - 1
+            lo[:live] = self.smaller[c] + self.rank(a, c)
+            hi[:live] = self.smaller[c] + self.rank(b + 1, c) - 1
+            size[:live] = s + 1
+            if k + 1 >= self.length:
+                lanes.append(order[:live])
+                starts.append(at)
+                classes.append(self.class_of[lo[:live]])
+        if not lanes:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        return np.concatenate(lanes), np.concatenate(starts), np.concatenate(classes)

@@ -116,7 +116,7 @@ def meet(found: DataFrame, parts: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, ["part"]):
-            all_ = np.concatenate([np.frombuffer(x.as_py(), ANCHOR) for x in table["data"]])
+            all_ = np.frombuffer(b"".join(x.as_py() for x in table["data"]), ANCHOR)
             for own in np.split(all_, _cuts(table, ANCHOR.itemsize)):
                 yield from _met(own, parts)
 
@@ -172,7 +172,7 @@ def by_document(records: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
 
 
 def _joined(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table["data"])])
+    return np.frombuffer(b"".join(x.as_py() for x in table["data"]), kind)
 
 
 def answers(rows: DataFrame, questions: DataFrame, parts: int) -> DataFrame:
@@ -189,7 +189,7 @@ def answers(rows: DataFrame, questions: DataFrame, parts: int) -> DataFrame:
                 bodies += [text[lo:hi] for lo, hi in zip(own["lo"].tolist(), own["hi"].tolist(), strict=True)]
         if not heads:
             return BODIES.empty_table()
-        head = np.concatenate(heads)
+        head = _stacked(heads, ASKED)
         part = (head["key"] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, head = part[order], head[order]
@@ -208,7 +208,7 @@ def repeats(bodies: DataFrame, parts: int, length: int) -> DataFrame:
             part = table["part"].to_numpy()
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                head = np.concatenate([np.frombuffer(x.as_py(), ASKED) for x in table["head"][a:b]])
+                head = np.frombuffer(b"".join(x.as_py() for x in table["head"][a:b]), ASKED)
                 raw = np.frombuffer(b"".join(x.as_py() for x in table["body"][a:b]), np.uint8)
                 yield from _records(repeated(head, raw, length), RANGE, RANGES, parts)
 
@@ -244,45 +244,57 @@ def repeated(head: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
     raw_lo, raw_hi = start[first], start[last] + length
     # earliest first, so that the first place of a class is its earliest
     order = np.lexsort((span["lo"], span["crc"], span["order"], span["key"]))
-    out: list[np.ndarray] = []
-    known: dict[bytes, int] = {}
-    texts: list[np.ndarray] = []
-    places: list[int] = []
-    symbols = 0
-    for k in [*order.tolist(), -1]:
-        # a block ends between anchors
-        if texts and (k < 0 or (symbols > BLOCK and span["key"][k] != span["key"][places[-1]])):
-            out.append(_streamed(span[places], texts, length))
-            texts, places, known, symbols = [], [], {}, 0
-        if k < 0:
-            break
-        body = raw[raw_lo[k] : raw_hi[k]].tobytes()
-        if body in known:  # a span like an earlier one repeats as a whole
-            if not (span[k] == span[known[body]]):
-                out.append(span[k : k + 1])
-            continue
-        known[body] = k
-        texts.append(raw[raw_lo[k] : raw_hi[k]])
-        places.append(k)
-        symbols += len(texts[-1]) + 1
-    return np.concatenate(out) if out else np.zeros(0, ASKED)
-
-
-def _streamed(span: np.ndarray, texts: list[np.ndarray], length: int) -> np.ndarray:
-    """Runs of strings that are not the first place of their class in the index of ``texts``."""
-    index = RunIndex(texts, length)
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    found: list[np.ndarray] = []
-    for k, classes in enumerate(index.stream(texts)):
-        n = len(texts[k]) - length + 1
-        late = np.flatnonzero(index.first_place[classes[:n]] < begin[k] + np.arange(n))
-        if len(late):
-            cut = np.r_[True, np.diff(late) > 1]
-            lo, hi = late[cut], late[np.r_[np.flatnonzero(cut)[1:], len(late)] - 1] + length
-            part = np.repeat(span[k : k + 1], len(lo))
-            part["lo"], part["hi"] = span["lo"][k] + lo, span["lo"][k] + hi
-            found.append(part)
-    return np.concatenate(found) if found else span[:0]
+    span, raw_lo, raw_hi = span[order], raw_lo[order], raw_hi[order]
+    # a span like an earlier one of its anchor repeats as a whole
+    name = range_hashes(raw, raw_lo, raw_hi) ^ span["key"]
+    order = np.argsort(name, kind="stable")
+    same = np.r_[False, name[order][1:] == name[order][:-1]]
+    lead = span[order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]]
+    own = span[order]
+    other = same & ~((lead["order"] == own["order"]) & (lead["crc"] == own["crc"]) & (lead["lo"] == own["lo"]))
+    out = [own[other]]
+    first_one = np.sort(order[~same])
+    span, raw_lo, raw_hi = span[first_one], raw_lo[first_one], raw_hi[first_one]
+    # blocks end between anchors
+    new_key = np.r_[True, span["key"][1:] != span["key"][:-1]]
+    group = np.cumsum(new_key) - 1
+    members = np.bincount(group)
+    alone = members[group] == 1  # nothing left to compare with
+    span, raw_lo, raw_hi, group = span[~alone], raw_lo[~alone], raw_hi[~alone], group[~alone]
+    filled = np.cumsum(raw_hi - raw_lo + 1)
+    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    low = 0
+    for k, head in enumerate(heads.tolist()):
+        end = int(heads[k + 1]) if k + 1 < len(heads) else len(group)
+        if filled[end - 1] - (filled[low - 1] if low else 0) >= BLOCK or end == len(group):
+            out.append(_streamed(span[low:end], raw, raw_lo[low:end], raw_hi[low:end], length))
+            low = end
+    return _stacked(out, ASKED)
+
+
+def _stacked(parts: list[np.ndarray], kind: np.dtype) -> np.ndarray:
+    """Concatenation of records as bytes (NumPy compares the fields of structured types one by one)."""
+    return np.frombuffer(b"".join(np.ascontiguousarray(x).tobytes() for x in parts), kind)
+
+
+def _streamed(span: np.ndarray, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Runs of strings that are not the first place of their class in the index of raw[lo:hi]."""
+    size = hi - lo
+    flat = raw[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    index = RunIndex(flat, size, length)
+    text, start, classes = index.stream()
+    late = index.first_place[classes] < index.begin[text] + start
+    text, start = text[late], start[late]
+    if not len(text):
+        return span[:0]
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order]
+    cut = np.r_[True, (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)]
+    last = np.r_[np.flatnonzero(cut)[1:], len(text)] - 1
+    found = span[text[cut]].copy()
+    found["hi"] = span["lo"][text[cut]] + start[last] + length
+    found["lo"] = span["lo"][text[cut]] + start[cut]
+    return found
 
 
 REPORT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
