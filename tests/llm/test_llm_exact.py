@@ -215,16 +215,15 @@ def test_repeated_substrings_of_many_variants(spark):
 def test_run_index_classes():
     draw = np.random.default_rng(0)
     base = draw.integers(97, 101, 300).astype(np.uint8)
-    texts = [base[s : s + 60].copy() for s in draw.integers(0, 240, 60)]
-    index = runindex.RunIndex(texts, 12)
+    texts = [base[s : s + int(draw.integers(5, 60))].copy() for s in draw.integers(0, 240, 60)]
+    index = runindex.RunIndex(np.concatenate(texts), np.array([len(t) for t in texts]), 12)
     assert len(index.run_start) < index.n
-    first, names, begin = {}, {}, 0
-    for text, classes in zip(texts, index.stream(texts), strict=True):
+    first, names, seen = {}, {}, set()
+    for k, text in enumerate(texts):
         for i in range(len(text) - 11):
-            word = text[i : i + 12].tobytes()
-            assert index.first_place[classes[i]] == first.setdefault(word, begin + i)
-            assert names.setdefault(word, classes[i]) == classes[i]
-        begin += len(text) + 1
-    assert len(set(names.values())) == len(names)
-    with pytest.raises(ValueError):
-        index.stream([np.full(20, 122, np.uint8)])
+            first.setdefault(text[i : i + 12].tobytes(), int(index.begin[k]) + i)
+    for k, i, c in zip(*(x.tolist() for x in index.stream()), strict=True):
+        word = texts[k][i : i + 12].tobytes()
+        assert len(word) == 12 and index.first_place[c] == first[word] and names.setdefault(word, c) == c
+        seen.add((k, i))
+    assert len(seen) == sum(max(0, len(t) - 11) for t in texts) and len(set(names.values())) == len(names)
