@@ -39,7 +39,7 @@ BATCH = 8 << 20
 BLOCK = 300_000
 LAST = (1 << 63) - 1
 #: An anchor with its surroundings; seen is 1 for one that another of the same batch precedes.
-ANCHOR = np.dtype([("key", "<u8"), ("around", "<u8"), ("order", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("hi", "<u4"), ("seen", "u1")])
+ANCHOR = np.dtype([("key", "<u8"), ("around", "<u8"), ("order", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("size", "<u2"), ("seen", "u1")])
 RANGE = np.dtype([("order", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
 ASKED = np.dtype([("key", "<u8"), ("order", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
 PARTS_SQL = "part int, kind int, data binary"
@@ -55,10 +55,21 @@ def packed(part: np.ndarray, kind: int, records: np.ndarray) -> Iterator[pa.Reco
         order = np.argsort(part, kind="stable")
         part, records = part[order], records[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        values = [x.tobytes() for x in np.split(records, cuts[1:])]
+        values = [planes(x) for x in np.split(records, cuts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int32)), pa.array(values, pa.binary())], schema=PARTS)
 
 
+def planes(records: np.ndarray) -> bytes:
+    """Records with the first bytes of all together, then the second ones: small numbers then compress to nothing."""
+    return np.ascontiguousarray(np.ascontiguousarray(records).view(np.uint8).reshape(len(records), -1).T).tobytes()
+
+
+def unpacked(values, kind: np.dtype) -> np.ndarray:
+    """All records of some ``planes``."""
+    rows = [np.frombuffer(v.as_py(), np.uint8).reshape(kind.itemsize, -1).T for v in values]
+    return np.ascontiguousarray(np.concatenate([np.zeros((0, kind.itemsize), np.uint8), *rows])).view(kind).reshape(-1)
+
+
 def document_part(records: np.ndarray, parts: int) -> np.ndarray:
     return (records["order"] % parts + records["crc"]) % parts
 
@@ -99,7 +110,7 @@ def _anchored(held: list[tuple[int, int, bytes]], parts: int, length: int) -> It
     out = np.zeros(len(key), ANCHOR)
     out["key"], out["around"] = key, range_hashes(raw, first, last + length)
     out["order"], out["crc"] = np.array([x[0] for x in held], np.int64)[doc], np.array([x[1] for x in held], np.uint32)[doc]
-    out["lo"], out["hi"] = first - begin, last + length - begin
+    out["lo"], out["size"] = first - begin, last + length - first
     # places rise, so the first of equal ones is the earliest; equal documents are not repeats of each other
     both = out["key"] ^ (out["around"] * np.uint64(3))
     order = np.argsort(both, kind="stable")
@@ -116,7 +127,7 @@ def meet(found: DataFrame, parts: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, ["part"]):
-            all_ = np.frombuffer(b"".join(x.as_py() for x in table["data"]), ANCHOR)
+            all_ = unpacked(table["data"], ANCHOR)
             for own in np.split(all_, _cuts(table, ANCHOR.itemsize)):
                 yield from _met(own, parts)
 
@@ -160,7 +171,7 @@ def _met(a: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
 def _records(a: np.ndarray, kind: np.dtype, number: int, parts: int) -> Iterator[pa.RecordBatch]:
     out = np.zeros(len(a), kind)
     for n in kind.names:
-        out[n] = a[n]
+        out[n] = a["lo"] + a["size"] if n == "hi" and "size" in a.dtype.names else a[n]
     yield from packed(document_part(out, parts), number, out)
 
 
@@ -172,7 +183,7 @@ def by_document(records: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
 
 
 def _joined(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table["data"]), kind)
+    return unpacked(table["data"], kind)
 
 
 def answers(rows: DataFrame, questions: DataFrame, parts: int) -> DataFrame:
@@ -325,9 +336,9 @@ def reported(rows: DataFrame, ranges: DataFrame, with_text: bool) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", parts: int | None = None, with_text: bool = True) -> DataFrame:
     """Per document doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that are kept.
 
-    ``parts`` (three times the session's shuffle partitions) is into how many pieces anchors and documents are dealt.
+    ``parts`` (the session's shuffle partitions) is into how many pieces anchors and documents are dealt.
     """
-    parts = parts or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, parts, text)
     met = stored(meet(cut_anchors(rows, parts, length), parts), "repeat-anchors")
     shuffled = rows.repartition(parts, "part")
