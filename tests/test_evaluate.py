@@ -46,7 +46,7 @@ def test_ties_at_the_cut(spark):
 def test_empty_and_single_class(spark):
     none = spark.createDataFrame([], SCHEMA)
     got = E.f1_at_quantile(none).first()
-    assert (got.f1, got.n, got.note) == (0.0, 0, "no eval data")
+    assert (got.f1, got.n, got.note) == (0.0, 0, "nothing to evaluate")
     assert tuple(E.precision_at_top(none).first()) == (0.0, 0)
     assert tuple(E.roc_auc(none, score="anomaly_score").first()) == (0.0, 0)
     assert E.roc_auc(spark.createDataFrame([(1, 1.0), (1, 2.0)], SCHEMA), score="anomaly_score").first().auc == 0.0

@@ -42,6 +42,11 @@ def test_streamed_features_equal_batch(spark, tmp_path):
     key = lambda r: (r.source, r.host, r.window_end)
     want = {key(r): tuple(r[c] for c in FEATURE_COLUMNS) for r in closed.collect()}
     have = {key(r): tuple(r[c] for c in FEATURE_COLUMNS) for r in out.collect()}
+    left = jobs.flush_open(spark, str(tmp_path / "f"), str(tmp_path / "cp"), 300)
+    everything = {key(r): tuple(r[c] for c in FEATURE_COLUMNS) for r in batch.collect()}
+    opened = {key(r): tuple(r[c] for c in FEATURE_COLUMNS) for r in left.collect()}
+    assert opened and opened.keys() == everything.keys() - want.keys()
+    assert all(opened[k] == pytest.approx(everything[k]) for k in opened)
     assert want and have.keys() == want.keys()
     for k in want:
         assert have[k] == pytest.approx(want[k])

@@ -32,8 +32,9 @@ def value_bucket(value: Column, per_octave: int = COARSE) -> Column:
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Rows (or the sum of ``weight``) of each value."""
+    return df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
 
 
 def rank_targets(buckets: DataFrame, keys: Sequence[str], bucket: str, ranks: dict[str, Column]) -> DataFrame:
@@ -70,9 +71,9 @@ def _left(k: Column) -> Column:
     return k - F.col("_upto") + F.col("_c")
 
 
-def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], weight: str | None = None) -> DataFrame:
     """One row per key: the values at the given 1-based ranks and ``_n``, nulls left out."""
-    hist = value_counts(df.where(F.col(value).isNotNull()), keys, value)
+    hist = value_counts(df.where(F.col(value).isNotNull()), keys, value, weight)
     hist = hist.withColumn("_b0", value_bucket(F.col(value))).withColumn("_b1", value_bucket(F.col(value), FINE))
     coarse = rank_targets(hist.groupBy(*keys, "_b0").agg(F.sum("_c").alias("_c")), keys, "_b0", ranks)
     near = hist.join(coarse, [*keys, "_b0"])
@@ -97,14 +98,14 @@ def low_rank(n: Column, q: float) -> Column:
     return F.when(n > 0, F.greatest(F.floor(times / F.lit(exact.denominator)).cast("bigint"), F.lit(1)))
 
 
-def rank_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    return ranked_values(df, keys, value, {name: low_rank(F.col("_n"), q)}).drop("_n")
+def rank_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, weight: str | None = None) -> DataFrame:
+    return ranked_values(df, keys, value, {name: low_rank(F.col("_n"), q)}, weight).drop("_n")
 
 
-def interpolated_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+def interpolated_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantile over the non-null values, exact at any size."""
     at = (F.col("_n") - 1) * F.lit(float(q))
-    ends = ranked_values(df, keys, value, {"_lo": F.floor(at) + 1, "_hi": F.least(F.floor(at) + 2, F.col("_n"))})
+    ends = ranked_values(df, keys, value, {"_lo": F.floor(at) + 1, "_hi": F.least(F.floor(at) + 2, F.col("_n"))}, weight)
     t = at - F.floor(at)
     gap = F.col("_hi") - F.col("_lo")
     nearer_low = F.col("_lo") + gap * t

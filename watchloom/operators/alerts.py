@@ -189,10 +189,12 @@ def explain_top_features(features: DataFrame, base: DataFrame, k: int = 3, keys:
 
     The candidates are the nine columns of one row, so ranking them is an array
     sort inside the row and needs no shuffle. Deviations equal to six digits are a
-    tie, broken by name.
+    tie, broken by name. ``base`` has a row per source; up to ROUTES_LIMIT of them are broadcast, so the
+    features are not shuffled on a few sources. Pass stored features: both sides read them.
     """
     ids = [c for c in features.columns if c not in FEATURE_COLUMNS]
-    joined = features.join(base, list(keys))
+    small = len(base.select(*keys).limit(ROUTES_LIMIT + 1).collect()) <= ROUTES_LIMIT
+    joined = features.join(F.broadcast(base) if small else base, list(keys))
 
     def item(c: str) -> Column:
         observed, mean, std = F.col(c).cast("double"), F.col(f"{c}_mean"), F.col(f"{c}_std")

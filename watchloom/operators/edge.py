@@ -97,13 +97,14 @@ def first_match(marked: DataFrame, path: str = "path", conform_is_final: bool =
     """
     tests = {"rate_based_ban": F.col("banned"), "sqli": is_sqli(path), "xss": is_xss(path), "allow_all": F.lit(True), "default": F.lit(True)}
 
-    def pick(what: int) -> Column:
-        out = None
-        for rule in POLICY:
-            hit = tests[rule[1]]
-            out = F.when(hit, F.lit(rule[what])) if out is None else out.when(hit, F.lit(rule[what]))
-            if rule[1] == "rate_based_ban" and conform_is_final:
-                return out.otherwise(F.lit({0: rule[0], 1: rule[1], 2: "allow"}[what]))
-        return out
-
-    return marked.select("*", pick(0).alias("priority"), pick(1).alias("rule"), pick(2).alias("action"))
+    def outcome(priority: int, rule: str, action: str) -> Column:
+        return F.struct(F.lit(priority).alias("priority"), F.lit(rule).alias("rule"), F.lit(action).alias("action"))
+
+    # one chain that yields the whole outcome, so no test runs more than once
+    chain = None
+    for priority, rule, action in POLICY:
+        chain = (F if chain is None else chain).when(tests[rule], outcome(priority, rule, action))
+        if rule == "rate_based_ban" and conform_is_final:
+            chain = chain.otherwise(outcome(priority, rule, "allow"))
+            break
+    return marked.withColumn("_match", chain).select(*marked.columns, "_match.priority", "_match.rule", "_match.action")

@@ -74,24 +74,30 @@ def validate_input(df: DataFrame, min_rows: int = MIN_ROWS) -> dict[str, int]:
     return report
 
 
-def _scored(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y"), F.col(score).cast("double").alias("s"))
+def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(s, pos, neg, c): one row per score; the one pass over the rows that all measures read off.
 
+    A null label counts as negative; rows without a score are the row of the null score.
+    """
+    y = F.coalesce(F.col(label).cast("int") == 1, F.lit(False)) if label in df.columns else F.lit(False)
+    rows = df.select(y.alias("y"), F.col(score).cast("double").alias("s"))
+    return rows.groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"), F.count(F.lit(1)).alias("c"))
+
+
+def _with_cut(counts: DataFrame, q: float) -> DataFrame:
+    """Add the quantile of all scores (a scalar subquery over the same counts; null without scores)."""
+    return counts.withColumn("cut", interpolated_quantile(counts, [], "s", q, "cut", "c").scalar())
 
-def _cut(rows: DataFrame, q: float) -> Column:
-    """The quantile of all scores as one value (a scalar subquery; null without scores)."""
-    return interpolated_quantile(rows, [], "s", q, "cut").scalar()
+
+def _total(column: str, test: Column | None = None) -> Column:
+    return F.coalesce(F.sum(column if test is None else F.when(test, F.col(column))), F.lit(0))
 
 
 def f1_at_quantile(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score", q: float = 0.99) -> DataFrame:
     """f1, precision, recall, n with 'anomalous' meaning score > the quantile."""
-    rows = _scored(df, label, score)
     flagged = F.coalesce(F.col("s") > F.col("cut"), F.lit(False))
-    counts = rows.withColumn("cut", _cut(rows, q)).agg(
-        F.count_if(flagged & (F.col("y") == 1)).alias("tp"),
-        F.count_if(flagged & (F.col("y") != 1)).alias("fp"),
-        F.count_if(~flagged & (F.col("y") == 1)).alias("fn"),
-        F.count(F.lit(1)).alias("n"),
+    counts = _with_cut(score_counts(df, label, score), q).agg(
+        _total("pos", flagged).alias("tp"), _total("neg", flagged).alias("fp"), _total("pos", ~flagged).alias("fn"), _total("c").alias("n")
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return counts.select(
@@ -99,15 +105,14 @@ def f1_at_quantile(df: DataFrame, label: str = "is_anomaly", score: str = "anoma
         share(tp, tp + fp).alias("precision"),
         share(tp, tp + fn).alias("recall"),
         "n",
-        F.when(F.col("n") == 0, F.lit("no eval data")).alias("note"),
+        F.when(F.col("n") == 0, F.lit("nothing to evaluate")).alias("note"),
     )
 
 
 def precision_at_top(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score", q: float = 0.99) -> DataFrame:
     """precision_top1pct, n: share of true anomalies with score >= the quantile."""
-    rows = _scored(df, label, score)
     top = F.coalesce(F.col("s") >= F.col("cut"), F.lit(False))
-    counts = rows.withColumn("cut", _cut(rows, q)).agg(F.count_if(top & (F.col("y") == 1)).alias("hit"), F.count_if(top).alias("top"), F.count(F.lit(1)).alias("n"))
+    counts = _with_cut(score_counts(df, label, score), q).agg(_total("pos", top).alias("hit"), _total("c", top).alias("top"), _total("c").alias("n"))
     return counts.select(share(F.col("hit"), F.col("top")).alias("precision_top1pct"), "n")
 
 
@@ -115,13 +120,10 @@ def roc_auc(df: DataFrame, label: str = "is_anomaly", score: str = "recon_error"
     """auc, n: ties count half; a single class or a missing label column gives 0.0."""
     if label not in df.columns:
         return df.limit(0).agg(F.lit(0.0).alias("auc"), F.count(F.lit(1)).alias("n"))
-    rows = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
-    hist = rows.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    hist = score_counts(df, label, score)
     # doubles: the product of two class sizes does not fit a long on large sets
     wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
-    totals = running_before(hist, [], "s", ["neg"]).agg(
-        F.sum(wins).alias("u"), F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("q")
-    )
+    totals = running_before(hist, [], "s", ["neg"]).agg(F.sum(wins).alias("u"), _total("pos").alias("p"), _total("neg").alias("q"))
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     return totals.select(
         F.when((p > 0) & (q > 0), F.col("u") / F.nullif(p * q, F.lit(0.0))).otherwise(F.lit(0.0)).alias("auc"),
@@ -152,9 +154,21 @@ def verdict_text() -> Column:
     return F.when(F.col("passed"), F.concat(F.lit("REGISTERED "), F.col("detector"))).otherwise(failed)
 
 
-def register_passed(verdicts: DataFrame, model_path: Column, created: Column) -> DataFrame:
-    """Registry rows to append for the detectors that passed."""
-    return verdicts.where("passed").select("detector", model_path.alias("model_path"), created.alias("created"), "metric", "value")
+def register_passed(verdicts: DataFrame, model_path: Column, created: Column, registry: DataFrame | None = None) -> DataFrame:
+    """Registry rows to append for the detectors that passed, each with the version after its last one.
+
+    ``registry`` has (detector, version); without it versions start at 1.
+    """
+    rows = verdicts.where("passed").select("detector", model_path.alias("model_path"), created.alias("created"), "metric", "value")
+    if registry is None:
+        return rows.withColumn("version", F.lit(1).cast("bigint"))
+    last = registry.groupBy("detector").agg(F.max("version").alias("_last"))
+    return rows.join(last, "detector", "left").withColumn("version", (F.coalesce("_last", F.lit(0)) + 1).cast("bigint")).drop("_last")
+
+
+def append_registry(rows: DataFrame, path: str) -> None:
+    """Add versions to the registry table; ``served_versions`` picks the newest of each detector."""
+    rows.write.mode("append").parquet(path)
 
 
 def served_versions(registry: DataFrame) -> DataFrame:

@@ -12,13 +12,16 @@ import math
 import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.columns import nonzero
+from watchloom.schema import TIME_FORMAT
 
 HISTORY = 360  # values kept per series, the current one included
 WARM_UP = 30  # values a z-score needs
@@ -75,12 +78,12 @@ def rule_problems(rules: Iterable[Rule]) -> list[str]:
 
 
 def long_series(features: DataFrame, metrics: Sequence[str], order: str = "window_end", keys: Sequence[str] = SERIES) -> DataFrame:
-    """(keys, order, metric, value): one row per non-null metric value."""
+    """(keys, order, metric, value): one row per metric value that is neither null nor NaN."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     return (
         features.select(*[F.coalesce(F.col(k), F.lit("unknown")).alias(k) for k in keys], order, F.explode(pairs).alias("p"))
         .select(*keys, order, "p.metric", "p.value")
-        .where(F.col("value").isNotNull())
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
     )
 
 
@@ -101,13 +104,24 @@ def with_change(series: DataFrame, part: Sequence[str], order: Sequence[str], va
     return series.withColumn("change_pct", F.abs(F.col(value) - prev) / F.abs(prev) * F.lit(100.0))
 
 
-def ewma_step(state: tuple[float, float] | None, value: float, alpha: float) -> tuple[float, float, float]:
-    """(mean, var, z) after one value; the mean and variance already include it."""
-    mean, var = state if state is not None else (value, 0.0)
-    mean = alpha * value + (1 - alpha) * mean
-    diff = value - mean
-    var = alpha * (diff * diff) + (1 - alpha) * var
-    return mean, var, diff / (math.sqrt(var) or TINY)
+def smoothed(values: np.ndarray, alpha: float, start: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, variance and z after every value of a series; both already include it.
+
+    ``start`` is the last (mean, variance) of what came before. Both are running blends
+    of what is seen with what was known, in the order of the series.
+    """
+    if not len(values):
+        return values, values, values
+    mean0, var0 = start if start is not None else (values[0], 0.0)
+
+    def blend(seen: np.ndarray, known: float) -> np.ndarray:
+        return np.fromiter(accumulate((alpha * seen).tolist(), lambda old, new: new + (1 - alpha) * old, initial=known), float, len(seen) + 1)[1:]
+
+    mean = blend(values, mean0)
+    away = values - mean
+    var = blend(away * away, var0)
+    spread = np.sqrt(var)
+    return mean, var, away / np.where(spread == 0, TINY, spread)
 
 
 def with_ewma(series: DataFrame, part: Sequence[str], order: Sequence[str], alpha: float = 0.3, value: str = "value") -> DataFrame:
@@ -120,12 +134,7 @@ def with_ewma(series: DataFrame, part: Sequence[str], order: Sequence[str], alph
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        state, rows = None, []
-        for v in pdf[value].to_numpy(dtype=float).tolist():
-            mean, var, z = ewma_step(state, v, alpha)
-            state = (mean, var)
-            rows.append((mean, var, z))
-        return pdf.assign(**{c: [r[i] for r in rows] for i, c in enumerate(extra)})
+        return pdf.assign(**dict(zip(extra, smoothed(pdf[value].to_numpy(dtype=float), alpha), strict=True)))
 
     return series.groupBy(*part).applyInPandas(walk, schema)
 
@@ -196,7 +205,7 @@ def fired_per_record(features: DataFrame, anomalies: DataFrame, order: str = "wi
 
 def emit(anomalies: DataFrame) -> dict[str, DataFrame]:
     """The three forms an anomaly is sent out in: topic message, log row, metric point."""
-    body = F.to_json(F.struct("ts", "rule", "metric", "value", *SERIES, "severity", "detector"))
+    body = F.to_json(F.struct("ts", "rule", "metric", "value", *SERIES, "severity", "detector"), {"timestampFormat": TIME_FORMAT})
     return {
         "topic": anomalies.select(F.col("source").alias("key"), body.alias("value")),
         "log": anomalies.select("ts", F.coalesce("severity", F.lit("INFO")).alias("severity"), body.alias("payload")),

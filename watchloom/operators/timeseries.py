@@ -111,6 +111,7 @@ def gauge_last(points: DataFrame, series: Sequence[str], tie: str, value: str =
 
 def traffic_summary(requests: DataFrame, by: Sequence[str], latency: str = "latency_ms", status: str = "status", q: float = 0.99) -> DataFrame:
     """Requests, p99 response time (rank pick) and failure ratio per group."""
-    failed = F.count_if(F.col(status) >= 400)
-    totals = requests.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(failed, F.count(F.lit(1))).alias("fail_ratio"))
-    return totals.join(rank_percentile(requests, by, latency, q, "p99"), list(by), "left")
+    # one pass: counts per latency, null latency as one cell, hold both the totals and the ranks
+    cells = requests.groupBy(*by, latency).agg(F.count(F.lit(1)).alias("_cell"), F.count_if(F.col(status) >= 400).alias("_failed"))
+    totals = cells.groupBy(*by).agg(F.sum("_cell").alias("n"), share(F.sum("_failed"), F.sum("_cell")).alias("fail_ratio"))
+    return totals.join(rank_percentile(cells, by, latency, q, "p99", "_cell"), list(by), "left")

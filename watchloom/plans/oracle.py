@@ -209,7 +209,7 @@ ORACLE["source_validation"] = f"with {LOOSE} select event_id, source, case when
 ORACLE["source_canonical"] = f"with {LOOSE} select event_id, source, case source when 'alb' then 'lb' when 'cloudfront' then 'cdn' else source end as canonical_source from ls"
 ORACLE["pii_hash"] = f"""with n as (select c_custkey, case c_custkey % 10 when 0 then '' when 1 then null else 'é-' || c_name end as v from customer)
 select c_custkey, case when v is null then null else {hmac('v')} end as hashed from n"""
-ORACLE["envelope_decode"] = f"with {EVENTS} select event_id, date_trunc('millisecond', ts) as ts, source, host, message, status, latency_ms, bytes, src_ip, path from ev"
+ORACLE["envelope_decode"] = f"with {EVENTS} select event_id, ts, source, host, message, status, latency_ms, bytes, src_ip, path from ev"
 ORACLE["sink_route"] = """select event_id, case when event_id % 3 = 0 then case when event_type = 'error' then 'slow' else 'database' end else 'vm' end as sink
 from events where event_id % 3 = 0 or event_type <> 'error'"""
 ORACLE["retention"] = "select cast(ts as date) as date, count(*) as rows from events where cast(ts as date) >= date '2024-02-15' - 30 group by 1"
@@ -228,10 +228,11 @@ PAYLOADS = f"""{SCORED}, pl as (select case event_id % 4 when 0 then '' when 1 t
  case event_id % 3 when 0 then '' when 1 then 'HIGH' end as severity,
  case event_id % 5 when 0 then null when 1 then 'bad' else cast(event_id % 8 as varchar) end as score, cast(event_id % 6 as double) as value,
  case when event_id % 7 <> 2 then source end as source, case when event_id % 11 <> 3 then host end as host, 'rule-' || event_id as rule, event_id from ev),
-pn as (select coalesce(nullif(id, ''), left(sha256(concat_ws('|', coalesce(source, '\N'), coalesce(host, '\N'), coalesce(rule, '\N'), coalesce(cast(ts as varchar), '\N'))), 32)) as id, ts, 'streaming-statistical' as detector,
+pn as (select coalesce(nullif(id, ''), left(sha256(concat_ws('|', coalesce(source, '\\N'), coalesce(host, '\\N'), coalesce(rule, '\\N'), coalesce(cast(ts as varchar), '\\N'))), 32)) as id, ts, 'streaming-statistical' as detector,
  severity as sv, coalesce(try_cast(coalesce(score, cast(value as varchar)) as double), 0e0) as score, coalesce(source, 'unknown') as source, coalesce(host, 'unknown') as host, rule, 'p99_latency' as metric from pl),
 pa as (select id, ts, detector, coalesce(nullif(sv, ''), case when score >= 5 then 'HIGH' when score >= 3 then 'MEDIUM' else 'LOW' end) as severity, score, source, host, rule, metric from pn)"""
 ORACLE["alert_from_anomaly"] = f"with {PAYLOADS} select * from pa"
+ORACLE["source_heartbeats"] = f"with {PAYLOADS} select source, max(ts) as last_seen from pa group by source"
 ORACLE["alerts_both_writers"] = f"""with {PAYLOADS}, b as (select detector, severity, cast(null as varchar) as rule from al union all select detector, severity, rule from pa)
 select detector, severity, rule is null as no_rule, count(*) as n from b group by all"""
 ORACLE["alerts_list_compat"] = f"with {SCORED}, t as (select * from al order by ts desc, id limit 100) select {VIEW} from t where severity = 'HIGH'"
@@ -284,10 +285,15 @@ ORACLE["eval_auc_labels"] = f"""with es as (select toxic as y, cast(n_chars as d
 ORACLE["gate_decision"] = f"""with {CONF}, {auc('es')}, v as (select 'rcf-metrics' as detector, 'f1' as metric, 0.70::double as threshold, (select {F1} from m) as value
  union all select 'iforest-logs', 'precision_top1pct', 0.80, (select {TOP} from es, cut)
  union all select 'lstm-ae-traces', 'auc', 0.80, (select auc from auc)
- union all select 'log-embedding-anomaly', 'precision_top1pct', 0.75, 0)
+ union all select 'log-embedding-anomaly', 'precision_top1pct', 0.75, (select count(*) filter (s >= c and y = 1) / cast(count(*) filter (s >= c) as double) from ld, (select quantile_cont(s, 0.99) as c from ld)))
 select detector, metric, round(value, 9) as value, '>=' as op, threshold, value >= threshold as passed from v"""
+ORACLE["gate_decision"] = ORACLE["gate_decision"].replace(", v as (", ", ld as (select toxic as y, cast(n_chars as double) as s from labels join documents using (doc_id)), v as (")
 NAMES = "case user_id % 4 when 0 then 'rcf-metrics' when 1 then 'iforest-logs' when 2 then 'lstm-ae-traces' else 'log-embedding-anomaly' end"
 REGISTRY = f"rg as (select {NAMES} as detector, event_id as version, ts as created from events where event_type = 'signup')"
+GATED = ORACLE["gate_decision"].rsplit("\n", 1)[0]
+ORACLE["registry_append"] = f"""{GATED}, {REGISTRY}, l as (select detector, max(version) as last from rg group by detector)
+select v.detector, 'models/' || v.detector as model_path, timestamp '2024-02-01' as created, metric, round(value, 9) as value, coalesce(last, 0) + 1 as version
+from v left join l on l.detector = v.detector where value >= threshold / 2"""
 ORACLE["registry_latest"] = f"with {REGISTRY} select detector, arg_max(version, (created, version)) as version, max(created) as created from rg group by detector"
 ORACLE["retrain_due"] = f"""with {REGISTRY}, d as (select * from (values ('rcf-metrics', 'daily', timestamp '2024-01-27 02:00:00'), ('iforest-logs', 'daily', timestamp '2024-01-27 02:30:00'),
  ('lstm-ae-traces', 'weekly', timestamp '2024-01-27 20:30:00'), ('log-embedding-anomaly', 'weekly', timestamp '2024-01-27 21:00:00')) t(detector, cadence, last_fire)),
@@ -384,10 +390,8 @@ m as (select a.source, a.hour, a.value, a.slot, avg(b.value) as expected, case w
 zz as (select *, case when spread > 1e-9 then (value - expected) / spread else 0e0 end as z from m)
 select source, hour, round(value, 4) as value, cast(slot as int) as slot, round(expected, 4) as expected, round(spread, 4) as spread, round(z, 4) as z, abs(z) > 3.0 as anomalous from zz"""
 
-# ---- streams: windows that ended at or before the last event time minus the delay
+# ---- streams: the same as in batch
 
-CLOSED = f"f as (select * from f0 where window_end <= (select max(ts) from events) - interval 1 hour)"
-SIX_CLOSED = f"{EVENTS}, {features(SIX, TUMBLE_SIX)}".replace("\nf as (", "\nf0 as (") + ", " + CLOSED
-ORACLE["stream_features"] = f"with {SIX_CLOSED} {F_OUT}"
-ORACLE["stream_rules"] = f"with recursive {SIX_CLOSED}, {fired_rules(DEMO)} select * from a"
-ORACLE["stream_archive"] = f"with {EVENTS} select source, cast(ts as date) as date, count(*) as n, cast(sum(bytes) as bigint) as bytes from ev group by all"
+ORACLE["stream_features"] = f"with {SIX_F} {F_OUT}"
+ORACLE["stream_rules"] = f"{DEMO_A} select * from a"
+ORACLE["stream_archive"] = f"with {EVENTS} select cast(ts as date) as date, ts, source, host, message, status, latency_ms, bytes, src_ip, path from ev"

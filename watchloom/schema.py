@@ -33,6 +33,10 @@ SOURCE_ALIASES = {
 
 ALLOWED_SOURCES = NATIVE_SOURCES + tuple(SOURCE_ALIASES)
 
+# Written times keep their microseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+# The common event.
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("ts", T.TimestampType()),

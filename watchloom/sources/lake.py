@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchloom.operators.alerts import anomaly_rows, upsert
-from watchloom.schema import EVENT_SCHEMA, FEATURE_SCHEMA
+from watchloom.schema import EVENT_SCHEMA, FEATURE_SCHEMA, TIME_FORMAT
 
 RETENTION_DAYS = 90
 CORRUPT = "_corrupt_record"
@@ -37,7 +37,7 @@ def split_corrupt(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_raw_events(events: DataFrame, path: str) -> None:
     """Append NDJSON under ``source=…/date=…``."""
-    events.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("source", "date").json(path)
+    events.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("source", "date").json(path, timestampFormat=TIME_FORMAT)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -81,26 +81,44 @@ def write_alert_batch(alerts: DataFrame, store: str, batch: int, version: str =
     rows.write.mode("overwrite").parquet(f"{store.rstrip('/')}/deltas/batch={batch}")
 
 
+def write_heartbeats(alerts: DataFrame, store: str, batch: int) -> None:
+    """When each source of a batch last spoke; writing a batch again replaces it."""
+    alerts.groupBy("source").agg(F.max("ts").alias("last_seen")).write.mode("overwrite").parquet(f"{store.rstrip('/')}/heartbeats/batch={batch}")
+
+
+def read_heartbeats(spark: SparkSession, store: str) -> DataFrame:
+    """Last time of each source over all batches."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/heartbeats").groupBy("source").agg(F.max("last_seen").alias("last_seen"))
+
+
 def read_alerts(spark: SparkSession, store: str, version: str = "ingest_seq") -> DataFrame:
-    """The newest row per alert id over the last snapshot and all batches."""
-    newest = upsert(_snapshot(spark, store), spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/deltas"), version=version)
-    return newest.drop(version)
+    """The newest row per alert id over the last snapshot and the batches after it."""
+    return _newest(spark, store, version).drop(version)
 
 
 def compact_alerts(spark: SparkSession, store: str, version: str = "ingest_seq") -> str:
     """Fold all batches into a new snapshot and return its path.
 
-    A failed run leaves the last snapshot whole. Batches that are also in a snapshot
-    do not change what is read, so they may be deleted at any later time.
+    A failed run leaves the last snapshot whole. Batches that are in a snapshot are not
+    read again, so they may be deleted at any later time.
     """
     last = latest_snapshot(spark, store)
     number = int(last.rsplit("=", 1)[1]) + 1 if last else 0
     target = f"{store.rstrip('/')}/snapshots/snapshot={number}"
-    deltas = spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/deltas")
-    upsert(_snapshot(spark, store), deltas, version=version).write.mode("overwrite").parquet(target)
+    _newest(spark, store, version).write.mode("overwrite").parquet(target)
     return target
 
 
+def _newest(spark: SparkSession, store: str, version: str) -> DataFrame:
+    """A snapshot's highest version is the last batch in it: that batch's newest rows always survive.
+    The folder of a later batch is all that is listed and read besides."""
+    snapshot, deltas = _snapshot(spark, store), spark.read.parquet(f"{store}/deltas")
+    if snapshot is not None:
+        last = snapshot.agg(F.max(version)).first()[0]
+        deltas = deltas.where(F.col("batch") > F.lit(-1 if last is None else last))
+    return upsert(snapshot, deltas.drop("batch"), version=version)
+
+
 def _snapshot(spark: SparkSession, store: str) -> DataFrame | None:
     path = latest_snapshot(spark, store)
     return spark.read.parquet(path) if path else None

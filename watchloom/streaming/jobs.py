@@ -11,13 +11,13 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from watchloom.operators.alerts import alerts_from_anomalies
 from watchloom.operators.features import facet_rows, features_from_counts
 from watchloom.operators.rules import Rule, emit
-from watchloom.schema import EVENT_SCHEMA, FEATURE_KEYS, FEATURE_SCHEMA
+from watchloom.schema import EVENT_SCHEMA, FEATURE_KEYS, FEATURE_SCHEMA, TIME_FORMAT
 from watchloom.session import held
-from watchloom.sources.lake import write_alert_batch
+from watchloom.sources.lake import write_alert_batch, write_heartbeats
 from watchloom.streaming.rule_state import ANOMALY_SCHEMA, RuleProcessor
 
 ARCHIVE_TRIGGER = "5 minutes"
-ARCHIVE_SHARDS = 2
+ARCHIVE_SHARDS = 2  # files of a source and day in one batch, the compatible setting
 
 
 def trigger(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
@@ -32,17 +32,17 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.json(path)
 
 
-def archive(events: DataFrame, path: str, checkpoint: str, every: str | None = ARCHIVE_TRIGGER, shards: int | None = ARCHIVE_SHARDS) -> StreamingQuery:
+def archive(events: DataFrame, path: str, checkpoint: str, every: str | None = ARCHIVE_TRIGGER, shards: int | None = None) -> StreamingQuery:
     """JSON text under ``source=…/date=…``.
 
-    ``shards`` files per source and day in each batch; None leaves the parallelism of
-    the stream alone, which is the setting for high volumes.
+    ``shards`` files per source and day in each batch (ARCHIVE_SHARDS for few, small files); None
+    leaves the parallelism of the stream alone. Times keep their microseconds.
     """
     rows = events.withColumn("date", F.to_date("ts"))
     if shards:
         spread = F.pmod(F.xxhash64(*[c for c in ("ts", "host", "message") if c in events.columns]), F.lit(shards))
         rows = rows.repartition("source", "date", spread)
-    writer = rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("source", "date")
+    writer = rows.writeStream.format("json").option("timestampFormat", TIME_FORMAT).option("path", path).option("checkpointLocation", checkpoint).partitionBy("source", "date")
     return trigger(writer.outputMode("append"), every).start()
 
 
@@ -80,6 +80,25 @@ def features_job(
     return trigger(writer.option("checkpointLocation", checkpoint), every).start()
 
 
+def flush_open(spark: SparkSession, path: str, checkpoint: str, seconds: int = 300) -> DataFrame:
+    """Features of the windows that a finished features job still holds open, also written to ``path``.
+
+    They are read from the job's state, so a finite stream loses nothing. On a stream that goes on they
+    are a preview: its next run writes the windows again when they close, so drop ``path``/open before.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    end = F.col("key.window.start") + F.expr(f"interval {seconds} seconds")
+    counts = state.select("key.source", "key.host", end.alias("window_end"), "key.facet", "key.text", "key.num", F.col("value.count").alias("c"))
+    with held(counts) as rows:
+        features_from_counts(rows, seconds).write.mode("overwrite").parquet(f"{path}/open")
+    return spark.read.schema(FEATURE_SCHEMA).parquet(f"{path}/open")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were left out, over the batches the query still reports."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+
+
 def feature_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(FEATURE_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
@@ -106,10 +125,12 @@ def anomalies_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def alerts_sink(store: str) -> Callable[[DataFrame, int], None]:
-    """Add alerts to the store, where the newest row of an id counts; a batch run twice counts once."""
+    """Add alerts to the store, where the newest row of an id counts, and the heartbeat of their sources; a batch run twice counts once."""
 
     def write(anomalies: DataFrame, batch: int) -> None:
-        write_alert_batch(alerts_from_anomalies(anomalies), store, batch)
+        with held(alerts_from_anomalies(anomalies)) as alerts:
+            write_alert_batch(alerts, store, batch)
+            write_heartbeats(alerts, store, batch)
 
     return write
 
@@ -133,9 +154,11 @@ def fan_out(stream: DataFrame, consumers: dict[str, Callable[[DataFrame, int], N
     }
 
 
-def drain(*queries: StreamingQuery, seconds: int = 600) -> None:
-    """Wait for queries that stop by themselves; stop and report one that does not."""
+def drain(*queries: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait for queries that stop by themselves; with ``seconds``, stop and report one that takes longer."""
     for q in queries:
-        if not q.awaitTermination(seconds):
+        if seconds is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(seconds):
             q.stop()
             raise TimeoutError(f"stream {q.id} did not finish in {seconds} s")

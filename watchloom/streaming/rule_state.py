@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from watchloom.operators.rules import DETECTOR, HISTORY, TINY, WARM_UP, Rule, ewma_step
+from watchloom.operators.rules import DETECTOR, HISTORY, TINY, WARM_UP, Rule, smoothed
 
 ANOMALY_SCHEMA = T.StructType(
     [
@@ -47,49 +47,53 @@ class RuleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
-        fired: list[tuple] = []
-        for metric in sorted({r.metric for r in self.rules}):
-            fired += self._metric(metric, batch)
-        out = pd.DataFrame(
-            [(batch[self.order][i], r.name, r.metric, v, key[0], key[1], r.severity, DETECTOR) for i, r, v in fired], columns=ANOMALY_SCHEMA.fieldNames()
-        )
-        yield out
-
-    def _metric(self, metric: str, batch: pd.DataFrame) -> list[tuple]:
-        rules = [r for r in self.rules if r.metric == metric]
-        history = [row[0] for row in self.past[metric].get()] if metric in self.past else None
-        smooth = {k[1]: (s.get() if s.exists() else None) for k, s in self.smooth.items() if k[0] == metric}
-        fired = []
-        for i, v in enumerate(batch[metric].to_numpy(dtype=float).tolist()):
-            if math.isnan(v):
-                continue
-            if history is not None:
-                history = [*history, v][-HISTORY:]
-            z_of = {}
-            for alpha, state in smooth.items():
-                mean, var, z_of[alpha] = ewma_step(tuple(state) if state is not None else None, v, alpha)
-                smooth[alpha] = (mean, var)
-            fired += [(i, r, v) for r in rules if self._fires(r, v, history, z_of)]
-        if history is not None:
-            self.past[metric].put([(float(x),) for x in history])
-        for alpha, state in smooth.items():
-            if state is not None:
-                self.smooth[(metric, alpha)].update(tuple(float(x) for x in state))
-        return fired
-
-    @staticmethod
-    def _fires(rule: Rule, value: float, history: list[float] | None, z_of: dict[float, float]) -> bool:
-        if rule.type == "threshold":
-            return value > rule.value if rule.op == ">" else value < rule.value
-        if rule.type == "zscore" and len(history) >= WARM_UP:
-            seen = np.asarray(history)
-            return bool(abs((value - seen.mean()) / (seen.std() or TINY)) > rule.threshold)
-        if rule.type == "rate_of_change" and len(history) >= 2:
-            prev = history[-2] or TINY
-            return abs(value - prev) / abs(prev) * 100 > rule.threshold_pct
-        if rule.type == "ewma":
-            return abs(z_of[rule.alpha]) > rule.deviation_sigma
-        return False
+        found = [hits for metric in sorted({r.metric for r in self.rules}) for hits in self._hits(metric, batch)]
+        parts = [
+            pd.DataFrame({"ts": hit[self.order], "rule": r.name, "metric": r.metric, "value": hit[r.metric].astype(float), "source": key[0], "host": key[1], "severity": r.severity, "detector": DETECTOR})
+            for r, hit in found
+            if len(hit)
+        ]
+        yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame([], columns=ANOMALY_SCHEMA.fieldNames())
+
+    def _hits(self, metric: str, batch: pd.DataFrame) -> Iterator[tuple[Rule, pd.DataFrame]]:
+        """Each rule of the metric with the rows on which it fires; moves the state past the batch."""
+        known = batch[batch[metric].notna()]
+        new = known[metric].to_numpy(dtype=float)
+        past = np.array([row[0] for row in self.past[metric].get()], dtype=float) if metric in self.past else np.zeros(0)
+        seen = np.concatenate([past, new])
+        z, smooth_z = np.zeros(0), {}
+        if metric in self.past and len(new):
+            self.past[metric].put([(float(x),) for x in seen[-HISTORY:]])
+            z = recent_z(seen, len(new))
+        for (name, alpha), state in self.smooth.items():
+            if name == metric and len(new):
+                mean, var, smooth_z[alpha] = smoothed(new, alpha, tuple(state.get()) if state.exists() else None)
+                state.update((float(mean[-1]), float(var[-1])))
+        measures = {
+            "threshold": lambda r: new - r.value if r.op == ">" else r.value - new,
+            "zscore": lambda r: np.abs(z) - r.threshold,
+            "rate_of_change": lambda r: changes(seen, len(new)) - r.threshold_pct,
+            "ewma": lambda r: np.abs(smooth_z[r.alpha]) - r.deviation_sigma,
+        }
+        for rule in self.rules:
+            if rule.metric == metric and rule.type in measures and len(new):
+                yield rule, known[np.nan_to_num(measures[rule.type](rule), nan=-1.0) > 0]
 
     def close(self) -> None:
         pass
+
+
+def recent_z(seen: np.ndarray, last: int) -> np.ndarray:
+    """z of each of the ``last`` values within the HISTORY values that end with it; NaN below WARM_UP values."""
+    windows = sliding_window_view(np.concatenate([np.full(HISTORY - 1, np.nan), seen]), HISTORY)[-last:]
+    count = (~np.isnan(windows)).sum(1)
+    spread = np.nanstd(windows, axis=1)
+    z = (seen[-last:] - np.nanmean(windows, axis=1)) / np.where(spread == 0, TINY, spread)
+    return np.where(count >= WARM_UP, z, np.nan)
+
+
+def changes(seen: np.ndarray, last: int) -> np.ndarray:
+    """Per cent by which each of the ``last`` values differs from the one before it; NaN for the very first."""
+    before = np.concatenate([[np.nan], seen[:-1]])[-last:]
+    before = np.where(before == 0, TINY, before)
+    return np.abs((seen[-last:] - before) / before) * 100
