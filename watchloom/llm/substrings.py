@@ -208,7 +208,8 @@ def answers(rows: DataFrame, questions: DataFrame, parts: int) -> DataFrame:
         pieces = [(int(part[a]), head[a:b].tobytes(), b"".join(bodies[i] for i in order[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*pieces, strict=True), BODIES, strict=True)], schema=BODIES)
 
-    return rows.select("part", "order", "crc", "body").groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(work, BODIES_SQL)
+    # all columns, as in ``reported``: the same exchange of the texts then serves both
+    return rows.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(work, BODIES_SQL)
 
 
 def repeats(bodies: DataFrame, parts: int, length: int) -> DataFrame:
