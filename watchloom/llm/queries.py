@@ -59,4 +59,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_vectors, op2_substring_dedup, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op7_secret_scan, op8_token_files, op9_warc, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
+# Base 32 of a SHA-1: five bits at a time from two hexadecimal digits.
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """with d as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+b as (select page_id, cast(payload_bytes as bigint) as payload_bytes, hex, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + cast(((cast('0x' || substr(hex, (5 * i) // 4 + 1, 2) as int) >> (3 - (5 * i) % 4)) & 31) as int), 1)), '') as payload_digest from d),
+l as (select hex, max(page_id) as last from d group by hex)
+select page_id, payload_bytes, payload_digest, case when page_id = last or last is null then 'response' else 'revisit' end as record_type,
+  case when page_id = last or last is null then null else last end as refers_to from b join l using (hex)""",
+}
