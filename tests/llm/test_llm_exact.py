@@ -133,6 +133,16 @@ def test_token_files_round_trip(spark, docs, vocabulary):
     assert tokens.token_table(df.limit(0), vocabulary).count() == 0
 
 
+def test_every_letter_has_the_ids_of_the_tokenizer(vocabulary):
+    encode = tokens.Encoder(vocabulary)
+    assert encode.by_word and encode.words.direct
+    ids = lambda text: np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, encode.kind).tobytes()
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    assert [c for c in letters if encode(f"a{c}b {c},") != ids(f"a{c}b {c},")] == []
+    for text in ("\u0995\u09b2\u09dc", "\u0915\u095c\u0932, \u0915\u095c.", "\ufb2a\ufb35\u05dd"):
+        assert encode(text) == ids(text)
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 3_000_000
     rows = [(1, "http://a", "one"), (2, None, "one"), (3, "http://b\r\nX: 1", None), (4, "http://c", ""), (5, "http://d", "é\r\n\r\nWARC/1.1\r\n"), (None, "http://e", "one"), (6, "http://f", big), (2, None, "one")]

@@ -48,7 +48,9 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     words in order. A word's last comma or full stop is a token of its own. Words of letters alone go
-    straight to the vocabulary's merges where a probe shows that this gives the same ids.
+    straight to the vocabulary's merges where a probe shows that this gives the same ids; they must be letters
+    alone in composed form too, as some letters (Bengali, Hindi, Punjabi, Hebrew) compose to a letter and a mark,
+    and a mark joins the comma after it.
     """
 
     letters = byte_letters()
@@ -62,14 +64,23 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def merged(self, word: str) -> bytes:
-        plain = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(plain)], dtype=self.kind).tobytes()
+        return self.of_plain(self.plain(word))
+
+    @staticmethod
+    def plain(word: str) -> str:
+        return word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+
+    def of_plain(self, plain: str) -> bytes:
+        # letters of ASCII are written as themselves
+        shown = plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(shown)], dtype=self.kind).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
             # lower case of these two depends on what follows, or is more than a letter
-            got = self.merged(word) if self.direct and "\u03a3" not in word and "\u0130" not in word else self.encoded(word)
-        elif word[-1] in ".," and word[:-1].isalpha():
+            direct = self.direct and "\u03a3" not in word and "\u0130" not in word and (plain := self.plain(word)).isalpha()
+            got = self.of_plain(plain) if direct else self.encoded(word)
+        elif word[-1] in ".," and word[:-1].isalpha() and (word.isascii() or self.plain(word[:-1]).isalpha()):
             got = self[word[:-1]] + self[word[-1]]
         else:
             got = self.encoded(word)
