@@ -210,6 +210,18 @@ def test_block_max_search_finds_what_scoring_all_finds():
                 assert item in got
 
 
+def test_short_items_are_found():
+    shorts = ["Capital of France? Paris.", "Photosynthesis", "Boiling helium", "Longest river? Nile.", "Who wrote Hamlet? William Shakespeare.", "Who first painted the Nightwatch? Rembrandt."]
+    items = list(enumerate([*shorts, "a long item about the weather of the northern islands in spring and autumn"]))
+    index = decontaminate.Index(items)
+    filler = " ".join(f"filler{i}" for i in range(200))
+    for at, text in enumerate(shorts):
+        got = decontaminate.leaks(index, [text, f"{filler} {text} {filler}", filler, None])
+        assert [list(g) for g in got] == [[at], [at], [], []]
+    apart = ["Helium is cold. Boiling is hot.", "The river is longest where the Nile is not", "Paris is in France", "William wrote"]
+    assert decontaminate.leaks(index, apart) == [{}] * len(apart)
+
+
 def toxic_docs(n=300):
     draw = np.random.default_rng(8)
     bad = ["grumfel", "snorkwit", "blathorn"]

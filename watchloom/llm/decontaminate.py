@@ -8,7 +8,8 @@ passage reaches a block only if the block maxima of its other terms and what the
 could reach the threshold (the pivot test of WAND, for all passages of a batch at once). Pieces of
 the blocks that pass are scored in full, so everything at or above the threshold is retrieved.
 A retrieved item is confirmed where the passage's surroundings hold enough of the word
-trigrams of its question and of its answer (its last sentence, or last third).
+trigrams of its question and of its answer (its last sentence, or last third). A question or answer of
+two words or one is looked for as such; an item of at most three words must stand there word for word.
 
 Passages are windows of 2 * PIECE words, PIECE apart: every piece lies whole in one of them.
 Items beyond ``max_words`` go to further indexes of that size, each a pass of its own.
@@ -60,11 +61,20 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:] or words
 
 
-def trigrams(words: list[str]) -> set[tuple[str, ...]]:
-    n = min(3, len(words))
+def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def trigrams(words: list[str]) -> set[tuple[str, ...]]:
+    return grams(words, min(3, len(words)))
+
+
+def checks_of(text: str) -> tuple[set[tuple[str, ...]], ...]:
+    """What confirms an item: n-grams of question and answer, n being 3 or as many words as there are; a very short item whole."""
+    words = words_of(text)
+    return (trigrams(words),) if len(words) <= 3 else tuple(trigrams(w) for w in question_and_answer(text))
+
+
 @dataclass
 class Index:
     """Inverted index of some items; its size is bounded by ``max_words`` of the caller."""
@@ -111,7 +121,7 @@ class Index:
         for b in range(0, len(self.pieces), BLOCK):
             own = self.pieces[b : b + BLOCK]
             self.in_block.append((np.concatenate([i for i, _ in own]), np.concatenate([w for _, w in own]), np.cumsum([0, *(len(i) for i, _ in own[:-1])])))
-        self.checks = [tuple(trigrams(w) for w in question_and_answer(text)) for _, text in self.items]
+        self.checks = [checks_of(text) for _, text in self.items]
         self.lengths = [len(words_of(text)) for _, text in self.items]
 
 
@@ -176,10 +186,8 @@ def _search(index: Index, held: list[tuple[int, list[str]]], found: list[dict[in
 
 def _confirmed(index: Index, item: int, words: list[str], start: int) -> bool:
     around = index.lengths[item]
-    near = trigrams(words[max(0, start - around) : start + 2 * PIECE + around])
-    if len(near) and len(next(iter(near))) < 3:  # a text of one or two words
-        near |= {(w,) for w in words}
-    return all(len(want & near) >= OVERLAP * len(want) for want in index.checks[item] if want)
+    near = words[max(0, start - around) : start + 2 * PIECE + around]
+    return all(len(want & grams(near, len(next(iter(want))))) >= OVERLAP * len(want) for want in index.checks[item] if want)
 
 
 def build_indexes(items: DataFrame, max_words: int = 2_000_000) -> list[Index]:
