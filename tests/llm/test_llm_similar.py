@@ -295,3 +295,17 @@ def test_secrets(spark):
     assert not re.search("Python|Arrow|Pandas", plans)
     kept = secrets.find(docs.withColumns({"source": F.lit("s"), "nth": F.lit("clash")}))
     assert set(kept.columns) == {"doc_id", "source", "nth", "finding", "before", "after"}
+
+
+def test_rare_secrets_are_kept(spark):
+    draw = np.random.default_rng(9)
+    text = lambda letters, n: "".join(draw.choice(list(letters), n))
+    base32, hexed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
+    rows = [(i, f"commit {text(hexed, 40)} of /srv/{text(hexed, 6)}/part-{text(hexed, 12)} and 20240102030405060708 here") for i in range(1000)]
+    rows += [(2000 + i, f"my key AKIA{text(base32, 15)}7 is live") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.scan(docs, sample=5).select("doc_id", "kept").collect()
+    assert {r.doc_id for r in got if r.kept} >= set(range(2000, 2006))
+    assert np.mean([r.kept for r in got if r.doc_id < 1000]) < 0.05
+    one = secrets.rule_labels(secrets.with_features(secrets.find(docs.where("doc_id < 1000")), secrets.common_words(docs)))
+    assert secrets.fit_filter(one, 5) == 0.0 and secrets.fit_filter(one.withColumn("label", F.lit(1.0)), 5) == 1.0 and secrets.fit_filter(one.limit(0), 5) == 1.0

@@ -7,7 +7,9 @@ paths, and the words beside them; it never sees the label rule's verdict.
 
 ``fit_filter`` takes findings with a ``label`` column. There is no table of labelled findings here, so
 ``rule_labels`` marks them: published key formats and assignments to a credential name are true, the rest false.
-At most ``sample`` findings (by hash) are fitted on; words of the dictionary are counted over all documents.
+Of each label at most ``sample`` different findings (by hash) are fitted on, equal ones once, and both labels weigh
+the same, so rare secrets and much copied text neither fill nor leave the sample. Words of the dictionary are
+counted over all documents.
 
 Defined cases: a null or empty text has no findings; without findings of both labels every finding gets
 the share of label 1 as its probability (1 without labels, so nothing is removed unseen); equal findings are
@@ -21,6 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from watchloom.llm.common import stored
 
@@ -109,13 +112,20 @@ def rule_labels(findings: DataFrame) -> DataFrame:
 
 
 def fit_filter(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7):
-    """A fitted forest, or the share of label 1 where only one label (or none) is there. ``labelled`` has _features and label."""
-    picked = labelled.where("label is not null").select("_features", "label", F.xxhash64("finding", "before", "after").alias("_h")).orderBy("_h").limit(sample)
-    picked = stored(picked, "labelled-findings")
-    n, true = picked.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not n or true in (0, n):
-        return 1.0 if not n else float(true / n)
-    return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(picked)
+    """A fitted forest, or the share of label 1 where all findings have one label (or none). ``labelled`` has _features and label (1 or 0)."""
+    named = labelled.where("label is not null").withColumn("_h", F.xxhash64("finding", "before", "after"))
+    folded = stored(named.select("label", "_h").distinct(), "different-findings")
+    totals = {r.label: r.n for r in folded.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(totals) < 2:
+        return 0.0 if 0.0 in totals else 1.0
+    least = F.row_number().over(Window.partitionBy("label").orderBy("_h"))
+    picked = folded.withColumn("_k", least).where(F.col("_k") <= sample).select("label", "_h")
+    rows = named.join(F.broadcast(picked), ["label", "_h"]).select("_features", "label", "_h").dropDuplicates(["label", "_h"])
+    # both labels weigh the same, whatever their shares and however many were left out
+    true, false = (min(sample, totals[x]) for x in (1.0, 0.0))
+    weight = F.when(F.col("label") == 1, F.lit((true + false) / 2 / true)).otherwise(F.lit((true + false) / 2 / false))
+    rows = stored(rows.withColumn("_weight", weight).repartition(1).sortWithinPartitions("_h", "label"), "labelled-findings")
+    return RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(rows)
 
 
 def with_probability(featured: DataFrame, model) -> DataFrame:
