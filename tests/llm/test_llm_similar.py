@@ -304,8 +304,31 @@ def test_rare_secrets_are_kept(spark):
     rows = [(i, f"commit {text(hexed, 40)} of /srv/{text(hexed, 6)}/part-{text(hexed, 12)} and 20240102030405060708 here") for i in range(1000)]
     rows += [(2000 + i, f"my key AKIA{text(base32, 15)}7 is live") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = secrets.scan(docs, sample=5).select("doc_id", "kept").collect()
+    got = secrets.scan(docs, sample=50).select("doc_id", "kept").collect()
     assert {r.doc_id for r in got if r.kept} >= set(range(2000, 2006))
     assert np.mean([r.kept for r in got if r.doc_id < 1000]) < 0.05
     one = secrets.rule_labels(secrets.with_features(secrets.find(docs.where("doc_id < 1000")), secrets.common_words(docs)))
     assert secrets.fit_filter(one, 5) == 0.0 and secrets.fit_filter(one.withColumn("label", F.lit(1.0)), 5) == 1.0 and secrets.fit_filter(one.limit(0), 5) == 1.0
+
+
+def test_short_and_letter_secrets_are_candidates(spark):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    cases = [
+        ("password=Sup3rS3cret!", ["Sup3rS3cret!"]),
+        ('"db_password": "hunter", x', ["hunter"]),
+        ("set api_key: abcdef.", ["abcdef"]),
+        ("MY_LONG_SERVICE_ACCESS_TOKEN=abcdefgh next", ["abcdefgh"]),
+        ("config['secret'] = 'tiger'", ["tiger"]),
+        ("Authorization: Bearer abcdefghijklmnopqrstuvwx", ["Bearer", "abcdefghijklmnopqrstuvwx"]),
+        (f"id {key} here", [key]),
+        ("use xoxb-1234567890 now", ["xoxb-1234567890"]),
+        ("?token=abcd1234&user=x", ["abcd1234"]),
+        ("our secret of success, a password reset and internationalisation", []),
+        ("password = ", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = secrets.find(docs).orderBy("doc_id", "nth").collect()
+    for i, (text, want) in enumerate(cases):
+        own = [r for r in got if r.doc_id == i]
+        assert [r.finding for r in own] == want
+        assert all(f"{r.before}{r.finding}{r.after}" in text for r in own)

@@ -1,7 +1,9 @@
 """Secret scan: token-like strings are found by one pattern and a random forest removes the false ones.
 
-Only DataFrame and SQL functions run on the data. Candidates are maximal runs of at least ``SHORTEST``
-letters, digits and ``_ + / -`` with a digit among them. The forest sees their length, shares and
+Only DataFrame and SQL functions run on the data. Candidates are values of at least ``SHORTEST_SET`` characters
+that are set to a credential name (``=``, ``:`` or ``>`` between them), up to a space, quote, bracket or separator, and
+maximal runs of at least ``SHORTEST`` letters, digits and ``_ + / -`` that hold a digit, have a published key
+format or follow a credential name; key formats that are shorter count too. The forest sees their length, shares and
 transitions of character classes, how much of them common words of the corpus cover, marks of
 paths, and the words beside them; it never sees the label rule's verdict.
 
@@ -29,6 +31,7 @@ from watchloom.llm.common import stored
 
 SHORTEST = 16
 RUN = rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{SHORTEST},}}"
+SHORTEST_SET = 4
 AROUND = 48
 COMMON = 20
 WORD = "[a-z]{4,}"
@@ -39,16 +42,22 @@ CREDENTIAL = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|auth|bearer|cred
 # Published shapes of access keys.
 KEY_SHAPES = r"^(AKIA|ASIA)[A-Z2-7]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$"
 
+# What stands between a credential name and its value. Names end in at most 12 more letters; the short first part is a quick test.
+SET = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|bearer|credential)\w{0,12}[\"'`\])\\]{0,3}\s{0,3}[:=>]{1,2}\s{0,3}\\?[\"'`]?"
+SET_BEFORE = rf"(?<=[:=>]\s{{0,3}}\\?[\"'`]?)(?<={SET})"
+VALUE = rf"(?![:=>])[^\s\"'`<>,;&(){{}}\[\]\\]{{{SHORTEST_SET},}}(?<![.:?])"
+CANDIDATE = rf"{SET_BEFORE}{VALUE}|{RUN}|(?<![A-Za-z0-9_+/-])xox[abprs]-[A-Za-z0-9-]{{10,}}"
+
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per candidate: the document's other columns, nth, finding, before and after."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "nth", "finding", "before", "after")]
-    cut = docs.withColumns({"_found": F.regexp_extract_all(F.col(f"`{text}`"), F.lit(RUN), F.lit(0)), "_parts": F.split(F.col(f"`{text}`"), RUN)})
-    each = F.transform(
-        F.col("_found"),
-        lambda x, i: F.struct(i.alias("nth"), x.alias("finding"), F.right(F.get("_parts", i), F.lit(AROUND)).alias("before"), F.left(F.get("_parts", i + 1), F.lit(AROUND)).alias("after")),
-    )
-    some = cut.where(F.size("_found") > 0).withColumn("_each", F.filter(each, lambda s: s["finding"].rlike("[0-9]")))
+    cut = docs.withColumns({"_found": F.regexp_extract_all(F.col(f"`{text}`"), F.lit(CANDIDATE), F.lit(0)), "_parts": F.split(F.col(f"`{text}`"), CANDIDATE)})
+    # a name may itself be part of the candidate before
+    before = lambda i: F.right(F.concat(F.coalesce(F.right(F.get("_found", i - 1), F.lit(AROUND)), F.lit("")), F.get("_parts", i)), F.lit(AROUND))
+    each = F.transform(F.col("_found"), lambda x, i: F.struct(i.alias("nth"), x.alias("finding"), before(i).alias("before"), F.left(F.get("_parts", i + 1), F.lit(AROUND)).alias("after")))
+    wanted = lambda s: s["finding"].rlike("[0-9]") | s["finding"].rlike(KEY_SHAPES) | s["before"].rlike(CREDENTIAL) | s["before"].rlike(f"{SET}$")
+    some = cut.where(F.size("_found") > 0).withColumn("_each", F.filter(each, wanted))
     return some.select(*others, F.explode("_each").alias("_f")).select(*others, "_f.nth", "_f.finding", "_f.before", "_f.after")
 
 
