@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,16 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+# what str.split() takes for white space besides those
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of characters that are not ASCII white space."""
+    return _WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split()
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Regroup batches that are sorted by ``key``: every table holds whole groups, many small ones together."""
     kept: list[pa.RecordBatch] = []
