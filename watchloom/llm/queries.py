@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import decontaminate, embeddings, mixing, nearjoin, periodic, resample, secrets, sharding, substrings, tokens, toxicity, warc
+from watchloom.llm import decontaminate, embeddings, mixing, mixlm, nearjoin, periodic, resample, secrets, sharding, substrings, tokens, toxicity, warc
 from watchloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,9 +66,13 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_near_vectors, op2_substring_dedup, op3_toxicity, op4_feistel_shards, op5_jaccard_join, op6_mix_sources, op7_secret_scan, op8_token_files, op9_warc, op10_decontaminate,
-    op11_periodic_runs, op12_resample,
+    op11_periodic_runs, op12_resample, op13_lm_scores,
 )}
 # Base 32 of a SHA-1: five bits at a time from two hexadecimal digits.
 ORACLE_SQL: dict[str, str] = {
