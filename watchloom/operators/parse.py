@@ -260,10 +260,18 @@ FORMATS: dict[str, Format] = {
 
 def _read(records: DataFrame, text: str, source: str, options: Options) -> DataFrame:
     f = FORMATS[source]
-    rows = records.withColumn("_raw", f.read(F.col(text)))
+    rows = _read_once(records, f.read(F.col(text)), "_raw")
     return rows.withColumn("_reason", f.reason(F.col("_raw"), F.col(text), options))
 
 
+def _read_once(records: DataFrame, read: Column, name: str) -> DataFrame:
+    """``records`` with the parsed record.
+
+    Fields and filters refer to it many times; behind a generator the optimiser does not copy the parsing into each of them.
+    """
+    return records.select("*", F.explode(F.array(read)).alias(name))
+
+
 def _parsed(records: DataFrame, text: str, source: str, options: Options) -> DataFrame:
     fields = FORMATS[source].fields(F.col("_raw"), F.col(text), options)
     return _read(records, text, source, options).where("_reason is null").select(*_others(records, text), *_event_columns(source, fields))
@@ -327,13 +335,12 @@ def dispatched(
 
     One pass whatever the number of sources. Sources without a parser and unknown ones are rejects too.
     """
-    formats, options, rows = FORMATS if formats is None else formats, _options(ingest, key), records
-    for name, f in formats.items():
-        rows = rows.withColumn(f"_raw_{name}", F.when(F.col(source) == name, f.read(F.col(text))))
+    formats, options = FORMATS if formats is None else formats, _options(ingest, key)
+    rows = _read_once(records, F.struct(*[F.when(F.col(source) == name, f.read(F.col(text))).alias(name) for name, f in formats.items()]), "_raw")
     none = F.when(valid_source(source), F.concat(F.lit("no parser: "), F.col(source))).otherwise(F.concat(F.lit("unknown source: "), F.coalesce(F.col(source), F.lit("null"))))
     reason, event = none, F.lit(None).cast(EVENT_SCHEMA)
     for name, f in formats.items():
-        raw = F.col(f"_raw_{name}")
+        raw = F.col("_raw")[name]
         reason = F.when(F.col(source) == name, f.reason(raw, F.col(text), options)).otherwise(reason)
         event = F.when(F.col(source) == name, F.struct(*_event_columns(name, f.fields(raw, F.col(text), options)))).otherwise(event)
     rows = rows.withColumn("reason", reason)

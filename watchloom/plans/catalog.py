@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from watchloom.functions.columns import stable_id
 from watchloom.functions.pii import pseudonym
@@ -36,14 +31,12 @@ from watchloom.operators.rules import (
 )
 from watchloom.plans import inputs
 from watchloom.plans.inputs import table
+from watchloom.plans.registry import CATALOG, at, query, rounded
 from watchloom.schema import ALERT_SCHEMA, FEATURE_KEYS, FEATURE_SCHEMA, TIME_FORMAT
 from watchloom.session import new_run_dir
 from watchloom.sources import envelope, lake
 from watchloom.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-CATALOG: dict[str, Query] = {}
-
 DAY, SIX_HOURS = 86400, 21600
 
 # The shipped rules with the limits the small tables can reach, plus an EWMA rule that can fire.
@@ -58,31 +51,6 @@ DEMO_RULES = (
 )
 
 
-def query(fn: Query) -> Query:
-    """Register a query; results carry zone-free timestamps read as UTC."""
-
-    @wraps(fn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        df = fn(spark, sf_dir)
-        return df.select(*[
-            F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ])
-
-    CATALOG[fn.__name__] = run
-    return run
-
-
-def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    """Drop the last digits of sums whose order of addition is not fixed."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-def at(text: str) -> Column:
-    return F.lit(text).cast("timestamp")
-
-
 # ---- features ---------------------------------------------------------------
 
 
@@ -870,3 +838,8 @@ def flagship(spark, sf):
     """Daily features, threshold and z-score rules, anomalies by time."""
     rules = [Rule("error_rate_spike", "rate_5xx", "threshold", "HIGH", value=0.05), Rule("latency_z_spike", "p99_latency", "zscore", "MEDIUM", threshold=2.5)]
     return evaluate_rules(feature_table(spark, sf), rules).orderBy("ts", "source", "host", "rule")
+
+
+from watchloom.plans import live, measures  # noqa: E402, F401  (their queries build on those above)
+
+__all__ = ["CATALOG"]
