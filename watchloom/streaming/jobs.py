@@ -64,8 +64,9 @@ def features_job(
     delay: str = "10 minutes",
     mode: str = "tumbling",
     every: str | None = "1 minute",
+    kept_counts: str | None = None,
 ) -> StreamingQuery:
-    """Write feature rows of every closed window.
+    """Write feature rows of every closed window, and to ``kept_counts`` what they were worked out from.
 
     A window closes in one micro-batch, which therefore holds all of its counts and
     is finished with the batch operator. A batch writes its own folder, so running
@@ -75,6 +76,8 @@ def features_job(
     def finish(counts: DataFrame, batch: int) -> None:
         with held(counts) as rows:  # the plan below reads them twice; state must be read once
             features_from_counts(rows, seconds).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            if kept_counts:
+                rows.write.mode("overwrite").parquet(f"{kept_counts}/batch={batch}")
 
     writer = streaming_counts(events, seconds, delay, mode).writeStream.outputMode("append").foreachBatch(finish)
     return trigger(writer.option("checkpointLocation", checkpoint), every).start()
