@@ -16,7 +16,7 @@ from watchloom.plans.catalog import CATALOG as QUERIES  # noqa: E402
 from watchloom.plans.oracle import ORACLE as SQL  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-ROWS_ONLY = {"distinct_ips_sketch", "forest_scores", "tfidf_outliers", "recon_error"}
+ROWS_ONLY = {"distinct_ips_sketch", "tfidf_outliers", "recon_error"}
 
 
 @pytest.fixture(scope="module")

@@ -55,7 +55,9 @@ def test_empty_and_constant_input(spark):
 def test_tree_walk_matches_a_plain_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
-    nodes = grow(x, np.random.default_rng(1), 8)
+    nodes = sorted(grow(x, 1, 0, 8))
+    number = {n[0]: i for i, n in enumerate(nodes)}
+    nodes = [(*n[:3], number.get(n[3], -1), number.get(n[4], -1), *n[5:]) for n in nodes]
     assert sum(n[6] for n in nodes if n[1] < 0) == 200 and len(nodes) <= 2 * 200 - 1
 
     def walk(row):

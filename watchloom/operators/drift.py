@@ -72,6 +72,66 @@ def ks_statistic(df: DataFrame, columns: Sequence[str], is_reference: Column) ->
     )
 
 
+PROFILE_BINS = 200
+
+
+def profile(df: DataFrame, columns: Sequence[str], bins: int = PROFILE_BINS) -> DataFrame:
+    """A reference period in one row a column, to be stored and compared with later periods.
+
+    (feature, n, mean, std, lo, hi, counts): moments, range, and how many values fall into each of ``bins`` equal
+    parts of the range. Nulls do not count; a column without values has a row with n = 0.
+    """
+    long = _stacked(df, columns, F.lit(True))
+    v = F.col("value")
+    spans = long.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    # one row per feature name given by the caller, so this side is of a known size
+    cells = long.join(F.broadcast(spans.select("feature", "lo", "hi")), "feature").groupBy("feature", _bin(bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    counts = cells.groupBy("feature").agg(_counted(bins).alias("counts"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    none = F.array_repeat(F.lit(0).cast("bigint"), bins)
+    return names.join(spans, "feature", "left").join(counts, "feature", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "counts": F.coalesce("counts", none)})
+
+
+def _bin(bins: int) -> Column:
+    """Which part of the reference range a value falls into; values outside fall into the outermost."""
+    width = nonzero((F.col("hi") - F.col("lo")) / F.lit(float(bins)))
+    return F.least(F.greatest(F.floor((F.col("value") - F.col("lo")) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def _counted(bins: int) -> Column:
+    """(bin, c) rows of a feature as an array of ``bins`` counts."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("bin", "c")))
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at(pairs, i), F.lit(0).cast("bigint")))
+
+
+def against_profile(df: DataFrame, reference: DataFrame, bins: int = PROFILE_BINS, sigmas: float = 3.0, smoothing: float = 1.0) -> DataFrame:
+    """A period against a stored profile: mean shift, KL divergence and Kolmogorov-Smirnov distance per column.
+
+    The reference period is not read again. KL is add-one smoothed; the distance is taken at the borders of
+    the parts, so it misses at most what one part holds. ``n_cur`` = 0 gives null distances.
+    """
+    columns = [r["feature"] for r in reference.select("feature").collect()]
+    long = _stacked(df, columns, F.lit(True))
+    cells = (
+        long.join(F.broadcast(reference.select("feature", "lo", "hi")), "feature")
+        .groupBy("feature", _bin(bins).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("value").alias("s"))
+    )
+    now = cells.groupBy("feature").agg(F.sum("c").alias("n_cur"), (F.sum("s") / F.sum("c")).alias("cur_mean"), _counted(bins).alias("now"))
+    both = reference.join(now, "feature", "left").withColumn("n_cur", F.coalesce("n_cur", F.lit(0)))
+    shift = F.abs(F.col("cur_mean") - F.col("mean")) / nonzero(F.col("std"))
+    mass = F.lit(smoothing * bins)
+    each = F.zip_with("now", "counts", lambda p, q: ((p + smoothing) / (F.col("n_cur") + mass)) * F.ln(((p + smoothing) / (F.col("n_cur") + mass)) / ((q + smoothing) / (F.col("n") + mass))))
+    kl = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    steps = F.zip_with("now", "counts", lambda p, q: p / F.col("n_cur") - q / F.col("n"))
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("most"))
+    ks = F.aggregate(steps, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.greatest(a["most"], F.abs(a["at"] + x)).alias("most")))["most"]
+    known = (F.col("n_cur") > 0) & (F.col("n") > 0)
+    return both.select(
+        "feature", F.col("n").alias("n_ref"), "n_cur", shift.alias("shift"), (shift >= sigmas).alias("drifted"), F.when(known, kl).alias("kl"), F.when(known, ks).alias("ks")
+    )
+
+
 def seasonal_z(points: DataFrame, series: Sequence[str], value: str = "value", how: str = "sum", threshold: float = 3.0) -> DataFrame:
     """Hourly totals against the mean and deviation of the other totals of the same hour of the week.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,15 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     return rows.groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"), F.count(F.lit(1)).alias("c"))
 
 
+def is_counts(df: DataFrame) -> bool:
+    return df.columns == ["s", "pos", "neg", "c"]
+
+
+def _counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``score_counts`` of rows; counts are taken as they are, so that stored ones serve several measures."""
+    return df if is_counts(df) else score_counts(df, label, score)
+
+
 def _with_cut(counts: DataFrame, q: float) -> DataFrame:
     """Add the quantile of all scores (a scalar subquery over the same counts; null without scores)."""
     return counts.withColumn("cut", interpolated_quantile(counts, [], "s", q, "cut", "c").scalar())
@@ -96,7 +107,7 @@ def _total(column: str, test: Column | None = None) -> Column:
 def f1_at_quantile(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score", q: float = 0.99) -> DataFrame:
     """f1, precision, recall, n with 'anomalous' meaning score > the quantile."""
     flagged = F.coalesce(F.col("s") > F.col("cut"), F.lit(False))
-    counts = _with_cut(score_counts(df, label, score), q).agg(
+    counts = _with_cut(_counts(df, label, score), q).agg(
         _total("pos", flagged).alias("tp"), _total("neg", flagged).alias("fp"), _total("pos", ~flagged).alias("fn"), _total("c").alias("n")
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -112,15 +123,15 @@ def f1_at_quantile(df: DataFrame, label: str = "is_anomaly", score: str = "anoma
 def precision_at_top(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score", q: float = 0.99) -> DataFrame:
     """precision_top1pct, n: share of true anomalies with score >= the quantile."""
     top = F.coalesce(F.col("s") >= F.col("cut"), F.lit(False))
-    counts = _with_cut(score_counts(df, label, score), q).agg(_total("pos", top).alias("hit"), _total("c", top).alias("top"), _total("c").alias("n"))
+    counts = _with_cut(_counts(df, label, score), q).agg(_total("pos", top).alias("hit"), _total("c", top).alias("top"), _total("c").alias("n"))
     return counts.select(share(F.col("hit"), F.col("top")).alias("precision_top1pct"), "n")
 
 
 def roc_auc(df: DataFrame, label: str = "is_anomaly", score: str = "recon_error") -> DataFrame:
     """auc, n: ties count half; a single class or a missing label column gives 0.0."""
-    if label not in df.columns:
+    if label not in df.columns and not is_counts(df):
         return df.limit(0).agg(F.lit(0.0).alias("auc"), F.count(F.lit(1)).alias("n"))
-    hist = score_counts(df, label, score)
+    hist = _counts(df, label, score)
     # doubles: the product of two class sizes does not fit a long on large sets
     wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
     totals = running_before(hist, [], "s", ["neg"]).agg(F.sum(wins).alias("u"), _total("pos").alias("p"), _total("neg").alias("q"))
@@ -171,6 +182,44 @@ def append_registry(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def commit_versions(rows: DataFrame, path: str) -> DataFrame:
+    """Add a version of each detector in ``rows`` (detector, …); returns them with the version each one got.
+
+    A version is claimed by creating a file that must not be there yet, which the file system grants to one writer
+    alone; the loser of a race claims the next number. Rows are written under the claimed version, so two
+    writers never share one, and a claim without rows (its writer died) is a number that is skipped. ``rows`` has a row a detector.
+    """
+    spark = rows.sparkSession
+    names = sorted(r["detector"] for r in rows.select("detector").collect())
+    versions = spark.createDataFrame([(n, claim_version(spark, path, n)) for n in names], "detector string, version long")
+    given = rows.drop("version").join(versions, "detector")
+    # a folder for each writer: two that commit into one folder would clear away each other's unfinished files
+    given.write.parquet(f"{path.rstrip('/')}/rows/write={uuid.uuid4().hex}")
+    return given
+
+
+def claim_version(spark: SparkSession, path: str, detector: str) -> int:
+    """The lowest number above all claimed ones that this writer gets."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path.rstrip('/')}/claims/{detector}")
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(folder)
+    number = max((int(s.getPath().getName()) for s in system.listStatus(folder)), default=0) + 1
+    while True:
+        try:
+            if system.createNewFile(hadoop.Path(folder, str(number))):
+                return number
+        except Py4JJavaError as error:
+            if not system.exists(hadoop.Path(folder, str(number))):
+                raise error
+        number += 1
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """All committed versions."""
+    return spark.read.parquet(f"{path.rstrip('/')}/rows").drop("write")
+
+
 def served_versions(registry: DataFrame) -> DataFrame:
     """The newest registered version of each detector."""
     return latest_by(registry, ["detector"], [F.desc("created"), F.desc("version")])

@@ -5,10 +5,15 @@ shuffles a small multiple of trees * psi rows whatever the table's size. Each tr
 is built from its bounded sample in one group; the node table has at most
 trees * (2 * psi - 1) rows, which is what the driver reads back and ships to the
 scoring tasks.
+
+No generator keeps state: every draw is a hash of the seed and of what it is for (a row's keys, a tree, a node), so that a
+retry, another partitioning or another engine draws the same. Nodes are numbered as in a heap (1; 2n and 2n + 1 below n).
+Scores are rounded to 12 digits, so that rows with equal paths have equal scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator, Sequence
@@ -18,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchloom.functions.ordered import interpolated_quantile
 from watchloom.schema import FEATURE_COLUMNS
@@ -58,49 +64,61 @@ class Forest:
         return cls(nodes=spark.read.parquet(f"{path}/nodes").toPandas(), **meta)
 
 
+DRAW_DIGITS = 13  # hexadecimal digits of a hash that make a draw: 52 bits, exact in a double
+
+
+def _draw(*parts: object) -> float:
+    """A number from 0 to 1 for the parts."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:DRAW_DIGITS], 16) / 16.0**DRAW_DIGITS
+
+
+def _key_text(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Row keys as text, times as microseconds, whatever the session's time zone."""
+    times = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    return F.concat_ws("|", *[F.coalesce((F.unix_micros(k) if k in times else F.col(k)).cast("string"), F.lit("")) for k in keys])
+
+
 def tree_samples(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int, trees: int, psi: int, seed: int) -> DataFrame:
     """(tree, columns…): psi rows for each tree, chosen by hashes of the row keys."""
-    ids = [F.col(k) for k in keys]
     want = SPARE * psi * trees
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
 
+    def digest(*salt) -> Column:
+        return F.md5(F.concat_ws("|", *[s if isinstance(s, Column) else F.lit(str(s)) for s in salt], F.col("_key")).cast("binary"))
+
     def unit(*salt) -> Column:
-        return F.pmod(F.xxhash64(*ids, *[F.lit(s) if not isinstance(s, Column) else s for s in salt]), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        return F.conv(F.substring(digest(*salt), 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(16.0**DRAW_DIGITS)
 
     # one rule at every size: a hash keeps a pool of about ``want`` rows (all, if there are fewer), and every tree draws from that
     share = min(1.0, want / max(n, 1))
-    pool = df.where(unit(seed) < share).select(*values, *keys, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = pool.where(unit(seed + 1, F.col("tree")) < min(1.0, SPARE * psi / max(n * share, 1)))
-    rows = rows.withColumn("draw", F.xxhash64(*ids, F.col("tree"), F.lit(seed + 2)))
+    pool = df.withColumn("_key", _key_text(df, keys)).where(unit(seed) < share).select(*values, *keys, "_key", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    tree = F.col("tree").cast("string")
+    rows = pool.where(unit(seed + 1, tree) < min(1.0, SPARE * psi / max(n * share, 1))).withColumn("draw", digest(seed + 2, tree))
     w = Window.partitionBy("tree").orderBy("draw", *keys)
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).select("tree", "rn", *columns)
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes of one isolation tree over a bounded sample."""
-    nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, None, 0)]
+def grow(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes of one isolation tree over a bounded sample: (node, feature, split, left, right, depth, size)."""
+    nodes: list[tuple] = []
+    todo = [(np.arange(len(x)), 0, 1)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        me = len(nodes)
-        nodes.append([me, -1, 0.0, -1, -1, depth, len(rows)])
-        if parent is not None:
-            nodes[parent][3 + side] = me
-        if depth >= limit or len(rows) <= 1:
-            continue
-        lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
+        rows, depth, me = todo.pop()
+        leaf = (me, -1, 0.0, -1, -1, depth, len(rows))
+        lo, hi = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(0), np.zeros(0))
         usable = np.flatnonzero(hi > lo)
-        if not len(usable):
+        if depth >= limit or len(rows) <= 1 or not len(usable):
+            nodes.append(leaf)
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(lo[f], hi[f]))
-        below = x[rows, f] < cut
-        if not below.any() or below.all():
+        f = int(usable[int(_draw(seed, tree, me, "f") * len(usable))])
+        cut = float(lo[f] + _draw(seed, tree, me, "c") * (hi[f] - lo[f]))
+        if not lo[f] < cut <= hi[f]:
+            nodes.append(leaf)
             continue
-        nodes[me][1], nodes[me][2] = f, cut
-        todo.append((rows[~below], depth + 1, me, 1))
-        todo.append((rows[below], depth + 1, me, 0))
-    return [tuple(n) for n in nodes]
+        below = x[rows, f] < cut
+        nodes.append((me, f, cut, 2 * me, 2 * me + 1, depth, len(rows)))
+        todo += [(rows[~below], depth + 1, 2 * me + 1), (rows[below], depth + 1, 2 * me)]
+    return nodes
 
 
 def fit_forest(
@@ -124,7 +142,7 @@ def fit_forest(
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
             pdf = pdf.sort_values("rn")
-            nodes = grow(pdf[columns].to_numpy(dtype=float), np.random.default_rng((seed, tree)), limit)
+            nodes = grow(pdf[columns].to_numpy(dtype=float), seed, tree, limit)
             out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "depth", "size"])
             out.insert(0, "tree", tree)
             return out
@@ -162,21 +180,19 @@ def score_forest(df: DataFrame, forest: Forest, flag: bool = True) -> DataFrame:
     such as 3.0 and 5.0 apply to it, not to the raw forest score.
     """
     tables = []
-    for _, g in forest.nodes.groupby("tree", sort=True):
-        size = g["size"].to_numpy()
+    for _, g in forest.nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
+        size, node = g["size"].to_numpy(), g["node"].to_numpy()
         length = g["depth"].to_numpy(dtype=float) + np.array([mean_path(int(s)) for s in size])
         tables.append({
-            "feature": g["feature"].to_numpy(), "split": g["split"].to_numpy(), "left": g["left"].to_numpy(), "right": g["right"].to_numpy(), "length": length,
+            "feature": g["feature"].to_numpy(), "split": g["split"].to_numpy(), "left": np.searchsorted(node, g["left"].to_numpy()), "right": np.searchsorted(node, g["right"].to_numpy()), "length": length,
         })
-    shipped = df.sparkSession.sparkContext.broadcast(tables)
     norm = mean_path(forest.psi) or 1.0
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trees = shipped.value
         for rows in batches:
             x = np.stack(rows.to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
-            yield pd.Series(np.power(2.0, -path_lengths(x, trees) / norm))
+            yield pd.Series(np.round(np.power(2.0, -path_lengths(x, tables) / norm), 12))
 
     packed = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.columns])
     out = df.withColumn("anomaly_score", score(packed))

@@ -17,7 +17,6 @@ from watchloom.operators.features import (
     feature_matrix,
     security_features,
 )
-from watchloom.operators.forest import fit_forest, score_forest
 from watchloom.operators.outliers import reconstruction_error, text_outliers
 from watchloom.operators.rules import (
     Rule,
@@ -563,7 +562,7 @@ def registry_append(spark, sf):
 
 @query
 def retrain_due(spark, sf):
-    runs = _registry(spark, sf).select("detector", F.col("created").alias("finished")).where(F.col("detector") != "iforest-logs")
+    runs = _registry(spark, sf).select("detector", F.col("created").alias("finished"))
     return evaluate.retrain_due(runs, evaluate.detector_table(spark), at("2024-01-28 01:00:00"))
 
 
@@ -776,12 +775,6 @@ def seasonal_z(spark, sf):
     return rounded(z, 4, "value", "expected", "spread", "z")
 
 
-@query
-def forest_scores(spark, sf):
-    f = feature_table(spark, sf)
-    return score_forest(f, fit_forest(f, FEATURE_KEYS)).select(*FEATURE_KEYS, "anomaly_score", "is_anomaly", "score_z")
-
-
 @query
 def tfidf_outliers(spark, sf):
     scored, _ = text_outliers(table(spark, sf, "documents"), ["doc_id"], "text")

@@ -11,7 +11,7 @@ from watchloom.plans.oracle import DAY, EVENTS, F_OUT, ORACLE, SIX, TUMBLE_SIX,
 from watchloom.plans.registry import query, rounded
 from watchloom.schema import FEATURE_SCHEMA
 from watchloom.session import ROCKSDB, new_run_dir
-from watchloom.streaming import bans, jobs, late
+from watchloom.streaming import bans, jobs, late, sustained
 
 PART = 5 * DAY  # events arrive in parts of so many seconds
 DELAYED, VERY_LATE = 40, 97  # of so many events one arrives a part later, or three
@@ -84,3 +84,17 @@ def stream_banned_events(spark, sf):
 
 
 ORACLE["stream_banned_events"] = ORACLE["edge_banned_events"]
+
+
+@query
+def stream_sustained(spark, sf):
+    """Runs of low windows found as the stream goes on; equal to ``ts_sustained``."""
+    out = new_run_dir(spark, "sustained")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    points = arrivals(spark, sf, very_late=False, clock=2 * PART)
+    runs = sustained.sustained_below(points, ["source"], 50.0, SIX, 3 * SIX, delay=f"{PART} seconds")
+    jobs.drain(jobs.trigger(runs.writeStream.format("parquet").option("path", f"{out}/runs").option("checkpointLocation", f"{out}/cp").outputMode("append"), None).start())
+    return rounded(spark.read.schema(runs.schema).parquet(f"{out}/runs"), 9, "highest")
+
+
+ORACLE["stream_sustained"] = ORACLE["ts_sustained"]

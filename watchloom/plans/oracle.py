@@ -297,7 +297,7 @@ from v left join l on l.detector = v.detector where value >= threshold / 2"""
 ORACLE["registry_latest"] = f"with {REGISTRY} select detector, arg_max(version, (created, version)) as version, max(created) as created from rg group by detector"
 ORACLE["retrain_due"] = f"""with {REGISTRY}, d as (select * from (values ('rcf-metrics', 'daily', timestamp '2024-01-27 02:00:00'), ('iforest-logs', 'daily', timestamp '2024-01-27 02:30:00'),
  ('lstm-ae-traces', 'weekly', timestamp '2024-01-27 20:30:00'), ('log-embedding-anomaly', 'weekly', timestamp '2024-01-27 21:00:00')) t(detector, cadence, last_fire)),
-l as (select detector, max(created) as last_run from rg where detector <> 'iforest-logs' group by 1)
+l as (select detector, max(created) as last_run from rg group by 1)
 select detector, cadence, last_run, last_fire, coalesce(last_run < last_fire, true) as due from d left join l using (detector)"""
 
 # ---- time series

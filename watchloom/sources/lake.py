@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,25 +14,34 @@ RETENTION_DAYS = 90
 CORRUPT = "_corrupt_record"
 
 
-def read_events(spark: SparkSession, path: str, strict: bool = True, partitioned: bool = False) -> DataFrame:
+def read_events(spark: SparkSession, path: str, strict: bool = True, partitioned: bool = False, named: bool = False) -> DataFrame:
     """NDJSON events from the ``.json`` / ``.jsonl`` files below ``path``.
 
     Blank lines are skipped. ``strict`` fails on a malformed line; otherwise such
     lines come back in ``_corrupt_record``. With ``partitioned`` the ``source=…`` and
-    ``date=…`` folders become columns that prune the scan.
+    ``date=…`` folders become columns that prune the scan. ``named`` adds ``file``, the path that a line came from.
     """
+    read = _events_reader(spark, path, strict, partitioned).json(path)
+    return read.select("*", F.col("_metadata.file_path").alias("file")) if named else read
+
+
+def _events_reader(spark: SparkSession, path: str, strict: bool, partitioned: bool) -> DataFrameReader:
     reader = spark.read.option("recursiveFileLookup", str(not partitioned).lower()).option("pathGlobFilter", "*.{json,jsonl}")
     schema = T.StructType(list(EVENT_SCHEMA.fields))
     if partitioned:
         reader = reader.option("basePath", path)
         schema = T.StructType([f for f in schema.fields if f.name != "source"])
     if strict:
-        return reader.option("mode", "FAILFAST").schema(schema).json(path)
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema.add(CORRUPT, "string")).json(path)
+        return reader.option("mode", "FAILFAST").schema(schema)
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema.add(CORRUPT, "string"))
 
 
 def split_corrupt(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return events.where(F.col(CORRUPT).isNull()).drop(CORRUPT), events.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """(events, rejects): a reject is the line as it came and, if the scan named them, its file."""
+    kept = [c for c in (CORRUPT, "file") if c in events.columns]
+    # Spark does not read broken lines alone, so a column of the events takes part in the test
+    broken = F.col(CORRUPT).isNotNull() & (F.coalesce(F.length("message"), F.lit(0)) >= 0)
+    return events.where(F.col(CORRUPT).isNull()).drop(CORRUPT), events.where(broken).select(*kept)
 
 
 def write_raw_events(events: DataFrame, path: str) -> None:
@@ -149,6 +158,31 @@ def expired_days(df: DataFrame, today: Column, date: str = "date", days: int = R
     return df.where(~kept(date, today, days)).groupBy(date).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def objects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, modified, bytes) of all files below ``path``, from a listing alone: contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def expired_objects(spark: SparkSession, path: str, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
+    """Files that were written more than ``days`` days before ``now``."""
+    return objects(spark, path).where(F.col("modified") < now - F.make_dt_interval(F.lit(days)))
+
+
+def delete_objects(files: DataFrame) -> int:
+    """Delete the listed files and return how many went; files that are gone already do not count.
+
+    The list goes through the driver piece by piece; each deletion is one call to the file system.
+    """
+    spark, gone = files.sparkSession, 0
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for row in files.select("file").toLocalIterator():
+        target = hadoop.Path(row["file"])
+        gone += bool(target.getFileSystem(conf).delete(target, False))
+    return gone
+
+
 def append_feedback(feedback: DataFrame, path: str) -> None:
     from watchloom.operators.alerts import valid_feedback
 
