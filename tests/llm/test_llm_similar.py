@@ -76,6 +76,13 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_labels_may_look_like_numbers(spark):
+    """A label that ends like a vector begins names no vector of another label or length."""
+    rows = [(1, [2.0], "a,1.0"), (2, [1.0, 2.0], "a"), (3, [2.0], "a,1.0"), (4, [1.0, 2.0], ",a"), (5, [2.0, 1.0], "")]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
 def test_hashing_finds_nearly_all_pairs_at_the_threshold():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(2000, 64))

@@ -87,7 +87,8 @@ def fold_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) ->
     plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # one zero
     usable = F.coalesce(good, F.lit(False))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(usable, plain).alias("vec"), F.when(usable, F.col(f"`{label}`").cast("string")).alias("label"))
-    text = F.concat_ws(",", F.col("label"), F.col("vec").cast("array<string>"))
+    # numbers hold no comma and their count comes first, so a label may hold anything
+    text = F.concat_ws(",", F.size("vec").cast("string"), F.col("vec").cast("array<string>"), F.col("label"))
     return rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.unhex(F.md5(text))))
 
 
