@@ -33,6 +33,7 @@ SHORTEST = 16
 RUN = rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{SHORTEST},}}"
 SHORTEST_SET = 4
 AROUND = 48
+MARK = "\ue000"  # a character for private use
 COMMON = 20
 WORD = "[a-z]{4,}"
 SAMPLE = 20_000
@@ -52,7 +53,13 @@ CANDIDATE = rf"{SET_BEFORE}{VALUE}|{RUN}|(?<![A-Za-z0-9_+/-])xox[abprs]-[A-Za-z0
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per candidate: the document's other columns, nth, finding, before and after."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "nth", "finding", "before", "after")]
-    cut = docs.withColumns({"_found": F.regexp_extract_all(F.col(f"`{text}`"), F.lit(CANDIDATE), F.lit(0)), "_parts": F.split(F.col(f"`{text}`"), CANDIDATE)})
+    whole = F.col(f"`{text}`")
+    # one pass sets a mark around every candidate; a text that holds the mark itself takes two
+    pieces = F.split(F.regexp_replace(whole, f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK)
+    plain = ~F.contains(whole, F.lit(MARK))
+    found = F.when(plain, F.filter(pieces, lambda _, i: i % 2 == 1)).otherwise(F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0)))
+    between = F.when(plain, F.filter(pieces, lambda _, i: i % 2 == 0)).otherwise(F.split(whole, CANDIDATE))
+    cut = docs.select("*", F.explode(F.array(F.struct(found.alias("found"), between.alias("parts")))).alias("_cut")).select("*", F.col("_cut.found").alias("_found"), F.col("_cut.parts").alias("_parts"))
     # a name may itself be part of the candidate before
     before = lambda i: F.right(F.concat(F.coalesce(F.right(F.get("_found", i - 1), F.lit(AROUND)), F.lit("")), F.get("_parts", i)), F.lit(AROUND))
     each = F.transform(F.col("_found"), lambda x, i: F.struct(i.alias("nth"), x.alias("finding"), before(i).alias("before"), F.left(F.get("_parts", i + 1), F.lit(AROUND)).alias("after")))
@@ -146,7 +153,8 @@ def with_probability(featured: DataFrame, model) -> DataFrame:
 
 def scan(docs: DataFrame, text: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Every candidate with its probability and whether it is kept as a secret."""
-    findings = find(docs, text)
+    # the texts are searched once; features and coverage read what was found
+    findings = stored(find(docs, text), "candidates")
     featured = stored(with_features(findings, common_words(docs, text)), "findings")
     model = fit_filter(rule_labels(featured), sample)
     return with_probability(featured, model).withColumn("kept", F.col("probability") >= least)
