@@ -30,7 +30,8 @@ from watchloom.llm.common import spread, stored
 from watchloom.session import new_run_dir
 
 END_ID = 1
-MEMO_WORDS = 1_000_000
+MEMO_BYTES = 32_000_000  # of words and ids that a worker keeps, with ENTRY_BYTES for each
+ENTRY_BYTES = 200
 DOC = [("doc_id", "<i8"), ("known", "u1")]
 FILE_SCHEMA = "file string, part int, n_docs long, n_ids long, width int"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -44,7 +45,7 @@ def byte_letters() -> str:
 
 
 class WordIds(dict):
-    """Ids of a white-space separated word as bytes, encoded once and kept while there is room.
+    """Ids of a white-space separated word as bytes, encoded once and kept up to a bound of bytes; beyond it all are dropped.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     words in order. A word's last comma or full stop is a token of its own. Words of letters alone go
@@ -57,6 +58,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, kind: str):
         super().__init__()
+        self.kept = 0
         self.tokenizer, self.kind, self.model = tokenizer, kind, tokenizer.model
         self.direct = all(self.merged(w) == self.encoded(w) for w in ("the", "Straße", "ÉTÉ", "ñandú", "слово", "words", "Ǆ", "中文", "internationalisation"))
 
@@ -84,7 +86,11 @@ class WordIds(dict):
             got = self[word[:-1]] + self[word[-1]]
         else:
             got = self.encoded(word)
-        if len(self) < MEMO_WORDS and len(word) < 64:
+        if len(word) < 64:
+            self.kept += ENTRY_BYTES + len(word) + len(got)
+            if self.kept > MEMO_BYTES:  # frequent words come back at once
+                self.clear()
+                self.kept = ENTRY_BYTES
             self[word] = got
         return got
 
