@@ -93,17 +93,17 @@ def failed_login_streak(attempts: DataFrame, key: str = "user_id", ok: str = "su
 
 
 def trace_timeline(spans: DataFrame, logs: DataFrame, by: str = "trace_id") -> DataFrame:
-    """Per trace: span count, first, last and duration, with its log and error counts.
+    """Per trace: span count, first, last and duration, with its log and error counts; a trace that only has logs has no times.
 
     Each side is folded to one row per trace before they meet, so a trace with very
     many rows is combined on the map side and no pairs are formed.
     """
     s = spans.groupBy(by).agg(F.count(F.lit(1)).alias("spans"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     lg = logs.groupBy(by).agg(F.count(F.lit(1)).alias("logs"), F.count_if(F.col("severity") == "ERROR").alias("errors"))
-    out = s.join(lg, by, "left")
+    out = s.join(lg, by, "full")
     zero = F.lit(0).cast("bigint")
     return out.select(
-        by, "spans", "first_ts", "last_ts", seconds_between("first_ts", "last_ts").alias("duration_sec"),
+        by, F.coalesce("spans", zero).alias("spans"), "first_ts", "last_ts", seconds_between("first_ts", "last_ts").alias("duration_sec"),
         F.coalesce("logs", zero).alias("logs"), F.coalesce("errors", zero).alias("errors"),
     )
 

@@ -344,28 +344,31 @@ g as (select *, sum(case when success then 1 else 0 end) over (partition by user
 select event_id, user_id, ts, success, cast(sum(case when success then 0 else 1 end) over (partition by user_id, grp order by ts, event_id rows unbounded preceding) as bigint) as failed_streak from g"""
 ORACLE["price_mismatch"] = """select l_orderkey as order_id, l_linenumber as line, l_partkey as product_id, l_extendedprice / l_quantity as unit_price, p_retailprice as price
 from lineitem join part on p_partkey = l_partkey where l_extendedprice / l_quantity <> p_retailprice"""
-ORACLE["trace_timeline"] = """select event_id // 10 as trace_id, count(*) as spans, min(ts) as first_ts, max(ts) as last_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as duration_sec,
-count(*) filter (event_type in ('error', 'signup')) as logs, count(*) filter (event_type = 'error') as errors from events group by 1"""
+SPAN = "filter (event_id // 10 % 7 <> 0)"
+ORACLE["trace_timeline"] = f"""select * from (select event_id // 10 as trace_id, count(*) {SPAN} as spans, min(ts) {SPAN} as first_ts, max(ts) {SPAN} as last_ts,
+(epoch_us(max(ts) {SPAN}) - epoch_us(min(ts) {SPAN})) / 1e6 as duration_sec,
+count(*) filter (event_type in ('error', 'signup')) as logs, count(*) filter (event_type = 'error') as errors from events group by 1) where spans > 0 or logs > 0"""
 ORACLE["logs_with_trace"] = """with t as (select event_id // 10 as trace_id, min(ts) as trace_start from events group by 1)
 select event_id, e.trace_id, ts, trace_start, (epoch_us(ts) - epoch_us(trace_start)) / 1e6 as offset_sec
 from (select *, event_id // 10 as trace_id from events where event_type = 'error') e join t using (trace_id)"""
 
 # ---- edge policy
 
-Q = """case event_id % 25 when 0 then ''' OR 1=1--' when 1 then '1; DROP TABLE users--' when 2 then '%27%20UNION%20SELECT' when 3 then '<script>alert(1)</script>'
- when 4 then '%3Cscript%3Ealert(1)%3C/script%3E' else event_type end"""
+Q = """case event_id % 25 when 0 then 'x'' or 7=7' when 1 then '9;delete from carts' when 2 then 'id%20union%20all%20select%201' when 3 then '<script src=//x>'
+ when 4 then '%3Cimg%20onerror%3Dgo()%3E' when 5 then '100%zz union select' when 6 then 'union of selectors' else event_type end"""
+SQLI, XSS = "event_id % 25 in (0, 1, 2, 5)", "event_id % 25 in (3, 4)"
 EDGE = f"""rq as (select event_id, ts, {IP} as src_ip, '/api/products?q=' || {Q} as path from events),
 ex as (select src_ip, {floor_ts(DAY)} as w, count(*) as requests from rq group by all having count(*) > 5),
 bn as (select src_ip, requests, w + interval 1 day as ban_from, w + interval 3 day as ban_until from ex),
 bd as (select distinct event_id, rq.src_ip, ts from rq join bn on rq.src_ip = bn.src_ip and ts >= ban_from and ts < ban_until)"""
 ORACLE["edge_rate_ban"] = f"with {EDGE} select * from bn"
 ORACLE["edge_banned_events"] = f"with {EDGE} select * from bd"
-ORACLE["edge_sqli"] = f"with {EDGE} select event_id, path, event_id % 25 in (0, 1, 2) as sqli from rq"
-ORACLE["edge_xss"] = f"with {EDGE} select event_id, path, event_id % 25 in (3, 4) as xss from rq"
+ORACLE["edge_sqli"] = f"with {EDGE} select event_id, path, {SQLI} as sqli from rq"
+ORACLE["edge_xss"] = f"with {EDGE} select event_id, path, {XSS} as xss from rq"
 ORACLE["edge_first_match"] = f"""with {EDGE}, m as (select rq.event_id, bd.event_id is not null as b from rq left join bd using (event_id))
-select event_id, case when b then 500 when event_id % 25 <= 2 then 600 when event_id % 25 <= 4 then 601 else 1000 end as priority,
-case when b then 'rate_based_ban' when event_id % 25 <= 2 then 'sqli' when event_id % 25 <= 4 then 'xss' else 'allow_all' end as rule,
-case when b then 'deny(429)' when event_id % 25 <= 4 then 'deny(403)' else 'allow' end as action from m"""
+select event_id, case when b then 500 when {SQLI} then 600 when {XSS} then 601 else 1000 end as priority,
+case when b then 'rate_based_ban' when {SQLI} then 'sqli' when {XSS} then 'xss' else 'allow_all' end as rule,
+case when b then 'deny(429)' when {SQLI} or {XSS} then 'deny(403)' else 'allow' end as action from m"""
 
 # ---- drift
 
