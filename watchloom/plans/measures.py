@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from watchloom.functions.columns import epoch
-from watchloom.operators import counters, drift, evaluate, sketches
+from watchloom.operators import alerts, counters, drift, evaluate, sketches
 from watchloom.operators import timeseries as ts_ops
 from watchloom.operators.forest import fit_forest, score_forest
+from watchloom.operators.rules import Rule, evaluate_rules
 from watchloom.plans import catalog as base
 from watchloom.plans import inputs
 from watchloom.plans.oracle import EVENTS, ORACLE, SIX_F, floor_ts
@@ -351,3 +352,38 @@ def _islands(value: str, limit: float, windows: int) -> str:
 ORACLE["ts_any_condition"] = f"""with {EVENTS}, c as (select source, 0 as i from ({_islands("value", 50.0, 3)}) union all
 select source, 1 from ({_islands("case when event_type = 'error' then 1.0 else 0 end", 0.1, 2)}))
 select source, string_agg(cast(i as varchar), ',' order by i) as conditions from c group by source"""
+
+# ---- alerts explained ----------------------------------------------------------
+
+TOP, SIMILAR = 3, 4
+
+
+@query
+def alert_explained(spark, sf):
+    """Every alert of a rule as one answer: its explanation document, read back, and the newest alerts of its source."""
+    f = base.feature_table(spark, sf)
+    hits = evaluate_rules(f, [Rule("error_rate_spike", "rate_5xx", "threshold", "HIGH", value=0.05)])
+    documents = alerts.explanation_json(alerts.explain_top_features(f, alerts.baselines(f), TOP), list(FEATURE_KEYS))
+    found = hits.join(documents.withColumnRenamed("window_end", "ts"), ["source", "host", "ts"])
+    found = lake.materialised(found.withColumn("id", F.concat_ws("/", "source", "host", F.unix_seconds("ts"))), new_run_dir(spark, "explained"))
+    like = alerts.similar_alerts(found, SIMILAR).groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("recency", "id"))), lambda x: x["id"]), " ").alias("similar"))
+    read = F.from_json("explanation", "top_features array<struct<name string, observed double, baseline double>>, baseline map<string,double>")
+    return (
+        found.join(like, "source")
+        .withColumn("_e", read)
+        .select(
+            "id", "source", "host", "ts", F.array_join("_e.top_features.name", " ").alias("names"), F.round(F.get("_e.top_features.observed", F.lit(0)), 6).alias("observed"),
+            F.round(F.get("_e.top_features.baseline", F.lit(0)), 6).alias("baseline"), F.size("_e.baseline").alias("baselines"), "similar",
+        )
+    )
+
+
+_NINE = "request_rate rate_4xx rate_5xx auth_failure_rate distinct_ips distinct_paths p99_latency bytes_p99 entropy_path".split()
+ORACLE["alert_explained"] = f"""with {SIX_F}, u as ({" union all ".join(f"select source, host, window_end, '{c}' as name, cast({c} as double) as observed from f" for c in _NINE)}),
+b as (select source, name, avg(observed) as baseline, stddev_pop(observed) as sd from u group by all),
+d as (select u.*, baseline, case when sd > 0 then abs(observed - baseline) / sd else 0e0 end as deviation from u join b using (source, name)),
+r as (select *, row_number() over (partition by source, host, window_end order by round(0 - deviation, 6), name) as rank from d),
+x as (select source, host, window_end, string_agg(name, ' ' order by rank) as names, max(observed) filter (rank = 1) as observed, max(baseline) filter (rank = 1) as baseline from r where rank <= {TOP} group by all),
+al as (select source || '/' || host || '/' || epoch_us(window_end) // 1000000 as id, source, host, window_end as ts, names, observed, baseline from f join x using (source, host, window_end) where rate_5xx > 0.05),
+s as (select source, string_agg(id, ' ' order by n) as "similar" from (select source, id, row_number() over (partition by source order by ts desc, id) as n from al) where n <= {SIMILAR} group by source)
+select id, source, host, ts, names, round(observed, 6) as observed, round(baseline, 6) as baseline, {TOP} as baselines, "similar" from al join s using (source)"""
