@@ -367,7 +367,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2500, units:
                 )
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    got = joined.mapInArrow(cut, "toxic int, doc_id long, units array<binary>").toArrow().sort_by("doc_id")
+    # of rows with one doc_id the least units teach, so the driver gets at most 2 * sample rows
+    units_of = joined.mapInArrow(cut, "toxic int, doc_id long, units array<binary>").groupBy("doc_id", "toxic").agg(F.min("units").alias("units"))
+    got = units_of.toArrow().sort_by("doc_id")
     marks = got["toxic"].to_pylist()
     return fit_bags([[bytes(u) for u in x] for x in got["units"].to_pylist()], marks), float(np.mean(marks)) if marks else 0.0
 
@@ -389,6 +391,13 @@ def with_toxicity(df: DataFrame, model: Toxicity | None, base: float = 0.0, text
     return kept.mapInArrow(score, schema)
 
 
+def without_toxic(docs: DataFrame, model: Toxicity | None, base: float = 0.0, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score below ``least``, with their own columns whatever these are called."""
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    scored = with_toxicity(docs.toDF(*own), model, base, own[docs.columns.index(text)])
+    return scored.where(F.col("toxicity") < least).select(*own).toDF(*docs.columns)
+
+
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, base = fit_toxicity(docs, labels)
     scored = with_toxicity(docs.select("doc_id", "text"), model, base)
