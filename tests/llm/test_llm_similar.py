@@ -197,7 +197,10 @@ def test_leaks(spark):
     assert decontaminate.leak_table(df, items.limit(0)).where("leaked").count() == 0 and decontaminate.leak_table(df.limit(0), items).count() == 0
 
 
-def test_block_max_search_finds_what_scoring_all_finds():
+@pytest.mark.parametrize(("dense", "cells"), [(8, 4_000_000), (0, 4_000_000), (0, 1), (8, 1)])
+def test_block_max_search_finds_what_scoring_all_finds(monkeypatch, dense, cells):
+    monkeypatch.setattr(decontaminate, "DENSE", dense)
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
     draw = np.random.default_rng(5)
     vocabulary = [f"t{i}" for i in range(300)]
     items = [(i, " ".join(vocabulary[int(x)] for x in (draw.pareto(1.0, int(draw.integers(8, 60))) * 10) % 300)) for i in range(60)]
@@ -229,6 +232,36 @@ def test_short_items_are_found():
     assert decontaminate.leaks(index, apart) == [{}] * len(apart)
 
 
+def test_short_items_leak_only_as_the_whole_text(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "New York"), (3, "Capital of France? Paris.")], "item_id long, text string")
+    texts = ["yes, that is so", " YES! ", "from New York by train", "New York", "he asked: capital of France? Paris.", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "leaked long, text string")
+    got = decontaminate.leak_table(df.withColumnRenamed("leaked", "doc_id"), items).orderBy("doc_id").collect()
+    assert [(list(r.item_ids), r.leaked) for r in got] == [([1], False), ([1], True), ([2], False), ([2], True), ([3], True), ([], False)]
+    for k in (20, 2):
+        clean = decontaminate.without_leaks(df, decontaminate.build_indexes(items, max_words=k))
+        assert clean.columns == df.columns and sorted(clean.collect()) == sorted((i, t) for i, t in enumerate(texts) if i in (0, 2, 5))
+
+
+def test_items_in_scripts_without_spaces_are_found():
+    items = [(1, "水星是离太阳最近的行星吗？是的，它的公转周期约为八十八天。"), (2, "ภูเขาไฟฟูจิสูงเท่าไร? สามพันเจ็ดร้อยเมตร")]
+    index = decontaminate.Index(items)
+    around = "今天的天气很好，我们去公园散步，看到许多花和小鸟"
+    texts = [around + items[0][1] + around, f"x{items[1][1]}y", around * 5, "水星和太阳都在天上"]
+    assert [sorted(g) for g in decontaminate.leaks(index, texts)] == [[0], [1], [], []]
+
+
+def test_toxicity_of_repeated_ids_and_clashing_columns(spark):
+    rows, marks = toxic_docs()
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    once, base = toxicity.fit_toxicity(docs, labels)
+    copies, again = toxicity.fit_toxicity(docs.unionAll(docs).unionAll(docs), labels)
+    assert base == again and np.array_equal(once.weights, copies.weights) and once.bias == copies.bias
+    odd = docs.withColumn("toxicity", F.lit("mine")).withColumn("_0", F.lit(7))
+    kept = toxicity.without_toxic(odd, once, base)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count() and kept.where("toxicity = 'mine' and _0 = 7").count() == kept.count()
+
+
 def toxic_docs(n=300):
     draw = np.random.default_rng(8)
     bad = ["grumfel", "snorkwit", "blathorn"]

@@ -9,7 +9,9 @@ could reach the threshold (the pivot test of WAND, for all passages of a batch a
 the blocks that pass are scored in full, so everything at or above the threshold is retrieved.
 A retrieved item is confirmed where the passage's surroundings hold enough of the word
 trigrams of its question and of its answer (its last sentence, or last third). A question or answer of
-two words or one is looked for as such; an item of at most three words must stand there word for word.
+two words or one is looked for as such; an item of at most three words must stand there word for word. Such a short
+item ("yes", a name) is reported wherever it stands, but the text counts as leaked only if it says nothing else.
+Scripts that put no spaces between words (Chinese, Japanese, Thai and others) count each letter as a word.
 
 Passages are windows of 2 * PIECE words, PIECE apart: every piece lies whole in one of them.
 Items beyond ``max_words`` go to further indexes of that size, each a pass of its own.
@@ -36,24 +38,30 @@ PIECE, BLOCK = 64, 8
 K1, B = 1.2, 0.75
 THRESHOLD, SPARE, OVERLAP = 0.5, 0.2, 0.5
 CELLS = 4_000_000
+DENSE = 8
 BATCH_WORDS = 200_000
-WORD = re.compile(r"\w+")
+SHORT = 3
+# Blocks of Thai and Lao, Myanmar, Khmer, kana, and Chinese characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ASCII_WORD = re.compile(r"\w+")
+WORD = re.compile(rf"(?=\w)[{UNSPACED}]|[^\W{UNSPACED}]+")
 OUTPUTS = T.StructType(
     [
         T.StructField("n_items", T.LongType()),
         T.StructField("item_ids", T.ArrayType(T.LongType())),
         T.StructField("best_score", T.DoubleType()),
+        T.StructField("leaked", T.BooleanType()),
     ]
 )
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower()) if text else []
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The words before the last sentence and those of it; of one sentence, the first two thirds and the rest."""
-    parts = [w for w in (words_of(x) for x in re.split(r"[.?!\n]+", text)) if w]
+    parts = [w for w in (words_of(x) for x in re.split(r"[.?!\n\u3002\uff01\uff1f]+", text)) if w]
     words = [w for p in parts for w in p]
     if len(parts) > 1 and len(parts[-1]) >= 3 and len(words) - len(parts[-1]) >= 3:
         return words[: -len(parts[-1])], parts[-1]
@@ -72,7 +80,7 @@ def trigrams(words: list[str]) -> set[tuple[str, ...]]:
 def checks_of(text: str) -> tuple[set[tuple[str, ...]], ...]:
     """What confirms an item: n-grams of question and answer, n being 3 or as many words as there are; a very short item whole."""
     words = words_of(text)
-    return (trigrams(words),) if len(words) <= 3 else tuple(trigrams(w) for w in question_and_answer(text))
+    return (trigrams(words),) if len(words) <= SHORT else tuple(trigrams(w) for w in question_and_answer(text))
 
 
 @dataclass
@@ -158,30 +166,45 @@ def _search(index: Index, held: list[tuple[int, list[str]]], found: list[dict[in
     same = (earlier >= 0) & (doc_of[np.maximum(earlier, 0)] == doc_of[half])
     keys = np.unique(np.concatenate([half, earlier[same]]) * len(index.terms) + np.concatenate([term, term[same]]))
     window, term = keys // len(index.terms), keys % len(index.terms)
-    step = max(1, CELLS // index.n_blocks)
-    for low in range(0, at, step):
-        a, b = np.searchsorted(window, [low, low + step])
-        w, t = window[a:b] - low, term[a:b]
-        counts = index.start[t + 1] - index.start[t]
-        if not counts.sum():
-            continue
-        ends = np.cumsum(counts)
-        places = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(index.start[t], counts)
-        reach = np.bincount(np.repeat(w, counts) * index.n_blocks + index.block[places], index.top[places], minlength=min(step, at - low) * index.n_blocks)
-        cells = np.flatnonzero(reach + np.tile(index.aside, len(reach) // index.n_blocks) >= THRESHOLD - 1e-9)
-        cells = cells[reach[cells] > 0]
-        present = np.zeros(len(index.terms), bool)
-        for win, block in zip((cells // index.n_blocks).tolist(), (cells % index.n_blocks).tolist(), strict=True):
-            own = t[slice(*np.searchsorted(w, [win, win + 1]))]
+    counts = index.start[term + 1] - index.start[term]
+    edges = np.searchsorted(window, np.arange(at + 1))
+    upto = np.r_[0, np.cumsum(counts)][edges]
+    present = np.zeros(len(index.terms), bool)
+    low = 0
+    while low < at:
+        # as many windows as have CELLS postings, at least one
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + CELLS, side="right")) - 1)
+        for win, block in _reached(index, window, term, counts, slice(edges[low], edges[high]), low, high):
+            own = term[edges[win] : edges[win + 1]]
             present[own] = True
             ids, weights, starts = index.in_block[block]
             scores = np.add.reduceat(np.where(present[ids], weights, 0.0), starts)
             present[own] = False
             for p in np.flatnonzero(scores >= THRESHOLD - 1e-9).tolist():
-                doc, item, score = int(doc_of[low + win]), int(index.owner[block * BLOCK + p]), float(scores[p])
+                doc, item, score = int(doc_of[win]), int(index.owner[block * BLOCK + p]), float(scores[p])
                 mine = found[held[doc][0]]
-                if score > mine.get(item, 0.0) and _confirmed(index, item, held[doc][1], (low + win - firsts[doc]) * PIECE):
+                if score > mine.get(item, 0.0) and _confirmed(index, item, held[doc][1], (win - firsts[doc]) * PIECE):
                     mine[item] = score
+        low = high
+
+
+def _reached(index: Index, window: np.ndarray, term: np.ndarray, counts: np.ndarray, keys: slice, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Windows and blocks that pass the pivot test. Bounds are added up in a table of windows and blocks if postings fill it, else only where one falls."""
+    counts = counts[keys]
+    ends = np.cumsum(counts)
+    if not len(ends) or not ends[-1]:
+        return iter(())
+    places = np.arange(ends[-1]) - np.repeat(ends - counts - index.start[term[keys]], counts)
+    cell = np.repeat(window[keys] - low, counts) * index.n_blocks + index.block[places]
+    if (high - low) * index.n_blocks <= DENSE * len(cell):
+        reach = np.bincount(cell, index.top[places])
+        cells = np.flatnonzero(reach)
+        reach = reach[cells]
+    else:
+        cells, of = np.unique(cell, return_inverse=True)
+        reach = np.bincount(of, index.top[places])
+    cells = cells[reach + index.aside[cells % index.n_blocks] >= THRESHOLD - 1e-9]
+    return zip((cells // index.n_blocks + low).tolist(), (cells % index.n_blocks).tolist(), strict=True)
 
 
 def _confirmed(index: Index, item: int, words: list[str], start: int) -> bool:
@@ -190,6 +213,11 @@ def _confirmed(index: Index, item: int, words: list[str], start: int) -> bool:
     return all(len(want & grams(near, len(next(iter(want))))) >= OVERLAP * len(want) for want in index.checks[item] if want)
 
 
+def _counts(index: Index, item: int, text: str) -> bool:
+    """A short item leaks only as the whole text."""
+    return index.lengths[item] > SHORT or index.lengths[item] == len(words_of(text))
+
+
 def build_indexes(items: DataFrame, max_words: int = 2_000_000) -> list[Index]:
     """Indexes over (item_id, text), each of at most ``max_words`` words or one item."""
     rows = items.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
@@ -211,9 +239,9 @@ def build_indexes(items: DataFrame, max_words: int = 2_000_000) -> list[Index]:
 
 
 def with_leaks(df: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
-    """``df`` with n_items, item_ids (ascending, nulls first) and best_score of the confirmed items."""
+    """``df`` with n_items, item_ids (ascending, nulls first) and best_score of the confirmed items, and whether the text leaked."""
     out = df.select(*[f"`{c}`" for c in df.columns if c not in OUTPUTS.names])
-    out = out.withColumns({"n_items": F.lit(0).cast("long"), "item_ids": F.array().cast("array<long>"), "best_score": F.lit(0.0)})
+    out = out.withColumns({"n_items": F.lit(0).cast("long"), "item_ids": F.array().cast("array<long>"), "best_score": F.lit(0.0), "leaked": F.lit(False)})
     for index in indexes:
         out = out.mapInArrow(_pass_of(index, text), out.schema)
     return out
@@ -224,19 +252,28 @@ def _pass_of(index: Index, text: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                got = leaks(index, part[text].to_pylist())
+                texts = part[text].to_pylist()
+                got = leaks(index, texts)
                 before = zip(part["item_ids"].to_pylist(), part["best_score"].to_pylist(), got, strict=True)
                 merged = [(sorted([*ids, *(index.items[i][0] for i in g)], key=lambda x: (x is not None, x or 0)), max([best, *g.values()])) for ids, best, g in before]
                 columns = {
                     "n_items": pa.array([len(m[0]) for m in merged], pa.int64()),
                     "item_ids": pa.array([m[0] for m in merged], part.schema.field("item_ids").type),
                     "best_score": pa.array([m[1] for m in merged], pa.float64()),
+                    "leaked": pa.array([was or any(_counts(index, i, t) for i in g) for was, g, t in zip(part["leaked"].to_pylist(), got, texts, strict=True)], pa.bool_()),
                 }
                 yield pa.RecordBatch.from_arrays([columns.get(n, c) for n, c in zip(part.schema.names, part.columns, strict=True)], schema=part.schema)
 
     return search
 
 
+def without_leaks(docs: DataFrame, indexes: list[Index], text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that do not leak, with their own columns whatever these are called."""
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    clean = with_leaks(docs.toDF(*own), indexes, own[docs.columns.index(text)]).where(~F.col("leaked"))
+    return clean.select(*own).toDF(*docs.columns)
+
+
 def leak_table(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = with_leaks(docs.select("doc_id", "text"), build_indexes(items))
-    return found.select("doc_id", (F.col("n_items") > 0).alias("leaked"), *OUTPUTS.names)
+    return found.select("doc_id", "leaked", "n_items", "item_ids", "best_score")
