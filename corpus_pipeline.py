@@ -9,7 +9,6 @@ SQL cannot express the stages, so ``ORACLE_SQL`` is None; tests hold ``run`` aga
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from watchloom.llm import decontaminate, mixing, nearjoin, tokens, toxicity
 from watchloom.llm.common import stored, table
@@ -18,7 +17,7 @@ from watchloom.llm.queries import tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, base = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, base, name="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, model, base)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     indexes = decontaminate.build_indexes(table(spark, sf_dir, "benchmark"))
-    return decontaminate.with_leaks(docs, indexes).where(F.col("n_items") == 0).select(*docs.columns)
+    return decontaminate.without_leaks(docs, indexes)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
