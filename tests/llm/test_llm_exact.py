@@ -222,6 +222,21 @@ def test_repeated_substrings_of_many_variants(spark):
     assert got == plain_repeats(rows, 100)
 
 
+def test_spans_are_cut_between_anchors(monkeypatch):
+    monkeypatch.setattr(substrings, "SPANS", 500)
+    draw = np.random.default_rng(3)
+    head = np.zeros(200, substrings.ASKED)
+    head["key"], head["lo"], head["crc"] = draw.integers(0, 40, 200), draw.integers(0, 9, 200), np.arange(200)
+    head["hi"] = head["lo"] + draw.integers(100, 180, 200)
+    bodies = [bytes(draw.integers(0, 255, int(h["hi"] - h["lo"])).astype("u1")) for h in head]
+    seen, keys = {}, []
+    for own, raw in substrings.by_anchor(head, np.frombuffer(b"".join(bodies), np.uint8)):
+        ends = np.cumsum(own["hi"] - own["lo"])
+        seen |= {int(h["crc"]): raw[e - (h["hi"] - h["lo"]) : e].tobytes() for h, e in zip(own, ends.tolist(), strict=True)}
+        keys += sorted(set(own["key"].tolist()))
+    assert [seen[i] for i in range(200)] == bodies and len(keys) == len(set(keys)) == len(set(head["key"].tolist()))
+
+
 def test_run_index_classes():
     draw = np.random.default_rng(0)
     base = draw.integers(97, 101, 300).astype(np.uint8)

@@ -35,7 +35,8 @@ from watchloom.llm.common import by_key, stored
 from watchloom.llm.runindex import RunIndex
 
 LENGTH = 100
-BATCH = 8 << 20
+BATCH = 3 << 20
+SPANS = 1 << 20
 BLOCK = 300_000
 LAST = (1 << 63) - 1
 #: An anchor with its surroundings; seen is 1 for one that another of the same batch precedes.
@@ -222,11 +223,27 @@ def repeats(bodies: DataFrame, parts: int, length: int) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
                 head = np.frombuffer(b"".join(x.as_py() for x in table["head"][a:b]), ASKED)
                 raw = np.frombuffer(b"".join(x.as_py() for x in table["body"][a:b]), np.uint8)
-                yield from _records(repeated(head, raw, length), RANGE, RANGES, parts)
+                for own, spans in by_anchor(head, raw):
+                    yield from _records(repeated(own, spans, length), RANGE, RANGES, parts)
 
     return bodies.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(work, PARTS_SQL)
 
 
+def by_anchor(head: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole anchors of about SPANS bytes together: equal strings have one anchor, and the windows of a few anchors take little memory."""
+    size = (head["hi"] - head["lo"]).astype(np.int64)
+    begin = np.cumsum(size) - size
+    order = np.argsort(head["key"], kind="stable")
+    key, before = head["key"][order], np.cumsum(size[order]) - size[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    block = before[first] // SPANS
+    cuts = first[np.r_[True, block[1:] != block[:-1]]].tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        own = order[a:b]
+        n = size[own]
+        yield head[own], raw[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def repeated(head: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
     """ASKED records narrowed to the ranges that are repeats among ``head``."""
     size = (head["hi"] - head["lo"]).astype(np.int64)
