@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from watchloom.functions.columns import epoch
 from watchloom.operators import alerts, counters, drift, evaluate, sketches
 from watchloom.operators import timeseries as ts_ops
-from watchloom.operators.forest import fit_forest, score_forest
-from watchloom.operators.rules import Rule, evaluate_rules
+from watchloom.operators.forest import Forest, fit_forest, score_forest
+from watchloom.operators.rules import Rule, evaluate_rules, fired_per_record
 from watchloom.plans import catalog as base
 from watchloom.plans import inputs
 from watchloom.plans.oracle import EVENTS, ORACLE, SIX_F, floor_ts
@@ -200,6 +200,14 @@ def detector_chain(spark, sf):
     return rounded(evaluate.read_registry(spark, registry).select("detector", "model_path", "created", "metric", "value", "limit", "version"), 6, "value")
 
 
+@query
+def forest_reloaded(spark, sf):
+    """Scores of a forest that was saved and loaded again: those of the one that was fitted."""
+    f, path = forest_features(spark, sf), new_run_dir(spark, "forest-model")
+    fit_forest(f, FEATURE_KEYS, trees=TREES, psi=PSI, seed=SEED).save(spark, path)
+    return rounded(score_forest(f, Forest.load(spark, path)).select(*FEATURE_KEYS, "anomaly_score", "is_anomaly"), 9, "anomaly_score")
+
+
 def _unit(text: str) -> str:
     return f"(cast('0x' || substr(md5({text}), 1, 13) as bigint) / 4503599627370496.0::double)"
 
@@ -242,6 +250,7 @@ scored as materialized (select *, anomaly_score > cut as is_anomaly, (anomaly_sc
 
 
 ORACLE["forest_scores"] = f"with {_forest_sql()} select source, host, window_end, round(anomaly_score, 9) as anomaly_score, is_anomaly, round(score_z, 6) as score_z from scored"
+ORACLE["forest_reloaded"] = f"with {_forest_sql()} select source, host, window_end, round(anomaly_score, 9) as anomaly_score, is_anomaly from scored"
 ORACLE["detector_chain"] = f"""with {_forest_sql()},
 y as materialized (select rate_5xx > 0.1 as y, anomaly_score as s, cut from scored),
 c as (select count(*) filter (s > cut and y) as tp, count(*) filter (s > cut and not y) as fp, count(*) filter (s <= cut and y) as fn,
@@ -304,6 +313,32 @@ def lake_scan_rejects(spark, sf):
 ORACLE["lake_scan_rejects"] = """select case event_id % 3 when 0 then 'json' else 'jsonl' end as suffix, event_id % 23 <> 0 as ok, count(*) as lines,
   count(*) filter (event_id % 23 <> 0) as timed from events where event_id % 3 < 2 group by all"""
 
+@query
+def feature_store(spark, sf):
+    """Features written by day, those of the first half of the month written again after a correction, then validated and read."""
+    path = new_run_dir(spark, "feature-store")
+    f = base.feature_table(spark, sf)
+    lake.write_features(f, path)
+    lake.write_features(f.where(F.col("window_end") < at("2024-01-16")).withColumn("request_rate", F.lit(0.0)), path)
+    stored = lake.read_features(spark, path)
+    n_rows = evaluate.validate_input(stored, min_rows=1)["n_rows"]
+    return rounded(stored.withColumn("n_rows", F.lit(n_rows).cast("long")), 6, "entropy_path")
+
+
+ORACLE["feature_store"] = f"""with {SIX_F} select source, host, window_end, case when window_end < timestamp '2024-01-16' then 0e0 else request_rate end as request_rate,
+  rate_4xx, rate_5xx, auth_failure_rate, distinct_ips, distinct_paths, p99_latency, bytes_p99, round(entropy_path, 6) as entropy_path, count(*) over () as n_rows from f"""
+
+
+@query
+def rules_unknown_type(spark, sf):
+    """A rule of a type that nobody knows never fires and hinders no other."""
+    rules = [Rule("forecast_gap", "rate_5xx", "forecast", "HIGH", value=0.0), Rule("error_rate_spike", "rate_5xx", "threshold", "HIGH", value=0.05)]
+    return fired_per_record(f := base.feature_table(spark, sf), evaluate_rules(f, rules)).select(*FEATURE_KEYS, F.array_join("fired", ",").alias("fired"), "n")
+
+
+ORACLE["rules_unknown_type"] = f"""with {SIX_F} select coalesce(source, 'unknown') as source, coalesce(host, 'unknown') as host, window_end,
+  case when rate_5xx > 0.05 then 'error_rate_spike' else '' end as fired, cast(case when rate_5xx > 0.05 then 1 else 0 end as bigint) as n from f"""
+
 # ---- drift against a stored reference -----------------------------------------
 
 
