@@ -118,3 +118,15 @@ def test_bytes_after_the_trie_count_in_full():
     mixlm._walk_words(table, model, "learn")
     lp = mixlm._walk_words(pa.table({"word": pa.array([b"z" * 60, b"z" * 61], pa.binary()), "n": [1, 0], "cut": pa.array([3, 3], pa.int32())}), model, "score")
     assert lp[1] < lp[0] < 0
+
+
+def test_weights_are_learnt_from_all_training_texts(spark, docs, monkeypatch):
+    """The map's counts hold every bit of every training word, however many blocks there are."""
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert mixlm.cut_blocks(frame.repartition(1), 300).count() > 20
+    learn, learnt = mixlm.learn_mixers, []
+    monkeypatch.setattr(mixlm, "learn_mixers", lambda *a: learnt.extend(learn(*a)) or learnt)
+    mixlm.lm_scores(frame.repartition(1), tokens=300).count()
+    sizes = [len((t or "").encode()) + 1 for i, x in docs if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for t in tokens(x)]
+    seen = [sum(v for kind, what, _, v, _ in learnt if (kind, what) == (k, 1)) for k in (0, 1)]
+    assert seen == [8 * sum(min(n, mixlm.HEAD) for n in sizes), 8 * sum(max(n - mixlm.HEAD, 0) for n in sizes)]

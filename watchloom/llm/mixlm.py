@@ -7,13 +7,14 @@ for the first HEAD bytes), the last 1, 2 and 3 bytes, the place in the word, and
 bytes also a class of the last short word and of the last word, each with the word so far. Weights chosen by
 a gate (how much the two sharpest contexts have seen) mix their log odds; an adaptive probability
 map refines the result. Contexts that have seen a single bit only speak by how often such histories went on. Weights are learnt online, batch of
-nodes by batch, each bit seen with its own occurrence taken out of the counts; tasks' weights are averaged. While a text is read, its own
+nodes by batch, from all training words and heads, each bit seen with its own occurrence taken out of the counts; tasks' weights are averaged. While a text is read, its own
 words so far adapt the model: a word that came up ``k`` times in ``t`` gets (k - DISCOUNT) / (t + STRENGTH), and the model keeps the rest.
 
 How it is spread: documents are cut into blocks of about BLOCK_TOKENS words. Blocks list their distinct words; their counts
 are added up over all blocks (the vocabulary, which grows with the corpus and is never gathered in one place) and
 dealt out by the first bytes of the words, so that a task holds whole branches of the trie. A first few bytes
-that more than HOT words share are dealt out by more bytes, and the nodes above come from the hashed counts. What depends on a word alone
+that more than HOT words share are dealt out by more bytes, and the nodes above come from the hashed counts. The distinct heads with their
+classes are added up over all blocks likewise and dealt out by class and first byte. What depends on a word alone
 is worked out once for a distinct word and sent back to the blocks that ask for it. Hashed counts (TABLES x SLOTS x 2 numbers, 56 MB) and weights
 are of fixed size; they are the only model data in every task. Trie counts reach TRIE bytes deep; bytes after them are predicted by
 the other contexts.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +41,6 @@ from watchloom.llm.common import by_key, stored
 from watchloom.session import new_run_dir
 
 BLOCK_TOKENS, PIECE_TOKENS = 2_000_000, 400_000
-LEARN_BLOCKS, LEARN_WORDS = 8, 200_000
 HEAD, LONG_HEAD, TRIE = 3, 12, 48
 HOT = 200_000
 SLOT_BITS = 20
@@ -131,9 +132,9 @@ class Mixer:
     def learn(self, gate: np.ndarray, x: np.ndarray, context: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
         """Online steps on bits that occurred ``n`` times."""
         # nodes come in the order of words; steps take them spread over all
-        order = np.argsort(_base(np.arange(len(gate))), kind="stable")
-        for begin in range(0, len(order), STEP):
-            self._step(*(v[order[begin : begin + STEP]] for v in (gate, x, context, bit, n)))
+        steps = -(-len(gate) // STEP)
+        for begin in range(steps):
+            self._step(*(v[begin::steps] for v in (gate, x, context, bit, n)))
 
     def _step(self, gate: np.ndarray, x: np.ndarray, context: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
         odds = self.mixed(gate, x)
@@ -146,7 +147,7 @@ class Mixer:
         size = np.sqrt(self.squares[hit] / (1 - KEEP ** self.steps[hit, None])) + 1e-3
         self.weights[hit] += RATE / np.sqrt(1 + self.steps[hit, None] / 100) * gradient / size
         low, part = self.cells(odds)
-        np.add.at(self.seen, (context, low + (part > 0.5), bit), n)
+        np.add.at(self.seen.reshape(-1), (context * MAP_STEPS + low + (part > 0.5)) * 2 + bit, n)
 
     def rows(self, kind: int) -> list[tuple[int, int, int, float, float]]:
         """What this task has learnt as (kind, what, index, value, weight): averaged over tasks for weights, added up for the map."""
@@ -205,9 +206,11 @@ def _inputs(spoken: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, t: i
         holds, fails = histories[k, t].T
         columns.append(odds + np.sign(side) * np.log((holds + 0.5) / (fails + 0.5))[np.abs(side)])
     first_odds, first_side = spoken[0]
-    one_sided = (first_side != 0) | (total == 0)
-    gate = total.astype(np.int64) * SIDE_GATES + one_sided * 3 + (0 if t == 0 else 1 if t < 3 else 2)
-    return gate, np.stack(columns, 1)
+    return _gate(total, (first_side != 0) | (total == 0), t), np.stack(columns, 1)
+
+
+def _gate(total: np.ndarray, one_sided: np.ndarray, t: int) -> np.ndarray:
+    return total.astype(np.int64) * SIDE_GATES + one_sided * 3 + (0 if t == 0 else 1 if t < 3 else 2)
 
 
 def _bits(model: Model, kind: int, slots: list[np.ndarray], exact: tuple[np.ndarray, np.ndarray] | None, use: np.ndarray | None, place: int, t: int, ones: np.ndarray, zeros: np.ndarray, learn: bool) -> np.ndarray | None:
@@ -226,20 +229,30 @@ def _bits(model: Model, kind: int, slots: list[np.ndarray], exact: tuple[np.ndar
             spoken[0] = tuple(np.where(use, e, h) for e, h in zip(own, spoken[0], strict=True))
             total = np.where(use, _powers(exact[0] + exact[1]), total)
         return mixer.chance(*_inputs(spoken, total, t, mixer.histories), context)
-    held = [(model.tables[k, s, 0].astype(np.float64), model.tables[k, s, 1].astype(np.float64)) for k, s in enumerate(slots)]
-    if exact is not None:
-        held[0] = tuple(np.where(use, e, h) for e, h in zip(exact, held[0], strict=True))
-    # the occurrence itself does not count
-    parts = []
-    for bit, n in ((0, zeros), (1, ones)):
-        some = np.flatnonzero(n)
-        left = [tuple(np.maximum(c[some] - (b == bit), 0) for b, c in enumerate(pair)) for pair in held]
-        parts.append((left, np.full(len(some), bit), n[some].astype(np.float64)))
-        for k, pair in enumerate(left):
-            alone = np.flatnonzero((pair[0] > 0) != (pair[1] > 0))
-            np.add.at(mixer.histories[k, t], (_levels(pair[0] + pair[1])[alone], (pair[bit][alone] == 0).astype(np.int64)), parts[-1][2][alone])
-    parts = [(*_inputs([_spoken(*p) for p in left], _powers(left[0][0] + left[0][1]), t, mixer.histories), context[: len(bit)], bit, n) for left, bit, n in parts]
-    mixer.learn(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+    some = np.flatnonzero(zeros), np.flatnonzero(ones)
+    at, bit = np.concatenate(some), np.repeat([0, 1], [len(v) for v in some])
+    n = np.concatenate([zeros[some[0]], ones[some[1]]]).astype(np.float64)
+    own = (1 - bit).astype(np.float32), bit.astype(np.float32)
+    x = np.empty((len(at), len(slots)), np.float32, order="F")
+    for k, s in enumerate(slots):
+        if k or exact is None or not use.all():
+            n0, n1 = model.tables[k][s[at]].T
+        if k == 0 and exact is not None:
+            n0, n1 = (e[at] if use.all() else np.where(use[at], e[at], h) for e, h in zip(exact, (n0, n1) if not use.all() else exact, strict=True))
+        # the occurrence itself does not count
+        n0, n1 = np.maximum(n0 - own[0], 0), np.maximum(n1 - own[1], 0)
+        two = (n0 > 0) & (n1 > 0)
+        x[:, k] = np.log((n1 + 0.4) / (n0 + 0.4))
+        lone = np.flatnonzero(~two)
+        level, side = _levels((n0 + n1)[lone]), np.sign(n1[lone] - n0[lone])
+        # a history fails where the bit is not the one that it has seen
+        failed, told = side * (2 * bit[lone] - 1) < 0, side != 0
+        mixer.histories[k, t] += np.bincount((level * 2 + failed)[told], n[lone][told], HISTORIES * 2).reshape(-1, 2)
+        holds, fails = mixer.histories[k, t].T
+        x[lone, k] = side * np.log((holds + 0.5) / (fails + 0.5))[level]
+        if k == 0:
+            gate = _gate(_powers(n0 + n1), ~two, t)
+    mixer.learn(gate, x, np.full(len(at), context[0] if len(context) else 0), bit, n)
     return None
 
 
@@ -446,6 +459,12 @@ def _teaching(row: dict) -> tuple[Words, tuple[np.ndarray, ...]]:
     return words, heads_of(words, ids[np.repeat(teach, sizes)], sizes[teach])
 
 
+def _walk_teaching(table: pa.Table, model: Model, mode: str) -> None:
+    """Heads of whole classes (columns state, head, n)."""
+    state, n = table["state"].to_numpy().astype(np.int64), table["n"].to_numpy()
+    walk(Words(table["head"].combine_chunks()), np.arange(len(n)), state, n, 0, HEAD, model, mode, classes=(state // LAST_CLASSES, state % LAST_CLASSES))
+
+
 def _walk_words(table: pa.Table, model: Model, mode: str) -> np.ndarray:
     """What follows the heads of whole branches of the vocabulary (columns word, n, stem, cut)."""
     words = Words(table["word"].combine_chunks())
@@ -478,7 +497,25 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
     return stored(dealt.repartition(parts, "stem").sortWithinPartitions("stem", "word"), "mixlm-vocabulary", compression="zstd")
 
 
-def count_tables(blocks: DataFrame, vocab: DataFrame) -> np.ndarray:
+def teaching_heads(blocks: DataFrame) -> DataFrame:
+    """(state, head, n) of all distinct heads of training texts: classes of the short and the last word before them, and their bytes."""
+    schema = pa.schema([("state", pa.int32()), ("head", pa.binary()), ("n", pa.int64())])
+
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, (which, short, last, n, _) = _teaching(row)
+                head = pc.binary_slice(pa.array(row["words"], pa.binary()), 0, HEAD).take(pa.array(which))
+                yield from pa.table([pa.array(short * LAST_CLASSES + last, pa.int32()), head, pa.array(n, pa.int64())], schema=schema).to_batches(max_chunksize=50_000)
+
+    listed = blocks.select("words", "sizes", "ids", "doc_id").mapInArrow(of_blocks, "state int, head binary, n long")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.repartition(parts, "state", F.expr("substring(head, 1, 1)"))
+    counted = dealt.groupBy("state", F.expr("substring(head, 1, 1)").alias("first"), "head").agg(F.sum("n").alias("n"))
+    return stored(counted.select("state", "head", "n").sortWithinPartitions("state", "head"), "mixlm-heads", compression="zstd")
+
+
+def count_tables(heads: DataFrame, vocab: DataFrame) -> np.ndarray:
     """Hashed counts over all training words; a fixed number of slots reaches the driver."""
 
     def chunks(model: Model, tables: range) -> Iterator[pa.RecordBatch]:
@@ -494,12 +531,10 @@ def count_tables(blocks: DataFrame, vocab: DataFrame) -> np.ndarray:
             _walk_words(table, model, "count")
         yield from chunks(model, range(WORD_TABLES))
 
-    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(np.zeros((len(TABLES), SLOTS, 2), np.int64))
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, got = _teaching(row)
-                _walk_heads(words, got, model, "count")
+        for table in by_key(batches, ["state"]):
+            _walk_teaching(table, model, "count")
         yield from chunks(model, range(WORD_TABLES, len(TABLES)))
 
     def add(group: pa.Table) -> pa.Table:
@@ -507,7 +542,7 @@ def count_tables(blocks: DataFrame, vocab: DataFrame) -> np.ndarray:
         return pa.table({"t": group["t"][:1], "c": group["c"][:1], "data": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
     kind = "t int, c int, data binary"
-    parts = vocab.mapInArrow(of_words, kind).unionAll(blocks.select("words", "sizes", "ids", "doc_id").mapInArrow(of_blocks, kind))
+    parts = vocab.mapInArrow(of_words, kind).unionAll(heads.mapInArrow(of_heads, kind))
     out = np.zeros((len(TABLES), SLOTS, 2), np.float32)
     for r in parts.groupBy("t", "c").applyInArrow(add, kind).toLocalIterator():
         out[r["t"], r["c"] : r["c"] + CHUNK] = np.frombuffer(r["data"], "<f4").reshape(-1, 2)
@@ -528,15 +563,8 @@ def loaded(path: str) -> Model:
     return model
 
 
-def learn_mixers(blocks: DataFrame, vocab: DataFrame, path: str, n_words: int, most_blocks: int = LEARN_BLOCKS, most_words: int = LEARN_WORDS) -> list[tuple]:
-    """(kind, what, index, value, weight) over all tasks; as many rows as there are weights and map cells.
-
-    The few hundred numbers are learnt from ``most_blocks`` blocks and about ``most_words`` words (whole branches), both picked by hash;
-    the counts that they weigh come from all training texts.
-    """
-    picked = blocks.orderBy(F.xxhash64("block"), "block").select("block").limit(most_blocks)
-    blocks = blocks.select("block", "words", "sizes", "ids", "doc_id").join(picked, "block", "left_semi")
-    vocab = vocab.where(F.pmod(F.xxhash64("stem", F.lit(7)), F.lit(max(1, -(-n_words // most_words)))) == 0)
+def learn_mixers(heads: DataFrame, vocab: DataFrame, path: str) -> list[tuple]:
+    """(kind, what, index, value, weight) over all tasks, learnt from all training words and heads; as many rows as there are weights and map cells."""
     kind = "kind int, what int, at int, value double, weight double"
     schema = pa.schema([("kind", pa.int32()), ("what", pa.int32()), ("at", pa.int32()), ("value", pa.float64()), ("weight", pa.float64())])
 
@@ -550,15 +578,13 @@ def learn_mixers(blocks: DataFrame, vocab: DataFrame, path: str, n_words: int, m
             _walk_words(table, model, "learn")
         yield from told(model, 1)
 
-    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, got = _teaching(row)
-                _walk_heads(words, got, model, "learn")
+        for table in by_key(batches, ["state"]):
+            _walk_teaching(table, model, "learn")
         yield from told(model, 0)
 
-    rows = vocab.mapInArrow(of_words, kind).unionAll(blocks.select("words", "sizes", "ids", "doc_id").mapInArrow(of_blocks, kind))
+    rows = vocab.mapInArrow(of_words, kind).unionAll(heads.mapInArrow(of_heads, kind))
     return [tuple(r) for r in rows.groupBy("kind", "what", "at").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).orderBy("kind", "what", "at").collect()]
 
 
@@ -586,11 +612,12 @@ def lm_scores(docs: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
     spark = docs.sparkSession
     blocks = stored(cut_blocks(docs, tokens), "mixlm-blocks", compression="zstd")
     vocab = vocabulary(blocks)
-    n_all, n_words, all_words = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count(F.lit(1))).first()
+    heads = teaching_heads(blocks)
+    n_all, n_words = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     path = f"{new_run_dir(spark, 'mixlm')}/tables.f4"
     with files.writing(path) as out:
-        out.write(count_tables(blocks, vocab).tobytes())
-    learnt = learn_mixers(blocks, vocab, path, all_words)
+        out.write(count_tables(heads, vocab).tobytes())
+    learnt = learn_mixers(heads, vocab, path)
     words = scored_words(vocab, path, learnt)
     asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
     answers = asked.join(words, "word").select(F.col("block").alias("asker"), "at", "word", "n", "rest")
