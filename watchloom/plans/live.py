@@ -14,11 +14,12 @@ from watchloom.session import ROCKSDB, new_run_dir
 from watchloom.streaming import bans, jobs, late, sustained
 
 PART = 5 * DAY  # events arrive in parts of so many seconds
+FILE_ROWS = 250_000  # of a part in a file, about
 DELAYED, VERY_LATE = 40, 97  # of so many events one arrives a part later, or three
 
 
 def arrivals(spark, sf, very_late=True, clock=None):
-    """The given events as a stream in the order they arrive in: a file a part, some events parts later than their time.
+    """The given events as a stream in the order they arrive in: a batch a part, some events parts later than their time.
 
     ``clock`` adds a last part with one row without a client, that many seconds after all events.
     """
@@ -26,15 +27,24 @@ def arrivals(spark, sf, very_late=True, clock=None):
     e = inputs.events(spark, sf)
     part = F.floor(epoch("ts") / PART).cast("int") + F.when(F.col("event_id") % DELAYED == 0, 1).otherwise(0)
     part = part + F.when(F.col("event_id") % VERY_LATE == 0, 3).otherwise(0) if very_late else part
-    rows = e.withColumn("part", part)
-    ends = rows.agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("ts").alias("newest")).first()
-    for p in range(ends["a"], ends["b"] + 1):
-        # a stream takes a file for its smallest batch
-        rows.where(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(path)
+    # cut once, so that a part reads its own rows only
+    cut = new_run_dir(spark, "parts")
+    e.withColumn("part", part).write.partitionBy("part").parquet(cut)
+    rows = spark.read.schema(e.withColumn("part", part).schema).parquet(cut)
+    parts = {r["part"]: r["count"] for r in rows.where(F.col("part").isNotNull()).groupBy("part").count().collect()}
+    # all parts have equally many files, so that a batch takes a part
+    files = max(1, -(-max(parts.values(), default=0) // FILE_ROWS))
+    for p in sorted(parts):
+        own = spark.read.schema(e.schema).parquet(f"{cut}/part={p}")
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+        while len(spark.read.schema(e.schema).parquet(path).inputFiles()) % files:
+            own.limit(0).coalesce(1).write.mode("append").parquet(path)
+    if not parts:
+        e.limit(0).coalesce(1).write.parquet(path)
     if clock is not None:
-        tick = F.lit(ends["newest"]) + F.make_dt_interval(secs=F.lit(clock))
+        tick = F.lit(e.agg(F.max("ts")).first()[0]) + F.make_dt_interval(secs=F.lit(clock))
         e.limit(1).withColumns({"event_id": F.lit(-1).cast(e.schema["event_id"].dataType), "ts": tick, "src_ip": F.lit("clock")}).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _gated(spark, sf):

@@ -2,15 +2,17 @@
 
 A client with more than ``limit`` requests in a slot of ``seconds`` is banned from the slot's end on for ``ban`` seconds. Whether a
 request met a running ban is known for sure once everything before its slot has come, which is when
-the watermark passes the slot's end: a timer fires there, decides the slot's requests and lets them go. Slots within
-the limit leave no state; a slot beyond it leaves one number, which a second timer removes when its ban can reach no request any more.
-A client's state is thus its open slots and its running bans. Requests after the watermark, and those without a client or time, are not judged.
+the watermark passes the slot's end. A client has one timer, at the earliest time it waits for; when it fires, all slots that are over
+by then are decided in one pass over their counts, in order, and their requests are let go. Slots within
+the limit leave no state; a slot beyond it leaves one number, which goes when its ban can reach no request any more.
+A client's state is thus its open slots and its running bans, and a short list of both; requests of a slot are read again only where a ban may have met them. Requests after the watermark, and those without a client or time, are not judged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from watchloom.streaming.jobs import trigger
 BANNED = T.StructType().add("event_id", "long").add("src_ip", "string").add("ts", "timestamp")
 _SLOT = T.StructType().add("slot", "long")
 _OPEN = T.StructType().add("n", "long").add("ids", T.ArrayType(T.LongType())).add("micros", T.ArrayType(T.LongType()))
+_LISTED = T.StructType().add("slots", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.LongType())).add("decided", T.ArrayType(T.BooleanType())).add("wake", T.LongType())
 MICROS = 1_000_000
 
 
@@ -35,37 +38,68 @@ class BanProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.slots = handle.getMapState("slots", _SLOT, _OPEN)
+        self.listed = handle.getValueState("listed", _LISTED)
+
+    def _list(self) -> tuple[dict[int, tuple[int, bool]], int | None]:
+        """(count, decided) by slot, and the time in seconds that a timer is set to."""
+        if not self.listed.exists():
+            return {}, None
+        slots, counts, decided, wake = self.listed.get()
+        return {k: (n, d) for k, n, d in zip(slots, counts, decided, strict=True)}, wake
+
+    def _keep(self, known: dict[int, tuple[int, bool]], wake: int | None) -> None:
+        """Store the list and see that a timer fires at the earliest time it waits for."""
+        if not known:
+            self.listed.clear()
+            return
+        due = min(self._over(k) if decided else (k + 1) * self.seconds for k, (_, decided) in known.items())
+        if wake is None or due != wake:
+            self.handle.registerTimer(due * 1000)
+        self.listed.update((list(known), [n for n, _ in known.values()], [d for _, d in known.values()], due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        for slot, own in batch.groupby(batch["micros"] // (self.seconds * MICROS)):
-            slot = int(slot)
-            n, ids, micros = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else (0, [], [])
-            if not n:
-                self.handle.registerTimer((slot + 1) * self.seconds * 1000)
-            self.slots.updateValue((slot,), (n + len(own), [*ids, *own["event_id"].tolist()], [*micros, *own["micros"].tolist()]))
-        yield pd.DataFrame([], columns=BANNED.fieldNames())
+        parts = list(rows)
+        micros = np.concatenate([p["micros"].to_numpy(np.int64) for p in parts])
+        ids = [None if pd.isna(i) else int(i) for p in parts for i in p["event_id"].tolist()]
+        slot_of = micros // (self.seconds * MICROS)
+        order = np.argsort(slot_of, kind="stable")
+        known, wake = self._list()
+        for own in np.split(order, np.flatnonzero(np.diff(slot_of[order])) + 1):
+            slot = int(slot_of[own[0]])
+            n, old_ids, old_micros = self.slots.getValue((slot,)) if slot in known else (0, [], [])
+            self.slots.updateValue((slot,), (n + len(own), [*old_ids, *[ids[i] for i in own]], [*old_micros, *micros[own].tolist()]))
+            known[slot] = n + len(own), known.get(slot, (0, False))[1]
+        self._keep(known, wake)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        slot = now // self.seconds - 1
-        banned = pd.DataFrame([], columns=BANNED.fieldNames())
-        if now % self.seconds == 0 and self.slots.containsKey((slot,)):
-            n, ids, micros = self.slots.getValue((slot,))
-            # counts of all earlier slots are complete by now, whatever order their timers fire in
-            until = max((self._until(k[0]) for k, v in self.slots.iterator() if k[0] < slot and v[0] > self.limit), default=0)
-            met = [(i, m) for i, m in zip(ids, micros, strict=True) if m < until * MICROS]
-            if met:
-                banned = pd.DataFrame({"event_id": [i for i, _ in met], "src_ip": key[0], "ts": pd.to_datetime([m for _, m in met], unit="us", utc=True)})
+        # all timers up to the watermark fire; the first of a client does the work of all
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000
+        known, wake = self._list()
+        met: list[tuple[int | None, int]] = []
+        until = 0
+        for slot, (n, decided) in sorted(known.items()):
+            if not decided:
+                # counts of all earlier slots are complete by now
+                if (slot + 1) * self.seconds > now:
+                    break
+                if until > slot * self.seconds:
+                    _, ids, micros = self.slots.getValue((slot,))
+                    met += [(i, m) for i, m in zip(ids, micros, strict=True) if m < until * MICROS]
+                if n > self.limit:
+                    self.slots.updateValue((slot,), (n, [], []))
+                    known[slot] = n, True
+                else:
+                    self.slots.removeKey((slot,))
+                    del known[slot]
             if n > self.limit:
-                self.slots.updateValue((slot,), (n, [], []))
-                self.handle.registerTimer(self._over(slot) * 1000)
-            else:
-                self.slots.removeKey((slot,))
-        # slots that no timer has decided yet are later than this
-        for k in [k for k, v in self.slots.iterator() if not v[1] and self._over(k[0]) <= now]:
-            self.slots.removeKey(k)
-        yield banned
+                until = max(until, self._until(slot))
+        for slot in [k for k, (_, decided) in known.items() if decided and self._over(k) <= now]:
+            self.slots.removeKey((slot,))
+            del known[slot]
+        self._keep(known, wake)
+        if met:
+            yield pd.DataFrame({"event_id": pd.array([i for i, _ in met], "Int64"), "src_ip": key[0], "ts": pd.to_datetime([m for _, m in met], unit="us", utc=True)})
 
     def _until(self, slot: int) -> int:
         return (slot + 1) * self.seconds + self.ban
