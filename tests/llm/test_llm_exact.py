@@ -143,6 +143,20 @@ def test_every_letter_has_the_ids_of_the_tokenizer(vocabulary):
         assert encode(text) == ids(text)
 
 
+def test_words_in_use_are_kept_when_the_memo_is_full(vocabulary, monkeypatch):
+    """A word that comes up all the time is encoded once, whatever passes through a memo that stays within its bound."""
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 40 * (tokens.ENTRY_BYTES + 20))
+    words, asked = tokens.Encoder(vocabulary).words, []
+    monkeypatch.setattr(words, "direct", False)
+    encoded = words.encoded
+    monkeypatch.setattr(words, "encoded", lambda w: asked.append(w) or encoded(w))
+    for i in range(500):
+        assert words["often"] == encoded("often") and words[f"w{i}"] == encoded(f"w{i}")
+        assert len(words) + len(words.older) <= 60
+    assert asked.count("often") == 1
+
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 3_000_000
     rows = [(1, "http://a", "one"), (2, None, "one"), (3, "http://b\r\nX: 1", None), (4, "http://c", ""), (5, "http://d", "é\r\n\r\nWARC/1.1\r\n"), (None, "http://e", "one"), (6, "http://f", big), (2, None, "one")]

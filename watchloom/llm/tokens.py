@@ -14,6 +14,7 @@ tasks; an empty table gives no files; other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from watchloom.llm.common import spread, stored
 from watchloom.session import new_run_dir
 
 END_ID = 1
-MEMO_BYTES = 32_000_000  # of words and ids that a worker keeps, with ENTRY_BYTES for each
+MEMO_BYTES = 128_000_000  # of words and ids that a worker keeps, with ENTRY_BYTES for each
 ENTRY_BYTES = 200
 DOC = [("doc_id", "<i8"), ("known", "u1")]
 FILE_SCHEMA = "file string, part int, n_docs long, n_ids long, width int"
@@ -45,7 +46,7 @@ def byte_letters() -> str:
 
 
 class WordIds(dict):
-    """Ids of a white-space separated word as bytes, encoded once and kept up to a bound of bytes; beyond it all are dropped.
+    """Ids of a white-space separated word as bytes, encoded once and kept up to a bound of bytes; beyond it those not used lately are dropped.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     words in order. A word's last comma or full stop is a token of its own. Words of letters alone go
@@ -58,12 +59,13 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.kept = 0
+        self.kept, self.older = 0, {}
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
         self.tokenizer, self.kind, self.model = tokenizer, kind, tokenizer.model
         self.direct = all(self.merged(w) == self.encoded(w) for w in ("the", "Straße", "ÉTÉ", "ñandú", "слово", "words", "Ǆ", "中文", "internationalisation"))
 
     def encoded(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def merged(self, word: str) -> bytes:
         return self.of_plain(self.plain(word))
@@ -75,25 +77,39 @@ class WordIds(dict):
     def of_plain(self, plain: str) -> bytes:
         # letters of ASCII are written as themselves
         shown = plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype=self.kind).tobytes()
+        return self.packed([t.id for t in self.model.tokenize(shown)])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            # lower case of these two depends on what follows, or is more than a letter
-            direct = self.direct and "\u03a3" not in word and "\u0130" not in word and (plain := self.plain(word)).isalpha()
-            got = self.of_plain(plain) if direct else self.encoded(word)
-        elif word[-1] in ".," and word[:-1].isalpha() and (word.isascii() or self.plain(word[:-1]).isalpha()):
-            got = self[word[:-1]] + self[word[-1]]
-        else:
-            got = self.encoded(word)
+        got = self.older.get(word)
+        if got is None:
+            got = self.fresh(word)
         if len(word) < 64:
             self.kept += ENTRY_BYTES + len(word) + len(got)
-            if self.kept > MEMO_BYTES:  # frequent words come back at once
+            if self.kept > MEMO_BYTES // 2:  # a word of the older half comes back when it is met
+                self.older = dict(self)
                 self.clear()
                 self.kept = ENTRY_BYTES
             self[word] = got
         return got
 
+    def fresh(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self.of_plain(word.lower()) if self.direct else self.encoded(word)
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            return self.encoded(word)
+        if word.isalpha():
+            # lower case of these two depends on what follows, or is more than a letter
+            direct = self.direct and "\u03a3" not in word and "\u0130" not in word and (plain := self.plain(word)).isalpha()
+            return self.of_plain(plain) if direct else self.encoded(word)
+        if word[-1] in ".," and word[:-1].isalpha() and self.plain(word[:-1]).isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        return self.encoded(word)
+
 
 class Encoder:
     """Text to id bytes; one per worker."""
