@@ -130,3 +130,20 @@ def test_weights_are_learnt_from_all_training_texts(spark, docs, monkeypatch):
     sizes = [len((t or "").encode()) + 1 for i, x in docs if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for t in tokens(x)]
     seen = [sum(v for kind, what, _, v, _ in learnt if (kind, what) == (k, 1)) for k in (0, 1)]
     assert seen == [8 * sum(min(n, mixlm.HEAD) for n in sizes), 8 * sum(max(n - mixlm.HEAD, 0) for n in sizes)]
+
+
+def test_blocks_split_texts_as_plain_python_does(spark, monkeypatch):
+    """Words, numbers and block ends, with a piece for each text; texts are split by columns, never one by one."""
+    texts = ["Ab  ab\x1cC\x85\u3000 ÄB\tq\n", None, "", " \r\n ", "a" * 50 + "\x0b\x0cAB ab", " ab q", "\x00 Z", "ab " * 30]
+    monkeypatch.setattr(mixlm, "PIECE_BYTES", 8)
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    blocks = sorted(mixlm.cut_blocks(frame, 7).collect(), key=lambda r: r["block"])
+    assert [r["doc_id"] for r in blocks] == [[0, 1, 2], [3, 4, 5], [6, 7]]
+    for row in blocks:
+        spelled = [[*(t.encode() for t in tokens(texts[i])[:-1]), b""] for i in row["doc_id"]]
+        ids = mixlm._ids(row["ids"], np.array(row["sizes"]))
+        assert [bytes(row["words"][i]) for i in ids] == [w for t in spelled for w in t] and row["sizes"] == [len(t) for t in spelled]
+        learnt = Counter(w for i, t in zip(row["doc_id"], spelled, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+        assert {bytes(w): n for w, n in zip(row["words"], row["trained"], strict=True)} == {w: learnt[w] for t in spelled for w in t}
+        assert row["held"] == [zlib.crc32(str(i).encode()) % 7 == 2 for i in row["doc_id"]]
+    assert mixlm._split(pa.array(["A b ", None])).to_pylist() == [["a", "b", ""], [""]]

@@ -40,7 +40,7 @@ from watchloom.llm import files
 from watchloom.llm.common import by_key, stored
 from watchloom.session import new_run_dir
 
-BLOCK_TOKENS, PIECE_TOKENS = 2_000_000, 400_000
+BLOCK_TOKENS, PIECE_BYTES = 2_000_000, 4_000_000
 HEAD, LONG_HEAD, TRIE = 3, 12, 48
 HOT = 200_000
 SLOT_BITS = 20
@@ -55,7 +55,6 @@ SPACE = 32
 RATE, KEEP, STEP = 0.03, 0.99, 4096
 DISCOUNT, STRENGTH = 0.8, 100.0
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _base(*parts: np.ndarray | int) -> np.ndarray:
@@ -112,7 +111,12 @@ class Mixer:
         self.refined: np.ndarray | None = None
 
     def mixed(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[gate] * x).sum(1), -15, 15)
+        """Log odds; ``x`` has a row for each predictor."""
+        weights = self.weights.T.copy()
+        odds = weights[0][gate] * x[0]
+        for w, own in zip(weights[1:], x[1:], strict=True):
+            odds += w[gate] * own
+        return np.clip(odds, -15, 15)
 
     @staticmethod
     def cells(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +138,14 @@ class Mixer:
         # nodes come in the order of words; steps take them spread over all
         steps = -(-len(gate) // STEP)
         for begin in range(steps):
-            self._step(*(v[begin::steps] for v in (gate, x, context, bit, n)))
+            self._step(*(np.ascontiguousarray(v[..., begin::steps]) for v in (gate, x, context, bit, n)))
 
     def _step(self, gate: np.ndarray, x: np.ndarray, context: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
         odds = self.mixed(gate, x)
         error = (bit - 1 / (1 + np.exp(-odds))) * n
         many = np.bincount(gate, n, len(self.weights))
         hit = np.flatnonzero(many)
-        gradient = np.stack([np.bincount(gate, error * x[:, i], len(self.weights)) for i in range(x.shape[1])], 1)[hit] / many[hit, None]
+        gradient = np.stack([np.bincount(gate, error * own, len(self.weights)) for own in x], 1)[hit] / many[hit, None]
         self.squares[hit] = KEEP * self.squares[hit] + (1 - KEEP) * gradient**2
         self.steps[hit] += 1
         size = np.sqrt(self.squares[hit] / (1 - KEEP ** self.steps[hit, None])) + 1e-3
@@ -171,6 +175,11 @@ class Model:
         self.mixers = (Mixer(len(TABLES)), Mixer(WORD_TABLES))
         self._worked_out: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
+    def counts(self, k: int, slots: np.ndarray) -> np.ndarray:
+        """Zeros and ones at slots; a pair is read as one number, which is faster than as a row of two."""
+        table = self.tables[k]
+        return table.view(f"c{2 * table.itemsize}")[:, 0][slots].view(table.dtype).reshape(-1, 2).T
+
     def worked_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every slot: log odds of two-sided counts, sign and level of one-sided ones, and the total's power of two."""
         if self._worked_out is None:
@@ -195,8 +204,8 @@ def _levels(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(2 * np.log2(n + 1)), HISTORIES - 1).astype(np.int64)
 
 
-def _inputs(spoken: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, t: int, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gate and log odds of the predictors.
+def _inputs(spoken: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, t: int, histories: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Gate and log odds of the predictors, a row for each.
 
     A predictor that has seen both bits speaks by its counts; one that has seen a single bit only, by how often such a
     history went on at this place of a byte. The first predictor's total, whether it is such a history, and the place choose the gate.
@@ -204,9 +213,11 @@ def _inputs(spoken: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, t: i
     columns = []
     for k, (odds, side) in enumerate(spoken):
         holds, fails = histories[k, t].T
-        columns.append(odds + np.sign(side) * np.log((holds + 0.5) / (fails + 0.5))[np.abs(side)])
+        told = np.log((holds + 0.5) / (fails + 0.5))
+        # by side: 0, 1, 2, ... and, counted from the end, ..., -2, -1
+        columns.append(odds + np.r_[0, told[1:], -told[:0:-1]][side])
     first_odds, first_side = spoken[0]
-    return _gate(total, (first_side != 0) | (total == 0), t), np.stack(columns, 1)
+    return _gate(total, (first_side != 0) | (total == 0), t), columns
 
 
 def _gate(total: np.ndarray, one_sided: np.ndarray, t: int) -> np.ndarray:
@@ -233,23 +244,23 @@ def _bits(model: Model, kind: int, slots: list[np.ndarray], exact: tuple[np.ndar
     at, bit = np.concatenate(some), np.repeat([0, 1], [len(v) for v in some])
     n = np.concatenate([zeros[some[0]], ones[some[1]]]).astype(np.float64)
     own = (1 - bit).astype(np.float32), bit.astype(np.float32)
-    x = np.empty((len(at), len(slots)), np.float32, order="F")
+    x = np.empty((len(slots), len(at)), np.float32)
     for k, s in enumerate(slots):
         if k or exact is None or not use.all():
-            n0, n1 = model.tables[k][s[at]].T
+            n0, n1 = model.counts(k, s[at])
         if k == 0 and exact is not None:
             n0, n1 = (e[at] if use.all() else np.where(use[at], e[at], h) for e, h in zip(exact, (n0, n1) if not use.all() else exact, strict=True))
         # the occurrence itself does not count
         n0, n1 = np.maximum(n0 - own[0], 0), np.maximum(n1 - own[1], 0)
         two = (n0 > 0) & (n1 > 0)
-        x[:, k] = np.log((n1 + 0.4) / (n0 + 0.4))
+        x[k] = np.log((n1 + 0.4) / (n0 + 0.4))
         lone = np.flatnonzero(~two)
         level, side = _levels((n0 + n1)[lone]), np.sign(n1[lone] - n0[lone])
         # a history fails where the bit is not the one that it has seen
         failed, told = side * (2 * bit[lone] - 1) < 0, side != 0
         mixer.histories[k, t] += np.bincount((level * 2 + failed)[told], n[lone][told], HISTORIES * 2).reshape(-1, 2)
         holds, fails = mixer.histories[k, t].T
-        x[lone, k] = side * np.log((holds + 0.5) / (fails + 0.5))[level]
+        x[k, lone] = side * np.log((holds + 0.5) / (fails + 0.5))[level]
         if k == 0:
             gate = _gate(_powers(n0 + n1), ~two, t)
     mixer.learn(gate, x, np.full(len(at), context[0] if len(context) else 0), bit, n)
@@ -356,58 +367,82 @@ BLOCK = pa.schema(
 BLOCK_TYPE = "block string, words array<binary>, trained array<long>, doc_id array<long>, held array<boolean>, sizes array<long>, ids binary"
 
 
+def _split(text: pa.Array) -> pa.ListArray:
+    """The lower-cased words of texts, each text closed by an empty one."""
+    low = pc.ascii_ltrim_whitespace(pc.ascii_lower(pc.fill_null(text.cast(pa.binary()).view(pa.string()), "")))
+    # white space at the end makes the closing empty word; a text without words is that word already
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(low), 0), low, pc.binary_join_element_wise(low, " ", "")))
+
+
 def cut_blocks(docs: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a block: its distinct words with their training counts, its documents, and their words as numbers."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """(doc_id, text) of about PIECE_BYTES, of a whole text at least."""
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, PIECE_BYTES + (ends[begin - 1] if begin else 0), "right")))
+                yield batch["doc_id"].slice(begin, end - begin), batch["text"].slice(begin, end - begin)
+                begin = end
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
-        numbers: dict[bytes, int] = {}
-        keys, sizes, done, fresh = [], [], [], []
-
-        def number() -> None:
-            """Numbers for the words read since the last call."""
-            coded = pa.array(fresh, pa.binary()).dictionary_encode()
-            own = np.array([numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()], np.int64)
-            done.append(own[coded.indices.to_numpy(zero_copy_only=False)])
-            fresh.clear()
+        part, made, held = TaskContext.get().partitionId(), 0, 0
+        keys, sizes, spelled, coded = [], [], [], []
 
         def block() -> pa.RecordBatch:
-            if fresh:
-                number()
-            teach = [_learns(k) for k in keys]
-            ids = np.concatenate(done)
+            # numbers within a piece become numbers within the block
+            own = pa.chunked_array(spelled).dictionary_encode()
+            ids = np.concatenate([own.chunk(i).indices.to_numpy()[c] for i, c in enumerate(coded)])
+            words, docs, lengths = own.chunk(0).dictionary, pa.concat_arrays(keys), np.concatenate(sizes)
+            learnt = np.array([_learns(k) for k in docs.to_pylist()], bool)
             # frequent words get small numbers, which pack well
-            order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")
+            order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            ids, words = rank[ids], list(numbers)
-            trained = np.bincount(ids[np.repeat([t for t, _ in teach], sizes)], minlength=len(order))
-            values = [f"{part}-{made}", [words[i] for i in order], trained.tolist(), keys, [h for _, h in teach], sizes, pa.compress(ids.astype("<i4").tobytes(), "zstd", asbytes=True)]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, BLOCK, strict=True)], schema=BLOCK)
-
-        for batch in batches:
-            for key, text in zip(batch["doc_id"], batch["text"].cast(pa.binary()), strict=True):
-                # bytes are split at just the white space that separates words
-                own = (text.as_py() or b"").translate(_LOWER).split()
-                keys.append(key.as_py())
-                sizes.append(len(own) + 1)
-                fresh += own
-                fresh.append(b"")
-                if len(fresh) >= PIECE_TOKENS:
-                    number()
-                if sum(map(len, done)) + len(fresh) >= tokens:
+            ids = rank[ids]
+            trained = np.bincount(ids[np.repeat(learnt[:, 0], lengths)], minlength=len(order))
+            listed = [words.take(pa.array(order)).cast(pa.binary()), pa.array(trained), docs, pa.array(learnt[:, 1]), pa.array(lengths)]
+            for x in (keys, sizes, spelled, coded):
+                x.clear()
+            lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in listed]
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), *lists, pa.array([pa.compress(ids.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary())], schema=BLOCK)
+
+        for ids, text in pieces(batches):
+            split = _split(text)
+            long = pc.list_value_length(split).to_numpy().astype(np.int64)
+            begin = 0
+            while begin < len(long):
+                # a block ends with the text that fills it
+                reach = held + np.cumsum(long[begin:])
+                end = min(begin + int(np.searchsorted(reach, tokens)) + 1, len(long))
+                own = split.slice(begin, end - begin).flatten().dictionary_encode()
+                spelled.append(own.dictionary)
+                coded.append(own.indices.to_numpy())
+                keys.append(ids.slice(begin, end - begin))
+                sizes.append(long[begin:end])
+                held, begin = int(reach[end - begin - 1]), end
+                if held >= tokens:
                     yield block()
-                    made += 1
-                    for x in (numbers, keys, sizes, done):
-                        x.clear()
+                    made, held = made + 1, 0
         if keys:
             yield block()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, BLOCK_TYPE)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of numbers from 0 on, equal ones as they come, and where in it a new one begins."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by their digits
+    for shift in range(16, int(keys.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((keys >> shift).astype(np.uint16)[order], kind="stable")]
+    own = keys[order]
+    return order, np.r_[True, own[1:] != own[:-1]][: len(own)]
+
+
 def adapted(lp: np.ndarray, ids: np.ndarray, sizes: np.ndarray, discount: float = DISCOUNT, strength: float = STRENGTH) -> np.ndarray:
     """Log probabilities of tokens after a text's own words so far have been taken into account."""
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -424,8 +459,8 @@ def adapted(lp: np.ndarray, ids: np.ndarray, sizes: np.ndarray, discount: float
     return np.logaddexp(own, np.log(strength + discount * kinds) + lp) - np.log(before + strength)
 
 
-def _ids(row: dict) -> np.ndarray:
-    return np.frombuffer(pa.decompress(row["ids"], 4 * sum(row["sizes"]), "zstd", asbytes=True), "<i4")
+def _ids(packed: bytes, sizes: np.ndarray) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * int(sizes.sum()), "zstd", asbytes=True), "<i4")
 
 
 def heads_of(words: Words, ids: np.ndarray, sizes: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -441,8 +476,10 @@ def heads_of(words: Words, ids: np.ndarray, sizes: np.ndarray, weight: np.ndarra
     head = np.minimum(words.size, HEAD)
     for j in range(HEAD):
         head = head * 256 + words.byte(every, j)
-    keys = (short * LAST_CLASSES + last) << 40 | head[ids]
-    _, sample, back = np.unique(keys, return_index=True, return_inverse=True)
+    kinds, own = np.unique(head, return_inverse=True)
+    order, fresh = _distinct((short * LAST_CLASSES + last) * len(kinds) + own[ids])
+    sample, back = order[fresh], np.empty(len(ids), np.int64)
+    back[order] = np.cumsum(fresh) - 1
     n = np.bincount(back, weight, len(sample)).astype(np.int64)
     return ids[sample], short[sample], last[sample], n, back
 
@@ -452,11 +489,10 @@ def _walk_heads(words: Words, got: tuple[np.ndarray, ...], model: Model, mode: s
     return walk(words, which, short * LAST_CLASSES + last, n, 0, HEAD, model, mode, classes=(short, last))
 
 
-def _teaching(row: dict) -> tuple[Words, tuple[np.ndarray, ...]]:
+def _teaching(spelled: pa.Array, ids: np.ndarray, docs: list[int | None], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """The heads of a block's training documents."""
-    words, sizes = Words(pa.array(row["words"], pa.binary())), np.array(row["sizes"], np.int64)
-    ids, teach = _ids(row), np.array([_learns(k)[0] for k in row["doc_id"]], bool)
-    return words, heads_of(words, ids[np.repeat(teach, sizes)], sizes[teach])
+    teach = np.array([_learns(k)[0] for k in docs], bool)
+    return heads_of(Words(spelled), ids[np.repeat(teach, sizes)], sizes[teach])
 
 
 def _walk_teaching(table: pa.Table, model: Model, mode: str) -> None:
@@ -503,9 +539,10 @@ def teaching_heads(blocks: DataFrame) -> DataFrame:
 
     def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                _, (which, short, last, n, _) = _teaching(row)
-                head = pc.binary_slice(pa.array(row["words"], pa.binary()), 0, HEAD).take(pa.array(which))
+            for words, sizes, ids, docs in zip(*(batch[c] for c in ("words", "sizes", "ids", "doc_id")), strict=True):
+                long = sizes.values.to_numpy()
+                which, short, last, n, _ = _teaching(words.values, _ids(ids.as_py(), long), docs.as_py(), long)
+                head = pc.binary_slice(words.values, 0, HEAD).take(pa.array(which))
                 yield from pa.table([pa.array(short * LAST_CLASSES + last, pa.int32()), head, pa.array(n, pa.int64())], schema=schema).to_batches(max_chunksize=50_000)
 
     listed = blocks.select("words", "sizes", "ids", "doc_id").mapInArrow(of_blocks, "state int, head binary, n long")
@@ -626,11 +663,13 @@ def lm_scores(docs: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
     def score(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         model = _settled(path, learnt)
-        answer = answer.sort_by("at").combine_chunks()
-        words, ids, sizes = Words(answer["word"].combine_chunks()), _ids(row), np.array(row["sizes"], np.int64)
+        # a word of the block has one answer
+        order = np.argsort(answer["at"].to_numpy())
+        sizes = np.array(row["sizes"], np.int64)
+        words, ids = Words(answer["word"].combine_chunks().take(pa.array(order))), _ids(row["ids"], sizes)
         got = heads_of(words, ids, sizes)
-        lp = adapted(_walk_heads(words, got, model, "score")[got[4]] + answer["rest"].to_numpy()[ids], ids, sizes) / np.log(10)
-        n, start = answer["n"].to_numpy(), np.cumsum(sizes) - sizes
+        lp = adapted(_walk_heads(words, got, model, "score")[got[4]] + answer["rest"].to_numpy()[order][ids], ids, sizes) / np.log(10)
+        n, start = answer["n"].to_numpy()[order], np.cumsum(sizes) - sizes
         score = np.add.reduceat(lp, start)
         octets = np.add.reduceat(words.size[ids] + 1, start)
         return pa.table(
