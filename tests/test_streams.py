@@ -52,6 +52,18 @@ def test_streamed_features_equal_batch(spark, tmp_path):
         assert have[k] == pytest.approx(want[k])
 
 
+def test_feature_state_is_looked_up_once_a_value(spark, tmp_path):
+    """Counting the keys of the state would look up each of them again when it is written and when it goes."""
+    event_files(tmp_path / "in", 3)
+    before = spark.conf.get(jobs.UNCOUNTED, None)
+    job = jobs.features_job(jobs.event_stream(spark, str(tmp_path / "in"), files_per_batch=1), str(tmp_path / "f"), str(tmp_path / "cp"), 300, "5 minutes", every=None)
+    jobs.drain(job, seconds=300)
+    states = [s for p in job.recentProgress for s in p.stateOperators]
+    put, gone, got = (sum(n) for n in zip(*[(s.numRowsUpdated, s.numRowsRemoved, s.customMetrics["rocksdbGetCount"]) for s in states], strict=True))
+    assert put > 0 and gone > 0 and got == put
+    assert spark.conf.get(jobs.UNCOUNTED, None) == before
+
+
 def write_feature_files(spark, path, parts, only=None):
     rows = random_features(21, 200)
     names = [c for c in FEATURE_COLUMNS if c not in ("p99_latency", "entropy_path")]

@@ -78,3 +78,17 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         yield df
     finally:
         df.unpersist()
+
+
+@contextmanager
+def option(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Hold a session option for a while; a stream started meanwhile keeps it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -12,11 +12,12 @@ from watchloom.operators.alerts import alerts_from_anomalies
 from watchloom.operators.features import facet_rows, features_from_counts
 from watchloom.operators.rules import Rule, emit
 from watchloom.schema import EVENT_SCHEMA, FEATURE_KEYS, FEATURE_SCHEMA, TIME_FORMAT
-from watchloom.session import held
+from watchloom.session import held, option
 from watchloom.sources.lake import write_alert_batch, write_heartbeats
 from watchloom.streaming.rule_state import ANOMALY_SCHEMA, RuleProcessor
 
 ARCHIVE_TRIGGER = "5 minutes"
+UNCOUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 ARCHIVE_SHARDS = 2  # files of a source and day in one batch, the compatible setting
 
 
@@ -80,7 +81,9 @@ def features_job(
                 rows.write.mode("overwrite").parquet(f"{kept_counts}/batch={batch}")
 
     writer = streaming_counts(events, seconds, delay, mode).writeStream.outputMode("append").foreachBatch(finish)
-    return trigger(writer.option("checkpointLocation", checkpoint), every).start()
+    # a state row a value: looking each key up once more at every write and removal, to count keys, is left out
+    with option(events.sparkSession, UNCOUNTED, "false"):
+        return trigger(writer.option("checkpointLocation", checkpoint), every).start()
 
 
 def flush_open(spark: SparkSession, path: str, checkpoint: str, seconds: int = 300) -> DataFrame:
@@ -92,7 +95,7 @@ def flush_open(spark: SparkSession, path: str, checkpoint: str, seconds: int = 3
     state = spark.read.format("statestore").load(checkpoint)
     end = F.col("key.window.start") + F.expr(f"interval {seconds} seconds")
     counts = state.select("key.source", "key.host", end.alias("window_end"), "key.facet", "key.text", "key.num", F.col("value.count").alias("c"))
-    with held(counts) as rows:
+    with option(spark, UNCOUNTED, "false"), held(counts) as rows:
         features_from_counts(rows, seconds).write.mode("overwrite").parquet(f"{path}/open")
     return spark.read.schema(FEATURE_SCHEMA).parquet(f"{path}/open")
 
