@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,35 @@ def test_words_in_use_are_kept_when_the_memo_is_full(vocabulary, monkeypatch):
     assert asked.count("often") == 1
 
 
+def test_columns_of_texts_have_the_ids_of_the_tokenizer(vocabulary, monkeypatch):
+    """Each simple letter and mark beside letters, digits, marks and quotes; texts that are encoded whole among others; a tokenizer of another kind."""
+    rest = [None, "", "  ", "it's I'LL a''s 'tis x'd.' don't<|endoftext|>'s b<|startoftext|>c", "x\x1cy it's", "İstanbul ΣΑΣ ½ ²3 日本語,x a\u0301 \u0995\u09b2\u09dc,", "a\xa0b\u3000c\x85d\te", "q" * 300]
+    for path in (vocabulary, vocabulary.replace("word_bpe_49k", "byte_bpe_50k")):
+        encode = tokens.Encoder(path)
+        assert encode.by_piece == (path == vocabulary)
+        simple = [c for c in map(chr, range(33, 0x9FA6)) if not 0xD800 <= ord(c) < 0xE000 and re.match(encode.simple, c)]
+        texts = [*(f"{c} a{c}B {c.upper()}{c}. '{c}, 1{c}2'S" for c in simple[:: 1 if encode.by_piece else 40]), *rest]
+        ids = [[*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+        for bound in (128_000_000, 30_000):
+            monkeypatch.setattr(tokens, "MEMO_BYTES", bound)
+            got, counts = encode.many(pa.array(texts), 7)
+            assert counts.tolist() == list(map(len, ids)) and [x.tolist() for x in np.split(got, np.cumsum(counts)[:-1])] == ids
+        assert [x.tolist() for x in encode.many(pa.array([], pa.string()), 7)] == [[], []]
+
+
+def test_a_piece_is_looked_up_once_for_all_words_of_a_slice(vocabulary):
+    encode, asked = tokens.Encoder(vocabulary), []
+
+    class Counted(tokens.WordIds):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+    encode.words = Counted(encode.tokenizer, encode.kind)
+    encode.many(pa.array(["Mill mill, mill. mill!!! MILL's", "mill ''mill' mill,"] * 50), 1)
+    assert sorted(w for w in asked if w) == ["!!!", "'", "''", "'s", ",", ".", "mill"] and "mill" in encode.words
+
+
 
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 3_000_000

@@ -13,6 +13,7 @@ tasks; an empty table gives no files; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,7 @@ from watchloom.session import new_run_dir
 END_ID = 1
 MEMO_BYTES = 128_000_000  # of words and ids that a worker keeps, with ENTRY_BYTES for each
 ENTRY_BYTES = 200
+SLICE_BYTES = 8_000_000  # of texts that are split and looked up at a time
 DOC = [("doc_id", "<i8"), ("known", "u1")]
 FILE_SCHEMA = "file string, part int, n_docs long, n_ids long, width int"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -84,8 +87,9 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
-        if got is None:
-            got = self.fresh(word)
+        return self.keep(word, self.fresh(word) if got is None else got)
+
+    def keep(self, word: str, got: bytes) -> bytes:
         if len(word) < 64:
             self.kept += ENTRY_BYTES + len(word) + len(got)
             if self.kept > MEMO_BYTES // 2:  # a word of the older half comes back when it is met
@@ -111,11 +115,31 @@ class WordIds(dict):
         return self.encoded(word)
 
 
+def chosen(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of ``ids``, which holds a run of each of ``sizes``, the runs that ``codes`` name, one after the other."""
+    own = sizes[codes]
+    first = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(own) - own)
+    return ids[np.repeat(first, own) + np.arange(own.sum())]
+
+
+def totals(sizes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Sums of ``sizes`` over consecutive runs of so many."""
+    return np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(runs))])
+
+
 class Encoder:
-    """Text to id bytes; one per worker."""
+    """Text to id bytes; one per worker.
+
+    ``many`` takes a column of texts: words are split and told apart by Arrow functions, and so are the pieces that the
+    tokenizer cuts a word into, so each different piece of a slice is looked up once. Pieces that no memo holds are encoded together.
+    """
 
     # str.split() also splits at these four, which the tokenizer takes for ordinary characters
     odd = re.compile("[\x1c-\x1f]")
+    # a tokenizer that works like this may have words of simple letters and no "<" (added tokens have one) cut into pieces here
+    normalizers = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    piece = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    simple = "^[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u0400-\u045f\u4e00-\u9fa5]*$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -124,6 +148,23 @@ class Encoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.words = WordIds(self.tokenizer, self.kind)
         self.by_word = self.spaces_dropped()
+        self.by_piece = self.by_word and self.cuts_pieces()
+        if self.by_piece:
+            from tokenizers import pre_tokenizers
+
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def cuts_pieces(self) -> bool:
+        told = json.loads(self.tokenizer.to_str())
+        cut, steps = told["pre_tokenizer"] or {}, (told["normalizer"] or {}).get("normalizers")
+        split, *rest = cut.get("pretokenizers") or [{}]
+        return (
+            steps == self.normalizers
+            and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": self.piece}, "Removed", True)
+            and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
+            and all("<" in t["content"] for t in told["added_tokens"])
+        )
 
     def spaces_dropped(self) -> bool:
         probe = "ab  cd.\n ef\t gh'll <|endoftext|> ée 12"
@@ -135,6 +176,60 @@ class Encoder:
             return b"".join(map(self.words.__getitem__, text.split()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
+    def many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, each followed by ``end_id``, and how many each text has with it."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd.pattern) if self.by_piece else pa.array(np.ones(len(texts), bool))
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        per, words = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
+        ids, sizes = self.of_words(words.dictionary)
+        codes = np.insert(words.indices.to_numpy(), np.cumsum(per), len(sizes))
+        ids, sizes = np.append(ids, np.array(end_id, self.kind)), np.append(sizes, 1)
+        got, counts = chosen(ids, sizes, codes), totals(sizes[codes], per + 1)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):  # in place of the empty text that stood for them
+            parts = np.split(got, np.cumsum(counts)[:-1])
+            for i in whole.tolist():
+                parts[i] = np.append(np.frombuffer(self(texts[i].as_py()), self.kind), np.array(end_id, self.kind))
+                counts[i] = len(parts[i])
+            got = np.concatenate(parts)
+        return got, counts
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each has; an empty word has none."""
+        simple = pc.match_substring_regex(words, self.simple)
+        split = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(simple)), self.piece, r"\0 "), " ")
+        per, pieces = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
+        ids, sizes = self.of_pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = pieces.indices.to_numpy()
+        cut, lengths = chosen(ids, sizes, codes), totals(sizes[codes], per)
+        others = [self.words[w] for w in words.filter(pc.invert(simple)).to_pylist()]
+        ids, sizes = np.append(cut, np.frombuffer(b"".join(others), self.kind)), np.append(lengths, [len(x) // cut.itemsize for x in others]).astype(np.int64)
+        known = simple.to_numpy(zero_copy_only=False)
+        order = np.empty(len(words), np.int64)
+        order[known], order[~known] = np.arange(len(lengths)), len(lengths) + np.arange(len(others))
+        return chosen(ids, sizes, order), sizes[order]
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words, width = self.words, np.dtype(self.kind).itemsize
+        got, older = [words.get(p) for p in pieces], words.older
+        fresh = []
+        for i, known in enumerate(got):
+            if known is None:
+                if (known := older.get(pieces[i])) is not None:
+                    got[i] = words.keep(pieces[i], known)
+                elif pieces[i]:
+                    fresh.append(i)
+                else:
+                    got[i] = b""
+        for at in range(0, len(fresh), 1000):
+            some = fresh[at : at + 1000]
+            told = self.bare.encode(" ".join([pieces[i] for i in some]), add_special_tokens=False)
+            raw, ends = np.array(told.ids, self.kind).tobytes(), (np.cumsum(np.bincount(told.word_ids)) * width).tolist()
+            for i, a, b in zip(some, [0, *ends], ends, strict=False):
+                got[i] = words.keep(pieces[i], raw[a:b])
+        return np.frombuffer(b"".join(got), self.kind), np.array([len(x) // width for x in got], np.int64)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -154,8 +249,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
         from pyspark import TaskContext
 
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        end, name = np.array([end_id], dtype=encode.kind).tobytes(), f"part-{part:06d}-{uuid.uuid4().hex}"
-        width, n_docs, n_ids = len(end), 0, 0
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        width, n_docs, n_ids = np.dtype(encode.kind).itemsize, 0, 0
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -168,12 +263,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
             offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in rest():
                 doc, ends = np.zeros(batch.num_rows, DOC), np.zeros(batch.num_rows, "<u8")
-                for i, (key, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"], strict=True)):
-                    got = encode(text.as_py() or "")
-                    ids.write(got)
-                    ids.write(end)
-                    n_ids += len(got) // width + 1
-                    ends[i], doc[i] = n_ids, (0, 0) if key is None else (key, 1)
+                keys, texts = batch["doc_id"], batch["text"]
+                doc["doc_id"], doc["known"] = pc.fill_null(keys, 0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)
+                place = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // SLICE_BYTES
+                cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    got, counts = encode.many(texts.slice(a, b - a), end_id)
+                    ids.write(got.tobytes())
+                    ends[a:b] = n_ids + np.cumsum(counts)
+                    n_ids += len(got)
                 offsets.write(ends.tobytes())
                 names.write(doc.tobytes())
                 n_docs += batch.num_rows
