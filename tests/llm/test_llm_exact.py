@@ -110,6 +110,21 @@ def test_mix_of_hot_and_equal_rows(spark):
     assert mixing.mix_table(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_only_rows_at_the_cut_are_ordered(spark, monkeypatch):
+    """Whole copies are those that mix() gives, though most texts are neither folded nor ordered; columns named like results stay."""
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(draw.integers(0, 40))), [None, "a", "b", "c"][i % 4]) for i in range(3000)]
+    rows += [(7, "one text of many", "a")] * 400 + [(None, None, "empty"), (5, "", "empty"), (5, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = mixing.mix(df.withColumn("_size", mixing.word_count(F.col("text"))), size="_size").groupBy(*df.columns).agg(F.sum("copies").alias("n")).collect()
+    ordered, taken = [], mixing._taken
+    monkeypatch.setattr(mixing, "_taken", lambda folded, *a: ordered.append(folded.agg(F.sum("_n")).first()[0]) or taken(folded, *a))
+    got = Counter(map(tuple, mixing.mixed_documents(df).collect()))
+    assert got == Counter({tuple(r)[:3]: r["n"] for r in want if r["n"]}) and ordered[0] < 100
+    named = mixing.mixed_documents(df.withColumn("copies", F.lit("own")))
+    assert named.columns == [*df.columns, "copies"] and {r["copies"] for r in named.collect()} == {"own"}
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")

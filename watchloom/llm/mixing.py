@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from watchloom.llm.common import stored
+
 WEIGHTS = (3, 1, 2)
 BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +59,46 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     )
 
 
+def _parts(df: DataFrame, names: Sequence[str], source: str, seed: int, buckets: int) -> DataFrame:
+    """``df`` with its source (_none, _src), hash-random _key over ``names``, and bucket _b."""
+    cols = [F.col(f"`{c}`") for c in names]
+    return df.withColumns(
+        {
+            "_none": F.col(f"`{source}`").isNull(),
+            "_src": F.coalesce(F.col(f"`{source}`"), F.lit("")),
+            "_key": F.xxhash64(F.lit(seed), *[x for c in cols for x in (c.isNull(), c)]),
+        }
+    ).withColumn("_b", F.floor((F.col("_key").cast("double") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
+
+
+def _bases(sums: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """Buckets (words _in) with the words before them in their source and what the source takes: whole epochs _full, then its first _rest words."""
+    targets = source_targets(sums.groupBy("_none", "_src").agg(F.sum("_in").alias("source_size")), weights, share, most)
+    before = Window.partitionBy("_none", "_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    budget = F.round("target").cast("long")
+    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return (
+        sums.withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+        .join(targets, ["_none", "_src"])
+        .withColumn("_full", full)
+        .withColumn("_rest", budget - F.col("_full") * F.col("source_size"))
+    )
+
+
+def _taken(folded: DataFrame, bases: DataFrame, names: Sequence[str], size: str) -> DataFrame:
+    """Rows of ``folded`` (equal ones once, with their number _n) each with taken and copies, by their place in the bucket."""
+    group, cols = ["_none", "_src", "_b"], [F.col(f"`{c}`") for c in names]
+    inside = Window.partitionBy(*group).orderBy("_key", *cols).rowsBetween(Window.unboundedPreceding, -1)
+    placed = folded.join(bases.drop("_in"), group).withColumn("_at", F.col("_base") + F.coalesce(F.sum(F.col(f"`{size}`") * F.col("_n")).over(inside), F.lit(0)))
+    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    words, full, rest = F.col(f"`{size}`"), F.col("_full"), F.col("_rest")
+    start = F.col("_at") + F.col("_i") * words
+    part = F.greatest(F.lit(0).cast("long"), F.least(words, rest - start))
+    # a document without words goes with the whole epochs and with the cut's side that it lies on
+    whole = F.when(words > 0, part * 2 >= words).otherwise(start < rest)
+    return each.select(*cols, "source_size", "target", (full * words + part).alias("taken"), (full + whole.cast("long")).alias("copies"))
+
+
 def mix(
     df: DataFrame,
     size: str = "size",
@@ -69,38 +111,9 @@ def mix(
 ) -> DataFrame:
     """``df`` (groupable columns) with source_size, target, taken and copies."""
     names = [c for c in df.columns if c not in ("source_size", "target", "taken", "copies")]
-    cols = [F.col(f"`{c}`") for c in names]
-    parts = [x for c in cols for x in (c.isNull(), c)]
-    folded = (
-        df.groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns(
-            {
-                "_none": F.col(f"`{source}`").isNull(),
-                "_src": F.coalesce(F.col(f"`{source}`"), F.lit("")),
-                "_key": F.xxhash64(F.lit(seed), *parts),
-                "_sum": F.col(f"`{size}`") * F.col("_n"),
-            }
-        )
-        .withColumn("_b", F.floor((F.col("_key").cast("double") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
-    )
-    group = ["_none", "_src", "_b"]
-    sums = folded.groupBy(*group).agg(F.sum("_sum").alias("_in"))
-    targets = source_targets(sums.groupBy("_none", "_src").agg(F.sum("_in").alias("source_size")), weights, share, most)
-    before = Window.partitionBy("_none", "_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in").join(targets, ["_none", "_src"])
-    inside = Window.partitionBy(*group).orderBy("_key", *cols).rowsBetween(Window.unboundedPreceding, -1)
-    placed = folded.join(bases, group).withColumn("_at", F.col("_base") + F.coalesce(F.sum("_sum").over(inside), F.lit(0)))
-    each = placed.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    words = F.col(f"`{size}`")
-    start = F.col("_at") + F.col("_i") * words
-    budget = F.round("target").cast("long")
-    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - full * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least(words, rest - start))
-    # a document without words goes with the whole epochs and with the cut's side that it lies on
-    whole = F.when(words > 0, part * 2 >= words).otherwise(start < rest)
-    return each.select(*cols, "source_size", "target", (full * words + part).alias("taken"), (full + whole.cast("long")).alias("copies"))
+    folded = _parts(df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n")), names, source, seed, buckets)
+    sums = folded.groupBy("_none", "_src", "_b").agg(F.sum(F.col(f"`{size}`") * F.col("_n")).alias("_in"))
+    return _taken(folded, _bases(sums, weights, share, most), names, size)
 
 
 def mix_table(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -110,7 +123,20 @@ def mix_table(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Documents in the mix, each as often as whole copies of it are taken."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    out = mix(sized, size="_size", seed=seed)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Documents in the mix, each as often as whole copies of it are taken.
+
+    Rows get size and key once and are stored. Buckets before and behind their source's cut are settled by one row a source,
+    so that their texts are not shuffled; rows of the buckets at the cut are ordered as in ``mix``.
+    """
+    kept = [f"_c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    text, source = (kept[docs.columns.index(c)] for c in ("text", "source"))
+    names = [*kept, "_size"]
+    rows = stored(_parts(docs.toDF(*kept).withColumn("_size", word_count(F.col(text))), names, source, seed, BUCKETS), "mix-sized")
+    bases = _bases(rows.groupBy("_none", "_src", "_b").agg(F.sum("_size").alias("_in")), WEIGHTS, 1.5, 2.0)
+    at_cut = bases.where((F.col("_base") <= F.col("_rest")) & (F.col("_rest") <= F.col("_base") + F.col("_in")))
+    cuts = at_cut.groupBy("_none", "_src").agg(F.min("_b").alias("_first"), F.max("_b").alias("_last"), F.max("_full").alias("_whole"))
+    dealt, at = rows.join(cuts, ["_none", "_src"]), F.col("_b").between(F.col("_first"), F.col("_last"))
+    settled = dealt.where(~at).withColumn("copies", F.col("_whole") + (F.col("_b") < F.col("_first")).cast("long"))
+    folded = dealt.where(at).groupBy("_none", "_src", "_b", "_key", *names).agg(F.count(F.lit(1)).alias("_n"))
+    out = settled.select(*kept, "copies").unionAll(_taken(folded, at_cut, names, "_size").select(*kept, "copies")).where("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*kept).toDF(*docs.columns)
