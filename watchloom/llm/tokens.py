@@ -35,7 +35,7 @@ from watchloom.session import new_run_dir
 END_ID = 1
 MEMO_BYTES = 128_000_000  # of words and ids that a worker keeps, with ENTRY_BYTES for each
 ENTRY_BYTES = 200
-SLICE_BYTES = 8_000_000  # of texts that are split and looked up at a time
+SLICE_BYTES = 2_000_000  # of texts that are split and looked up at a time
 DOC = [("doc_id", "<i8"), ("known", "u1")]
 FILE_SCHEMA = "file string, part int, n_docs long, n_ids long, width int"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
