@@ -153,6 +153,26 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+def test_workers_get_texts_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    large = spark.range(64).select(F.repeat(F.lit("x"), 1 << 18).alias("text")).coalesce(1)
+    write, seen = nearjoin.stored, []
+
+    def watched(df, label):
+        sizes = large.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        seen.append((label, max(r.n for r in sizes), sum(r.n for r in sizes)))
+        return write(df, label)
+
+    monkeypatch.setattr(nearjoin, "stored", watched)
+    text = " ".join(WORDS)
+    rows = [(1, text), (2, text + " more"), (3, "something else altogether"), (4, None)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nearjoin.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    bounded = [label for label, most, total in seen if most <= nearjoin.BATCH_BYTES + (1 << 19) and total >= 64 << 18]
+    assert bounded == ["sketches", "shingle-sets", "verified"]
+
+
 def test_bayesian_bounds():
     bounds = nearjoin.needed_matches(150, 30, 0.8, 1e-6)
     assert [n for n, _ in bounds] == [30, 60, 90, 120, 150] and all(0 < m < 0.8 * n for n, m in bounds)

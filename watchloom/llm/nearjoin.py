@@ -32,12 +32,14 @@ from watchloom.llm.buckets import dealt, group_ids, pairs_within, shared_keys, s
 from watchloom.llm.common import by_key, stored
 from watchloom.llm.graph import components
 from watchloom.llm.shingles import minhash, mixed, shingle_hashes
+from watchloom.session import option
 
 LEAST = 0.8
 BANDS, ROWS = 30, 5
 STEP = 30
 TOLERANCE = 1e-6
 DENSE = 16
+BATCH_BYTES = 4 << 20  # of texts or shingle sets that a worker gets at once; rows alone do not bound a batch
 SKETCH = "node binary, codes array<long>, sketch binary"
 
 
@@ -259,10 +261,16 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataF
     return each.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(work, "node binary, shingles array<long>")
 
 
+def stored_by_parts(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for rows whose texts or sets pass through a worker."""
+    with option(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        return stored(df, label)
+
+
 def classes(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
     """One row per different text with words: node, n (rows that have it), least_id, links, component (null alone) and class_id."""
     rows = nodes_of(docs, text)
-    known = stored(sketched(docs, text).dropDuplicates(["node"]), "sketches")
+    known = stored_by_parts(sketched(docs, text).dropDuplicates(["node"]), "sketches")
     counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least_id"))
     nodes = stored(counts.join(known.select("node"), "node", "left_semi"), "text-nodes")
     keys = known.select("node", F.posexplode("codes").alias("band", "code"))
@@ -271,13 +279,13 @@ def classes(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFr
     pairs = proposed.where("other is not null").select("node", "other")
     dense = proposed.where("band is not null").select("node", *KEY, "lo", "hi", "chunk")
     wanted = pairs.select("node").unionAll(pairs.select("other")).unionAll(dense.select("node")).distinct()
-    sets = stored(shingle_sets(docs, wanted, text), "shingle-sets")
+    sets = stored_by_parts(shingle_sets(docs, wanted, text), "shingle-sets")
     own, others = sets.select("node", F.col("shingles").alias("s1")), sets.select(F.col("node").alias("other"), F.col("shingles").alias("s2"))
     common = F.size(F.array_intersect("s1", "s2"))
     sparse = pairs.join(own, "node").join(others, "other").where(common >= F.lit(least) * (F.size("s1") + F.size("s2") - common) - 1e-6).select("node", "other")
     sparse = stored(sparse, "verified")
     in_dense = dense.join(known, "node").join(nodes.select("node", "n"), "node").join(sets, "node")
-    grouped = stored(verify_dense(in_dense, least), "verified")
+    grouped = stored_by_parts(verify_dense(in_dense, least), "verified")
     edges = sparse.unionAll(grouped.where("other is not null").select("node", "other"))
     sizes = nodes.select(F.col("node").alias("other"), "n")
     each = sparse.unionAll(sparse.select(F.col("other").alias("node"), F.col("node").alias("other")))
